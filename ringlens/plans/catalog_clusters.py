@@ -1 +1,318 @@
-"""Registered queries: clustering."""
+"""Registered queries: clustering (features, assignment, quality, profiles, model fits).
+
+Cluster reports are checked against the SQL oracle on a *fixed-centroid*
+assignment (centroids are parameters), which both engines can reproduce
+exactly; the K-Means / K-Prototypes fits themselves are checked on rows only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ringlens import constants as K
+from ringlens.functions.categorical import reason_label
+from ringlens.operators import clusters as CL
+from ringlens.operators.clean import duration_fence, filter_outliers, flag_duration_outliers
+from ringlens.operators.failures import detect_failures, failure_rates_by
+from ringlens.operators.features import FEATURES_6, FEATURES_7, assemble, encode_features, fit_scaler, prepare_variables
+from ringlens.operators.kprototypes import fit_kprototypes
+from ringlens.operators.reports import share_within, top_n_per_group, value_counts
+from ringlens.operators.sentiment import sentiment_agreement
+from ringlens.plans import oracle_sql as O
+from ringlens.plans.registry import register
+from ringlens.plans.stages import prepared, r9, scored
+
+# parameters: four fixed centroids in the scaled feature space (order of FEATURES_7)
+FIXED_CENTROIDS = [
+    [-0.3, 0.0, -1.2, 0.0, 0.0, 0.0, -0.2],
+    [-0.7, -0.5, 0.6, 0.0, 0.0, 0.0, -0.2],
+    [1.0, 0.4, 0.6, 0.0, 0.0, 0.0, -0.2],
+    [0.0, 0.0, 0.8, 0.0, 0.0, -1.5, 3.0],
+]
+Z7 = [c + "_z" for c in FEATURES_7]
+NOTEBOOK_NO_REASON = ["", "n/a", "otro"]
+
+# ---------------------------------------------------------------------------
+# Spark side
+# ---------------------------------------------------------------------------
+
+
+def clean_calls(spark, sf, with_failures: bool = False):
+    """Clean table (p99 flag over all rows, F1-F3) with own sentiment (and failure flags)."""
+    df = flag_duration_outliers(scored(spark, sf))
+    if with_failures:
+        df = detect_failures(df)
+    return filter_outliers(df, duration_fence(df))
+
+
+def scaled_features(spark, sf, with_failures: bool = False):
+    conn = encode_features(clean_calls(spark, sf, with_failures).filter(F.col("connected")))
+    scaler = fit_scaler(conn, FEATURES_7)
+    z = scaler.transform(conn)
+    return z.withColumns({c: r9(c) for c in Z7})
+
+
+def fixed_clusters(spark, sf, with_failures: bool = False):
+    z = scaled_features(spark, sf, with_failures)
+    return CL.assign_to_centroids(z, Z7, FIXED_CENTROIDS, out="cluster_id")
+
+
+# ---------------------------------------------------------------------------
+# SQL side
+# ---------------------------------------------------------------------------
+
+_PRE = f"hour <> 0 AND campaign_type <> '{K.TEST_CAMPAIGN}'"
+_CLEAN = f"""fence AS (
+SELECT q1 - {K.IQR_MULTIPLIER} * (q3 - q1) AS lo, q3 + {K.IQR_MULTIPLIER} * (q3 - q1) AS hi FROM (
+  SELECT {O.nearest_q('scored', 'duration_sec', 0.25, _PRE)} AS q1,
+         {O.nearest_q('scored', 'duration_sec', 0.75, _PRE)} AS q3)),
+p99 AS (SELECT {O.nearest_q('scored', 'duration_ms', K.P99_QUANTILE)} AS v),
+clean AS (
+SELECT s.*, coalesce(s.duration_ms > p99.v, false) AS duration_outlier FROM SRC s, fence, p99
+WHERE {_PRE} AND s.duration_sec BETWEEN fence.lo AND fence.hi),
+conn AS (SELECT * FROM clean WHERE connected)"""
+_ENG = O.case_map("disconnected_reason", K.ENGAGEMENT_MAP, "0")
+_SENT = O.case_map("pca_sentimiento", K.SENTIMENT_ORDINAL, "1")
+_NR = ", ".join(O.q(v) for v in K.NO_REASON_VALUES)
+_FEAT = f"""feat AS (
+SELECT *, coalesce(duration_sec, (SELECT median(duration_sec) FROM conn)) AS f_duration,
+  CAST(hour AS DOUBLE) AS f_hour, CAST({_ENG} AS DOUBLE) AS f_engagement,
+  coalesce(CAST(duration_outlier AS DOUBLE), 0.0) AS f_outlier,
+  coalesce(CAST(inconsistency_flag AS DOUBLE), 0.0) AS f_inconsistency, CAST({_SENT} AS DOUBLE) AS f_sentiment,
+  CASE WHEN pca_razon_churn IS NULL OR pca_razon_churn IN ({_NR}) THEN 0.0 ELSE 1.0 END AS f_has_reason
+FROM conn),
+fstats AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES_7)} FROM feat),
+z AS (
+SELECT feat.*, {', '.join(f"round(CASE WHEN coalesce(s_{c}, 0) = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END, 9) AS {c}_z" for c in FEATURES_7)}
+FROM feat, fstats)"""
+
+
+def _dist_sql(center) -> str:
+    return " + ".join(f"({c} - {float(v)!r}) * ({c} - {float(v)!r})" for c, v in zip(Z7, center))
+
+
+def _assign_sql() -> str:
+    d = [_dist_sql(c) for c in FIXED_CENTROIDS]
+    # same left fold as the Spark expression: keep the running best, replace on a strictly smaller distance
+    best, best_d = "0", f"({d[0]})"
+    for i, di in enumerate(d[1:], start=1):
+        best = f"CASE WHEN ({di}) < {best_d} THEN {i} ELSE {best} END"
+        best_d = f"least({best_d}, ({di}))"
+    return f"assigned AS (SELECT *, CAST({best} AS INTEGER) AS cluster_id FROM z)"
+
+
+def cluster_sql(select: str, stage: str = "scored", extra: list[str] | None = None) -> str:
+    return O.with_stage(stage, [_CLEAN.replace("SRC", stage), _FEAT, _assign_sql(), *(extra or [])], select)
+
+
+# ---------------------------------------------------------------------------
+# queries
+# ---------------------------------------------------------------------------
+
+@register("cluster_features", cluster_sql(f"SELECT call_id, {', '.join(Z7)} FROM z"), "M1 M3 P19 P20 P21")
+def cluster_features(spark, sf):
+    return scaled_features(spark, sf).select("call_id", *Z7)
+
+
+@register("churn_groups", O.with_stage("prepared", [], f"""
+SELECT call_id, pca_razon_churn,
+  CASE WHEN pca_razon_churn IS NULL THEN 'sin_motivo'
+       ELSE {O.case_map('lower(trim(pca_razon_churn))', K.CHURN_GROUPS, "'otro'")} END AS razon_grupo,
+  CASE WHEN pca_razon_churn IS NULL OR pca_razon_churn IN ({_NR}) THEN 'sin_motivo' ELSE 'con_motivo' END AS motivo
+FROM prepared"""), "P21 P22 P23")
+def churn_groups(spark, sf):
+    df = prepare_variables(prepared(spark, sf))
+    return df.select("call_id", "pca_razon_churn", "razon_grupo", reason_label("pca_razon_churn").alias("motivo"))
+
+
+@register("cluster_assign_fixed", cluster_sql("""
+SELECT p.call_id, CAST(coalesce(a.cluster_id, -1) AS INTEGER) AS cluster_id
+FROM prepared p LEFT JOIN (SELECT call_url, cluster_id FROM assigned WHERE call_url IS NOT NULL) a USING (call_url)"""),
+          "M8 J1")
+def cluster_assign_fixed(spark, sf):
+    return CL.attach_clusters(prepared(spark, sf), fixed_clusters(spark, sf), "call_url").select("call_id", "cluster_id")
+
+
+@register("cluster_quality_fixed", cluster_sql(f"""
+SELECT CAST(k AS INTEGER) AS k, n, {O.r9('db')} AS davies_bouldin, {O.r9('ch')} AS calinski_harabasz FROM (
+  SELECT (SELECT count(*) FROM cents) AS k, (SELECT sum(n) FROM cents) AS n,
+    (SELECT avg(r_max) FROM (SELECT i.cluster_id, max((i.s + j.s) / sqrt({' + '.join(f'(i.c_{c} - j.c_{c}) ^ 2' for c in Z7)})) AS r_max
+       FROM cents i JOIN cents j ON i.cluster_id <> j.cluster_id GROUP BY i.cluster_id)) AS db,
+    ((SELECT sum(n * ({' + '.join(f'(c_{c} - g_{c}) ^ 2' for c in Z7)})) FROM cents, g) / ((SELECT count(*) FROM cents) - 1))
+      / ((SELECT sum(w) FROM cents) / ((SELECT sum(n) FROM cents) - (SELECT count(*) FROM cents))) AS ch)""",
+          extra=[f"""c0 AS (SELECT cluster_id, count(*) AS n, {', '.join(f'avg({c}) AS c_{c}' for c in Z7)} FROM assigned GROUP BY cluster_id)""",
+                 f"""cents AS (
+SELECT c0.cluster_id, any_value(c0.n) AS n, {', '.join(f'any_value(c0.c_{c}) AS c_{c}' for c in Z7)},
+  avg(sqrt({' + '.join(f'(a.{c} - c0.c_{c}) * (a.{c} - c0.c_{c})' for c in Z7)})) AS s,
+  sum({' + '.join(f'(a.{c} - c0.c_{c}) * (a.{c} - c0.c_{c})' for c in Z7)}) AS w
+FROM assigned a JOIN c0 USING (cluster_id) GROUP BY c0.cluster_id)""",
+                 f"""g AS (SELECT {', '.join(f'sum(n * c_{c}) / sum(n) AS g_{c}' for c in Z7)} FROM cents)"""]), "M10")
+def cluster_quality_fixed(spark, sf):
+    out = CL.quality_metrics(fixed_clusters(spark, sf), Z7)
+    return out.select("k", "n", r9("davies_bouldin").alias("davies_bouldin"),
+                      r9("calinski_harabasz").alias("calinski_harabasz"))
+
+
+@register("cluster_sizes_fixed", cluster_sql("""
+SELECT cluster_id, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct FROM assigned GROUP BY cluster_id"""), "A22")
+def cluster_sizes_fixed(spark, sf):
+    return value_counts(fixed_clusters(spark, sf), "cluster_id")
+
+
+def _nearest_group_sql(q: float) -> str:
+    return f"""(SELECT cluster_id, duration_sec AS v FROM (
+  SELECT cluster_id, duration_sec, row_number() OVER (PARTITION BY cluster_id ORDER BY duration_sec) - 1 AS rk,
+    count(*) OVER (PARTITION BY cluster_id) AS ng FROM assigned WHERE duration_sec IS NOT NULL)
+  WHERE rk = CAST(floor((ng - 1) * {q!r} + 0.5) AS BIGINT))"""
+
+
+_LABELS = "CASE cluster_id " + " ".join(f"WHEN {k} THEN {O.q(v)}" for k, v in K.CLUSTER_LABELS.items()) + " END"
+
+
+@register("cluster_profile_fixed", cluster_sql(f"""
+SELECT b.cluster_id, b.n, {O.r9('b.dur_median_s')} AS dur_median_s, {O.r9('b.hour_mean')} AS hour_mean,
+  p25.v AS dur_p25_s, p75.v AS dur_p75_s, {_LABELS.replace('cluster_id', 'b.cluster_id')} AS label
+FROM (SELECT cluster_id, count(*) AS n, median(duration_sec) AS dur_median_s, avg(hour) AS hour_mean FROM assigned
+      GROUP BY cluster_id) b
+LEFT JOIN {_nearest_group_sql(0.25)} p25 USING (cluster_id) LEFT JOIN {_nearest_group_sql(0.75)} p75 USING (cluster_id)"""),
+          "A21 P24 A20")
+def cluster_profile_fixed(spark, sf):
+    out = CL.cluster_profile(fixed_clusters(spark, sf))
+    return out.withColumns({"dur_median_s": r9("dur_median_s"), "hour_mean": r9("hour_mean")})
+
+
+@register("cluster_reason_share_fixed", cluster_sql("""
+SELECT cluster_id, disconnected_reason, count(*) AS n,
+  count(*) / sum(count(*)) OVER (PARTITION BY cluster_id) AS pct_of_group,
+  count(*) / sum(count(*)) OVER (PARTITION BY disconnected_reason) AS pct_of_category
+FROM assigned GROUP BY cluster_id, disconnected_reason"""), "A23")
+def cluster_reason_share_fixed(spark, sf):
+    return share_within(fixed_clusters(spark, sf), "cluster_id", "disconnected_reason")
+
+
+@register("cluster_top_churn_fixed", cluster_sql(f"""
+SELECT * FROM (
+  SELECT cluster_id, pca_razon_churn, count(*) AS n,
+    CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, pca_razon_churn) AS INTEGER) AS rank
+  FROM assigned WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({', '.join(O.q(v) for v in NOTEBOOK_NO_REASON)})
+  GROUP BY cluster_id, pca_razon_churn) WHERE rank <= 5"""), "A23 F8 O2")
+def cluster_top_churn_fixed(spark, sf):
+    return top_n_per_group(fixed_clusters(spark, sf), "cluster_id", "pca_razon_churn", 5, NOTEBOOK_NO_REASON) \
+        .withColumn("rank", F.col("rank").cast("int"))
+
+
+@register("cluster_reason_matrix_fixed", cluster_sql(f"""
+SELECT pca_razon_churn, cluster_id, count(*) AS n, any_value(cluster_n) AS cluster_n,
+  count(*) / any_value(cluster_n) * 100 AS pct
+FROM assigned JOIN (SELECT cluster_id, count(*) AS cluster_n FROM assigned GROUP BY cluster_id) USING (cluster_id)
+WHERE pca_razon_churn IN (
+  SELECT pca_razon_churn FROM assigned WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({_NR})
+  GROUP BY pca_razon_churn ORDER BY count(*) DESC, pca_razon_churn LIMIT 10)
+GROUP BY pca_razon_churn, cluster_id"""), "A24 M14")
+def cluster_reason_matrix_fixed(spark, sf):
+    return CL.reason_matrix(fixed_clusters(spark, sf))
+
+
+@register("cluster_summary_fixed", cluster_sql(f"""
+SELECT b.cluster_id, b.n, {O.r9('b.dur_median')} AS dur_median, b.n_documented, d.dominant_reason, p25.v AS p25, p75.v AS p75,
+  p75.v - p25.v AS iqr, b.n_documented / b.n AS documented_share
+FROM (SELECT cluster_id, count(*) AS n, median(duration_sec) AS dur_median,
+        count(*) FILTER (WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({_NR})) AS n_documented
+      FROM assigned GROUP BY cluster_id) b
+LEFT JOIN (SELECT cluster_id, disconnected_reason AS dominant_reason FROM (
+    SELECT cluster_id, disconnected_reason, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC,
+      disconnected_reason) AS r FROM assigned GROUP BY cluster_id, disconnected_reason) WHERE r = 1) d USING (cluster_id)
+LEFT JOIN {_nearest_group_sql(0.25)} p25 USING (cluster_id) LEFT JOIN {_nearest_group_sql(0.75)} p75 USING (cluster_id)"""),
+          "A25")
+def cluster_summary_fixed(spark, sf):
+    return CL.cluster_summary(fixed_clusters(spark, sf)).withColumn("dur_median", r9("dur_median"))
+
+
+@register("sentiment_cluster_share_fixed", cluster_sql("""
+SELECT cluster_id, sentiment_own, count(*) AS n,
+  count(*) / sum(count(*)) OVER (PARTITION BY cluster_id) AS pct_of_group,
+  count(*) / sum(count(*)) OVER (PARTITION BY sentiment_own) AS pct_of_category
+FROM assigned GROUP BY cluster_id, sentiment_own"""), "A19")
+def sentiment_cluster_share_fixed(spark, sf):
+    return share_within(fixed_clusters(spark, sf), "cluster_id", "sentiment_own")
+
+
+@register("sentiment_agreement_by_cluster_fixed", cluster_sql("""
+SELECT cluster_id, count(*) AS n_overlap,
+  CAST(sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) AS BIGINT) AS n_match,
+  sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) / count(*) AS match_rate
+FROM assigned WHERE pca_sentimiento IS NOT NULL GROUP BY cluster_id"""), "A15")
+def sentiment_agreement_by_cluster_fixed(spark, sf):
+    return sentiment_agreement(fixed_clusters(spark, sf), ["cluster_id"])
+
+
+_RATES = ", ".join(
+    f"CAST(sum(CAST({c} AS INTEGER)) AS BIGINT) AS n_{c[5:]}, sum(CAST({c} AS INTEGER)) / count(*) AS rate_{c[5:]}"
+    for c in K.FAIL_COLUMNS)
+
+
+@register("failure_rates_by_cluster_fixed", cluster_sql(f"""
+SELECT cluster_id, count(*) AS n, {_RATES} FROM assigned WHERE connected GROUP BY cluster_id""", stage="flagged"), "A27")
+def failure_rates_by_cluster_fixed(spark, sf):
+    return failure_rates_by(fixed_clusters(spark, sf, with_failures=True), "cluster_id")
+
+
+# ---------------------------------------------------------------------------
+# model fits (rows-only checks: K-Means initialisation differs between engines by design)
+# ---------------------------------------------------------------------------
+
+@register("kmeans_clusters", None, "M4 M5 M7 M8 J1 S7")
+def kmeans_clusters(spark, sf):
+    clean = clean_calls(spark, sf)
+    pred, _, _ = CL.cluster_calls(clean, k=4, ks=None)
+    return CL.attach_clusters(prepared(spark, sf), pred, "call_url").select("call_id", "cluster_id")
+
+
+@register("kmeans_k_selection", None, "M6 M4 M9")
+def kmeans_k_selection(spark, sf):
+    clean = clean_calls(spark, sf)
+    _, ksel, _ = CL.cluster_calls(clean, k=4, ks=range(2, 7))
+    return ksel
+
+
+@register("kmeans_quality", None, "M9 M10 M14")
+def kmeans_quality(spark, sf):
+    clean = clean_calls(spark, sf)
+    pred, _, _ = CL.cluster_calls(clean, k=4, ks=None)
+    sil = CL.silhouette_sq(pred.withColumn("prediction", F.col("cluster_id")))
+    q = CL.quality_metrics(pred, [c + "_z" for c in FEATURES_7])
+    return q.withColumn("silhouette_sq", F.lit(sil))
+
+
+@register("kmeans_trained_on_complete", None, "M2 M11 F6")
+def kmeans_trained_on_complete(spark, sf):
+    conn = clean_calls(spark, sf).filter(F.col("connected"))
+    train = conn.dropna(subset=["duration_sec", "hour", "disconnected_reason", "pca_sentimiento"])
+    fill = train.select(F.median("duration_sec")).first()[0] or 0.0
+    no_reason = ["", "n/a", "otro"]
+    tr = encode_features(train, duration_fill=fill, no_reason=no_reason)
+    scaler = fit_scaler(tr, FEATURES_6)
+    zc = [c + "_z" for c in FEATURES_6]
+    model = CL.fit_kmeans(assemble(scaler.transform(tr), zc), 4)
+    allc = assemble(scaler.transform(encode_features(conn, duration_fill=fill, no_reason=no_reason)), zc)
+    return model.transform(allc).select("call_id", F.col("prediction").alias("cluster_id"))
+
+
+@register("kmeans_ordinal_baseline", None, "M13")
+def kmeans_ordinal_baseline(spark, sf):
+    conn = prepare_variables(clean_calls(spark, sf).filter(F.col("connected")))
+    return CL.ordinal_kmeans(conn, 4).select("call_id", "cluster_id")
+
+
+@register("kprototypes_clusters", None, "M12")
+def kprototypes_clusters(spark, sf):
+    conn = prepare_variables(clean_calls(spark, sf).filter(F.col("connected")))
+    base = conn.select("call_id", "duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i",
+                       "disconnected_reason", "razon_grupo", "day_of_week")
+    nums = ["duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i"]
+    med = base.select(F.median("duration_sec")).first()[0] or 0.0
+    base = base.withColumn("duration_sec", F.coalesce("duration_sec", F.lit(float(med))))
+    scaler = fit_scaler(base, nums)
+    scaled = scaler.transform(base)
+    out, _, _, _ = fit_kprototypes(scaled, [c + "_z" for c in nums], ["disconnected_reason", "razon_grupo", "day_of_week"], 4)
+    return out.select("call_id", "cluster_id")
