@@ -84,9 +84,21 @@ def hash_sample(df: DataFrame, n: int, key: str = "call_id", seed: int = 42) ->
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
-def hash_sample_per_group(df: DataFrame, group: str, n: int, key: str = "call_id", seed: int = 42) -> DataFrame:
-    """Up to ``n`` rows per group (fewer when the group is smaller)."""
+def hash_sample_per_group(df: DataFrame, group: str, n: int, key: str = "call_id", seed: int = 42,
+                          buckets: int = 64) -> DataFrame:
+    """Up to ``n`` rows per group (fewer when the group is smaller), exact and skew-safe.
+
+    Stage 1 keeps the ``n`` smallest hashes inside each (group, hash bucket)
+    so even a group holding a third of all rows is split over ``buckets``
+    tasks; stage 2 picks the ``n`` smallest of those <= n x buckets
+    candidates per group. The global top-n of a group is always among the
+    per-bucket top-n, so the result equals a single-stage top-n.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))
-    return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    h = F.xxhash64(F.col(key), F.lit(seed))
+    x = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    w1 = Window.partitionBy(group, "_b").orderBy("_h", key)
+    cand = x.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n).drop("_r")
+    w2 = Window.partitionBy(group).orderBy("_h", key)
+    return cand.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n).drop("_r", "_h", "_b")
