@@ -48,10 +48,14 @@ def campaign_type(name_col="name", patterns=CAMPAIGN_PATTERNS, strict_nulls: boo
     return expr
 
 
+def churn_alias(col) -> Column:
+    """Alias map on an already normalised churn reason (unmapped values unchanged)."""
+    return _lookup(_c(col), CHURN_ALIASES, _c(col))
+
+
 def churn_reason(col) -> Column:
     """Normalised churn reason with the alias map applied (null stays null)."""
-    v = normalize_category(col)
-    return _lookup(v, CHURN_ALIASES, v)
+    return churn_alias(normalize_category(col))
 
 
 def engagement(reason_col="disconnected_reason") -> Column:

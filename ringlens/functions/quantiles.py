@@ -54,6 +54,28 @@ def nearest_quantiles(df: DataFrame, col: str, qs: list[float], approx: bool = F
     return [None if row[f"q{i}"] is None else float(row[f"q{i}"]) for i in range(len(qs))]
 
 
+def nearest_quantiles_multi(df: DataFrame, specs: list[tuple[Column, float]]) -> list[float | None]:
+    """Nearest-rank quantiles of several (value expression, q) pairs in two passes total.
+
+    Each value expression may carry its own row condition as
+    ``F.when(cond, x)`` (nulls are ignored). Pass 1 counts the non-null values
+    of every expression, pass 2 runs all ``percentile_disc`` aggregates.
+    """
+    exprs = df.select(*[e.alias(f"_q{i}") for i, (e, _) in enumerate(specs)])
+    counts = exprs.select(*[F.count(f"_q{i}").alias(f"n{i}") for i in range(len(specs))]).first()
+    aggs = []
+    for i, (_, q) in enumerate(specs):
+        n = counts[f"n{i}"]
+        if n:
+            aggs.append(F.expr(f"percentile_disc({nearest_fraction(n, q)!r}) WITHIN GROUP (ORDER BY _q{i})").alias(f"v{i}"))
+    row = exprs.select(*aggs).first() if aggs else None
+    out = []
+    for i in range(len(specs)):
+        v = row[f"v{i}"] if counts[f"n{i}"] and row is not None else None
+        out.append(None if v is None else float(v))
+    return out
+
+
 def linear(col, q) -> Column:
     """Linear-interpolation percentile aggregate (NumPy default)."""
     c = F.col(col) if isinstance(col, str) else col

@@ -3,7 +3,7 @@
 All rules are written as built-in Spark expressions so they stay inside
 whole-stage codegen and run on executors:
 
-* whitespace is Unicode whitespace (``(?U)\\s``), not only ASCII spaces;
+* edge whitespace is the Unicode whitespace set, not only ASCII spaces;
 * ``\\w`` is Unicode-aware, so ``señal`` stays one word;
 * accent folding covers exactly the characters in ``constants.ACCENTS_FROM``.
 """
@@ -13,9 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ringlens.constants import ACCENTS_FROM, ACCENTS_TO
+from ringlens.constants import ACCENTS_FROM, ACCENTS_TO, WHITESPACE
 
-_EDGE_WS = r"(?U)^\s+|\s+\z"
 _PUNCT = r"(?U)[^\w\s]"
 
 
@@ -24,8 +23,13 @@ def _c(col) -> Column:
 
 
 def ustrip(col) -> Column:
-    """Strip leading/trailing Unicode whitespace (Spark's ``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(col), _EDGE_WS, "")
+    """Strip leading/trailing Unicode whitespace.
+
+    Spark's one-argument ``trim`` strips spaces only; ``trim`` with an explicit
+    character set strips exactly the whitespace set of ``constants.WHITESPACE``
+    without a regex.
+    """
+    return F.trim(_c(col), F.lit(WHITESPACE))
 
 
 def fold_accents(col) -> Column:

@@ -29,7 +29,10 @@ def detect_failures(df: DataFrame, short_call_sec: float = K.SHORT_CALL_SEC, str
     sent = F.col("sentiment_own") if "sentiment_own" in df.columns else F.lit("neutral")
     reason = F.col("disconnected_reason")
     recov = F.col("pca_posible_recuperacion")
-    repetitive = repeated_agent_line()
+    # normalised long agent lines, materialised once (referenced twice by the test)
+    long_lines = F.filter(speaker_lines("transcript_text", "Agent"), lambda l: F.length(l) > K.REPEAT_MIN_CHARS)
+    df = df.withColumn("_agent", F.transform(long_lines, lambda l: normalize_text(l)))
+    repetitive = F.size("_agent") > F.size(F.array_distinct("_agent"))
     if strict_nulls:
         repetitive = F.when(F.col("transcript_text").isNull(), F.lit(None).cast("boolean")).otherwise(repetitive)
     flags = {
@@ -41,7 +44,7 @@ def detect_failures(df: DataFrame, short_call_sec: float = K.SHORT_CALL_SEC, str
         & (reason == "user_hangup") & (sent == "negativo"),
         "fail_agent_hangup": reason == "agent_hangup",
     }
-    return df.withColumns({k: F.when(connected, v).otherwise(F.lit(False)) for k, v in flags.items()})
+    return df.withColumns({k: F.when(connected, v).otherwise(F.lit(False)) for k, v in flags.items()}).drop("_agent")
 
 
 def failure_summary(df: DataFrame) -> DataFrame:

@@ -13,28 +13,51 @@ from ringlens.operators.stats import segments
 _UNCOUNTABLE = (T.MapType,)
 
 
-def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+def column_profile(df: DataFrame, method: str = "hash", rsd: float = 0.01) -> DataFrame:
     """Per column type, nulls, valid, shares, distinct values counting null as a value.
 
-    One aggregation over all columns; the wide 1-row result is turned into
-    one row per column with ``stack``. ``approx=True`` uses HyperLogLog
-    (``approx_count_distinct``) instead of exact distinct counts, which
-    avoids the row expansion exact multi-column distinct needs.
+    ``method``:
+
+    * ``"hash"`` (default) - every cell becomes one narrow row
+      (column index, 128-bit value hash from two seeded xxhash64, is-null),
+      reduced by a single aggregation with map-side combine. Distinct counts
+      are exact unless two different values of one column share all 128 hash
+      bits (probability below 1e-14 even at 10^12 distinct values). The
+      exchange carries 3 longs per distinct (column, value) and partition.
+    * ``"exact"`` - distinct over the values themselves (Catalyst expands every
+      row once per column, which carries wide rows through the shuffle).
+    * ``"approx"`` - HyperLogLog (``approx_count_distinct``) with ``rsd``.
     """
     fields = [f for f in df.schema.fields if not isinstance(f.dataType, _UNCOUNTABLE)]
-    aggs = [F.count(F.lit(1)).alias("__rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
-        d = F.approx_count_distinct(c, rsd) if approx else F.count_distinct(c)
-        aggs.append((d + F.max(c.isNull().cast("int"))).alias(f"d{i}"))
-    wide = df.agg(*aggs)
-    rows = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, d{i}" for i, f in enumerate(fields))
-    long = wide.selectExpr("__rows", f"stack({len(fields)}, {rows}) AS (column, dtype, nulls, n_distinct)")
+    if method == "hash":
+        cells = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), F.col(f"`{f.name}`")).alias("h1"),
+                     F.xxhash64(F.lit(2), F.col(f"`{f.name}`")).alias("h2"),
+                     F.col(f"`{f.name}`").isNull().alias("isnull"))
+            for i, f in enumerate(fields)])).alias("c")).select("c.*")
+        per_value = cells.groupBy("i", "h1", "h2", "isnull").agg(F.count(F.lit(1)).alias("n"))
+        per_col = per_value.groupBy("i").agg(
+            F.count(F.lit(1)).alias("n_distinct"),
+            F.coalesce(F.sum(F.when(F.col("isnull"), F.col("n"))), F.lit(0)).alias("nulls"),
+            F.sum("n").alias("__rows"),
+        )
+        names = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+                                                "i int, column string, dtype string")
+        long = names.join(F.broadcast(per_col), "i").drop("i")
+    else:
+        aggs = [F.count(F.lit(1)).alias("__rows")]
+        for i, f in enumerate(fields):
+            c = F.col(f"`{f.name}`")
+            aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
+            d = F.approx_count_distinct(c, rsd) if method == "approx" else F.count_distinct(c)
+            aggs.append((d + F.max(c.isNull().cast("int"))).alias(f"d{i}"))
+        wide = df.agg(*aggs)
+        rows = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', n{i}, d{i}" for i, f in enumerate(fields))
+        long = wide.selectExpr("__rows", f"stack({len(fields)}, {rows}) AS (column, dtype, nulls, n_distinct)")
     total = F.col("__rows")
     return long.select(
-        "column", "dtype", "nulls",
-        (total - F.col("nulls")).alias("valid"),
+        "column", "dtype", F.col("nulls").cast("long").alias("nulls"),
+        (total - F.col("nulls")).cast("long").alias("valid"),
         (F.col("nulls") / total).alias("pct_null"),
         ((total - F.col("nulls")) / total).alias("pct_valid"),
         F.col("n_distinct").cast("long").alias("n_distinct"),

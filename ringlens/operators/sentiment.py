@@ -55,10 +55,7 @@ def _word_points(tokens: Column, words, weight: int) -> Column:
     return F.size(F.array_intersect(tokens, lex)) * F.lit(weight)
 
 
-def sentiment_score(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
-    """Numeric score of an already extracted user text."""
-    norm = normalize_text(text)
-    tokens = F.array_distinct(F.split(norm, r"(?U)\s+"))
+def _score_from(text: Column, norm: Column, tokens: Column, lexicon: Lexicon) -> Column:
     pos = _phrase_points(norm, lexicon.positive_phrases, lexicon.phrase_weight) + _word_points(
         tokens, lexicon.positive_words, lexicon.word_weight)
     neg = _phrase_points(norm, lexicon.negative_phrases, lexicon.phrase_weight) + _word_points(
@@ -67,6 +64,20 @@ def sentiment_score(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
     return F.when(short, F.lit(0.0)).otherwise((pos - neg).cast("double"))
 
 
+def _tokens(norm: Column) -> Column:
+    return F.array_distinct(F.split(norm, r"(?U)\s+"))
+
+
+def sentiment_score(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
+    """Numeric score of an already extracted user text, as one expression.
+
+    Convenient for small inputs; ``analyze_sentiment`` materialises the
+    normalised text and token set once per row instead of once per phrase.
+    """
+    norm = normalize_text(text)
+    return _score_from(text, norm, _tokens(norm), lexicon)
+
+
 def sentiment_label(score: Column, text: Column) -> Column:
     short = F.coalesce(F.length(ustrip(text)), F.lit(0)) < K.MIN_LABEL_CHARS
     return (
@@ -81,17 +92,23 @@ def analyze_sentiment(df: DataFrame, text_col: str = "transcript_text", lexicon:
                       strict_nulls: bool = False, keep_score: bool = False) -> DataFrame:
     """Add ``sentiment_own`` (and optionally ``sentiment_score``, ``user_text``).
 
+    The user text, its normalised form and its token set are separate
+    projections: each is referenced many times by the phrase and word terms,
+    so Catalyst keeps them as columns (evaluated once per row) instead of
+    inlining a copy into every term.
+
     A call without transcript is ``neutral`` (no user text, no signal); with
     ``strict_nulls=True`` it is null instead.
     """
-    ut = user_text(text_col)
-    df = df.withColumn("_user_text", ut)
-    score = sentiment_score(F.col("_user_text"), lexicon)
-    label = sentiment_label(F.col("_score"), F.col("_user_text"))
-    df = df.withColumn("_score", score).withColumn("sentiment_own", label)
+    df = df.withColumn("_user_text", user_text(text_col))
+    df = df.withColumn("_norm", normalize_text(F.col("_user_text")))
+    df = df.withColumn("_tokens", _tokens(F.col("_norm")))
+    df = df.withColumn("_score", _score_from(F.col("_user_text"), F.col("_norm"), F.col("_tokens"), lexicon))
+    df = df.withColumn("sentiment_own", sentiment_label(F.col("_score"), F.col("_user_text")))
     if strict_nulls:
         df = df.withColumn("sentiment_own",
                            F.when(F.col(text_col).isNull(), F.lit(None).cast("string")).otherwise(F.col("sentiment_own")))
+    df = df.drop("_norm", "_tokens")
     if keep_score:
         return df.withColumnsRenamed({"_score": "sentiment_score", "_user_text": "user_text"})
     return df.drop("_score", "_user_text")

@@ -10,11 +10,11 @@ from ringlens import constants as K
 from ringlens.operators import elimination as EL
 from ringlens.operators import profile as PR
 from ringlens.operators import stats as ST
-from ringlens.operators.clean import duration_fence, filter_outliers, flag_duration_outliers
+from ringlens.operators.clean import filter_outliers
 from ringlens.operators.reports import describe, distinct_sorted
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
-from ringlens.plans.stages import prepared, r9, scored
+from ringlens.plans.stages import limits, prepared, r9, scored, with_outliers
 
 # explicit schema of the prepared call table (the profile reports it)
 PREPARED_TYPES = {
@@ -52,8 +52,7 @@ SELECT *, unnest(list_filter([CASE WHEN coalesce(hour = 0, false) THEN 'hora_0'
 
 
 def _status_df(spark, sf):
-    df = scored(spark, sf)
-    return df, duration_fence(df)
+    return scored(spark, sf), limits(spark, sf)[1]
 
 
 def _normal_tail_sql(z: str) -> str:
@@ -112,8 +111,7 @@ SELECT count(*) AS n_original,
   CAST([] AS VARCHAR[]) AS missing_columns
 FROM prepared, fence"""), "A30 N14 P5")
 def validation_report(spark, sf):
-    df = flag_duration_outliers(prepared(spark, sf))
-    return PR.validation_report(df, duration_fence(df))
+    return PR.validation_report(with_outliers(prepared(spark, sf), spark, sf), limits(spark, sf)[1])
 
 
 @register("sentiment_domain_check", O.with_stage("prepared", [], f"""

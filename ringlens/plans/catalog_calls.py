@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ringlens import constants as K
 from ringlens.operators import contact, failures
-from ringlens.operators.clean import filter_funnel, filter_outliers, flag_duration_outliers
+from ringlens.operators.clean import filter_funnel, filter_outliers
 from ringlens.operators.reports import (
     duration_by_sentiment,
     sentiment_pivot,
@@ -16,7 +16,7 @@ from ringlens.operators.reports import (
 from ringlens.operators.sentiment import sentiment_agreement
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
-from ringlens.plans.stages import flagged, prepared, r9, scored
+from ringlens.plans.stages import flagged, limits, prepared, r9, scored, with_outliers
 
 _SUN = ", ".join(O.q(d) for d in K.DOW_ORDER_SUNDAY_FIRST)
 _CONN_SUM = "CAST(coalesce(sum(CAST(connected AS INTEGER)), 0) AS BIGINT)"
@@ -40,7 +40,7 @@ SELECT {', '.join(c for c in _CLEAN_COLS if c != 'duration_outlier')},
   coalesce(duration_ms > {O.nearest_q('prepared', 'duration_ms', K.P99_QUANTILE)}, false) AS duration_outlier
 FROM prepared"""), "S1 S3 S4 P1-P12 P18 A20")
 def clean_rows(spark, sf):
-    return flag_duration_outliers(prepared(spark, sf)).select(*_CLEAN_COLS)
+    return with_outliers(prepared(spark, sf), spark, sf).select(*_CLEAN_COLS)
 
 
 _PRE = f"hour <> 0 AND campaign_type <> '{K.TEST_CAMPAIGN}'"
@@ -54,7 +54,8 @@ SELECT q1 - {K.IQR_MULTIPLIER} * (q3 - q1) AS lo, q3 + {K.IQR_MULTIPLIER} * (q3
 SELECT call_id, hour, campaign_type, duration_sec
 FROM prepared, fence WHERE {_PRE} AND duration_sec BETWEEN fence.lo AND fence.hi"""), "F1 F2 F3 A20")
 def clean_kept(spark, sf):
-    return filter_outliers(prepared(spark, sf)).select("call_id", "hour", "campaign_type", "duration_sec")
+    return filter_outliers(prepared(spark, sf), limits(spark, sf)[1]).select("call_id", "hour", "campaign_type",
+                                                                            "duration_sec")
 
 
 @register("filter_funnel", O.with_stage("prepared", [_FENCE], f"""
@@ -65,7 +66,7 @@ SELECT step, count(*) AS n FROM (
               ELSE 'kept' END AS step
   FROM prepared, fence) GROUP BY step"""), "F4")
 def filter_funnel_q(spark, sf):
-    return filter_funnel(prepared(spark, sf))
+    return filter_funnel(prepared(spark, sf), limits(spark, sf)[1])
 
 
 # ---------------------------------------------------------------------------

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from ringlens import constants as K
 from ringlens.functions.categorical import reason_label
 from ringlens.operators import clusters as CL
-from ringlens.operators.clean import duration_fence, filter_outliers, flag_duration_outliers
-from ringlens.operators.failures import detect_failures, failure_rates_by
+from ringlens.operators.failures import failure_rates_by
 from ringlens.operators.features import FEATURES_6, FEATURES_7, assemble, encode_features, fit_scaler, prepare_variables
 from ringlens.operators.kprototypes import fit_kprototypes
 from ringlens.operators.reports import share_within, top_n_per_group, value_counts
 from ringlens.operators.sentiment import sentiment_agreement
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
-from ringlens.plans.stages import prepared, r9, scored
+from ringlens.plans import stages
+from ringlens.plans.stages import prepared, r9
 
 # parameters: four fixed centroids in the scaled feature space (order of FEATURES_7)
 FIXED_CENTROIDS = [
@@ -39,10 +39,7 @@ NOTEBOOK_NO_REASON = ["", "n/a", "otro"]
 
 def clean_calls(spark, sf, with_failures: bool = False):
     """Clean table (p99 flag over all rows, F1-F3) with own sentiment (and failure flags)."""
-    df = flag_duration_outliers(scored(spark, sf))
-    if with_failures:
-        df = detect_failures(df)
-    return filter_outliers(df, duration_fence(df))
+    return stages.clean(spark, sf, with_failures)
 
 
 def scaled_features(spark, sf, with_failures: bool = False):

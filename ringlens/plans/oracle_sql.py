@@ -18,8 +18,11 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_WS_SQL = " || ".join(f"chr({ord(c)})" for c in K.WHITESPACE)
+
+
 def ustrip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"trim({x}, {_WS_SQL})"
 
 
 def fold(x: str) -> str:
@@ -94,7 +97,7 @@ SELECT event_id AS call_id,
     WHEN 2 THEN '{"sentimiento":"positivo","razon_churn":"","posible_recuperacion":"Sí"}'
     ELSE '{"sentimiento":"","razon_churn":"Mudanza"}' END END AS post_call_analysis,
   ts AS executed_at,
-  event_type <> 'error' AS call_completed
+  coalesce(event_type <> 'error', false) AS call_completed
 FROM events)"""
 
 

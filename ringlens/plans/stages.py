@@ -1,11 +1,18 @@
-"""Pipeline stages over the test tables, shared by the registered queries."""
+"""Pipeline stages over the test tables, shared by the registered queries.
+
+A stage is a lazy DataFrame (a plan, not data). Within one Spark session the
+stage plans and the scalar limits derived from the data (p99, IQR fence) are
+built once per data folder and reused by every report, as a pipeline reuses
+its clean table: later queries start from an already analysed plan and do not
+recompute the limits. Nothing is cached in executor memory.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlens.operators.clean import prepare_calls
+from ringlens.operators.clean import Fence, clean_limits, filter_outliers, flag_duration_outliers, prepare_calls
 from ringlens.operators.failures import detect_failures
 from ringlens.operators.sentiment import analyze_sentiment
 from ringlens.sources.calls import load_calls
@@ -13,21 +20,52 @@ from ringlens.sources.calls import load_calls
 # wide text columns that no report needs after scoring; dropped before shuffles
 RAW_TEXT = ["transcript", "post_call_analysis"]
 
+_MEMO: dict = {}
+
+
+def _memo(spark: SparkSession, sf_dir: str, name: str, build):
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    if key not in _MEMO:
+        _MEMO[key] = build()
+    return _MEMO[key]
+
+
+def clear() -> None:
+    _MEMO.clear()
+
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_calls(spark, sf_dir)
+    return _memo(spark, sf_dir, "calls", lambda: load_calls(spark, sf_dir))
 
 
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare_calls(calls(spark, sf_dir))
+    return _memo(spark, sf_dir, "prepared", lambda: prepare_calls(calls(spark, sf_dir)))
 
 
 def scored(spark: SparkSession, sf_dir: str, keep_score: bool = False) -> DataFrame:
-    return analyze_sentiment(prepared(spark, sf_dir), keep_score=keep_score)
+    return _memo(spark, sf_dir, f"scored{int(keep_score)}",
+                 lambda: analyze_sentiment(prepared(spark, sf_dir), keep_score=keep_score))
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect_failures(scored(spark, sf_dir))
+    return _memo(spark, sf_dir, "flagged", lambda: detect_failures(scored(spark, sf_dir)))
+
+
+def limits(spark: SparkSession, sf_dir: str) -> tuple[float | None, Fence]:
+    """(p99 of duration_ms, IQR fence) of the prepared call table, computed once (two passes)."""
+    return _memo(spark, sf_dir, "limits", lambda: clean_limits(prepared(spark, sf_dir)))
+
+
+def with_outliers(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag_duration_outliers(df, p99=limits(spark, sf_dir)[0])
+
+
+def clean(spark: SparkSession, sf_dir: str, with_failures: bool = False) -> DataFrame:
+    """Clean table (p99 flag over all rows, F1-F3) with own sentiment (and failure flags)."""
+    def build():
+        df = with_outliers(flagged(spark, sf_dir) if with_failures else scored(spark, sf_dir), spark, sf_dir)
+        return filter_outliers(df, limits(spark, sf_dir)[1])
+    return _memo(spark, sf_dir, f"clean{int(with_failures)}", build)
 
 
 def r9(c) -> F.Column:

@@ -143,7 +143,7 @@ def _pick(index: F.Column, values: list[str]) -> F.Column:
 
 
 def calls_from_events(events: DataFrame) -> DataFrame:
-    """Call log (raw schema + ``call_id``) derived row by row from ``events``.
+    """Call log (raw schema + ``call_id`` + ``call_completed``) derived row by row from ``events``.
 
     A pure projection: it keeps the partitioning of the scan and adds no
     shuffle; only the five event columns it needs are read.
@@ -166,9 +166,10 @@ def calls_from_events(events: DataFrame) -> DataFrame:
         F.when(not_error, _pick((F.col("event_id") + F.col("user_id")) % 8, _TRANSCRIPTS)).alias("transcript"),
         F.when(F.col("event_type") == "purchase", _pick(F.col("event_id") % 4, _PCA_BODIES)).alias("post_call_analysis"),
         F.col("ts").alias("executed_at"),
+        F.coalesce(not_error, F.lit(False)).alias("call_completed"),
     )
 
 
 def load_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw call log over the test tables, with ``call_completed``."""
-    return add_call_completed(calls_from_events(read_table(spark, sf_dir, "events")))
+    """Raw call log over the test tables (``call_completed`` derived in the same projection)."""
+    return calls_from_events(read_table(spark, sf_dir, "events"))

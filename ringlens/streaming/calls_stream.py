@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ringlens.operators.clean import Fence, fence_condition, flag_duration_outliers, pre_fence_condition, prepare_calls
 from ringlens.operators.failures import detect_failures
 from ringlens.operators.sentiment import DEFAULT_LEXICON, Lexicon, analyze_sentiment
-from ringlens.sources.calls import add_call_completed, calls_from_events
+from ringlens.sources.calls import calls_from_events
 
 
 def score_calls(df: DataFrame, p99: float, fence: Fence | None = None, lexicon: Lexicon = DEFAULT_LEXICON,
@@ -33,4 +33,4 @@ def events_stream(spark: SparkSession, events_dir: str, max_files_per_trigger: i
     """Streaming call log from parquet ``events`` files arriving in ``events_dir``."""
     schema = spark.read.parquet(events_dir).schema
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(events_dir)
-    return add_call_completed(calls_from_events(raw))
+    return calls_from_events(raw)

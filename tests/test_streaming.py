@@ -14,8 +14,8 @@ def test_row_stages_run_on_a_stream(spark):
     (p99,) = nearest_quantiles(prepare_calls(load_calls(spark, SF_SMALL)), "duration_ms", [0.99])
     schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SF_SMALL)
-    from ringlens.sources.calls import add_call_completed, calls_from_events
-    scored = score_calls(add_call_completed(calls_from_events(stream)), p99)
+    from ringlens.sources.calls import calls_from_events
+    scored = score_calls(calls_from_events(stream), p99)
     assert scored.isStreaming
     ck = tempfile.mkdtemp(prefix="ringlens-stream-")
     q = (scored.select("call_id", "sentiment_own", "fail_inactivity", "duration_outlier")
