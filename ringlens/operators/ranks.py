@@ -2,67 +2,56 @@
 
 ``Window.orderBy(x)`` with no partition key moves every row to one task. Here
 the input is first reduced to one row per distinct value (map-side combine),
-range-partitioned on the value, summed inside each partition (pandas on the
-already sorted partition) and shifted by the totals of the preceding
-partitions. The offsets table has one row per (partition, key) and is
-broadcast; its size is bounded by the number of shuffle partitions times the
-number of keys, not by the data.
+then cut into value ranges whose bounds are fixed once (approximate
+quantiles of the distinct values, kept as literals of the plan, so every
+re-evaluation - including task retries - cuts the same ranges). Each range
+is summed with a window partitioned by the range, and shifted by the totals
+of the preceding ranges. The offsets table has one row per (range, key); its
+size is bounded by the number of ranges times the number of keys, not by the
+data, and it is broadcast.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+
+def range_bounds(agg: DataFrame, order_col: str, ranges: int, rel_error: float = 0.001) -> list[float]:
+    """Split points for ``ranges`` balanced value ranges (driver literals, <= ranges - 1 values)."""
+    if ranges <= 1:
+        return [-math.inf, math.inf]
+    qs = [i / ranges for i in range(1, ranges)]
+    probe = agg.select(F.col(order_col).cast("double").alias("_v")).filter(~F.isnan("_v"))
+    bounds = probe.approxQuantile("_v", qs, rel_error)
+    inner = sorted({b for b in bounds if b is not None and not math.isnan(b) and not math.isinf(b)})
+    return [-math.inf, *inner, math.inf]
 
 
 def cumulative_before(agg: DataFrame, order_col: str, count_col: str, keys: list[str] | None = None,
-                      partitions: int | None = None) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """Add ``before`` = sum of ``count_col`` over rows with a smaller ``order_col`` (within ``keys``).
 
-    ``agg`` must hold one row per (keys, order_col).
+    ``agg`` must hold one row per (keys, order_col) and ``order_col`` must be
+    numeric. NaN sorts after every number, as in Spark.
     """
     keys = list(keys or [])
     spark = agg.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = (
-        agg.repartitionByRange(n, *[F.col(k) for k in keys], F.col(order_col))
-        .sortWithinPartitions(*keys, order_col)
-        .withColumn("_pid", F.spark_partition_id())
-    )
-    schema = T.StructType(parts.schema.fields + [T.StructField("_local", T.LongType())])
-    cols = parts.columns
-
-    def local_sums(batches):
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            c = pdf[count_col].astype("int64")
-            if keys:
-                grp = pdf[keys].astype(str).agg("\x1f".join, axis=1) if len(keys) > 1 else pdf[keys[0]].astype(str)
-                incl = c.groupby(grp.values).cumsum()
-                start = grp.map(lambda g: carry.get(g, 0)).astype("int64")
-                local = start.values + incl.values - c.values
-                last = pd.DataFrame({"g": grp.values, "v": start.values + incl.values}).groupby("g")["v"].last()
-                carry.update(last.to_dict())
-            else:
-                base = carry.get(None, 0)
-                incl = c.cumsum()
-                local = base + incl.values - c.values
-                carry[None] = int(base + incl.iloc[-1])
-            out = pdf[cols].copy()
-            out["_local"] = local.astype("int64")
-            yield out
-
-    local = parts.mapInPandas(local_sums, schema)
-    totals = local.groupBy("_pid", *keys).agg(F.sum(count_col).alias("_tot"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
-    out = local.join(F.broadcast(offsets), ["_pid", *keys], "left")
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    splits = range_bounds(agg, order_col, n)
+    src = agg.withColumn("_v", F.col(order_col).cast("double"))
+    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(src).drop("_v")
+    w = Window.partitionBy("_b", *keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = bucketed.withColumn("_local", F.coalesce(F.sum(count_col).over(w), F.lit(0)).cast("long"))
+    totals = bucketed.groupBy("_b", *keys).agg(F.sum(count_col).alias("_tot"))
+    wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(wo), F.lit(0))).drop("_tot")
+    out = local.join(F.broadcast(offsets), ["_b", *keys], "left")
     return out.withColumn("before", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long")) \
-              .drop("_pid", "_off", "_local")
+              .drop("_b", "_off", "_local")
 
 
 def midranks(agg: DataFrame, order_col: str, count_col: str, keys: list[str] | None = None) -> DataFrame:

@@ -200,23 +200,32 @@ def segment_duration_tests(df: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str], min_pairs: int = K.MIN_PAIRS) -> DataFrame:
     """Spearman rho for every pair of ``columns`` over pairwise non-null rows (< min_pairs -> NaN).
 
-    Per pair: mid-ranks of each column (distinct-value tables, distributed
-    cumulative counts) joined back on the value, then ``corr``. The join of
-    rows to their value's rank is skew-safe with AQE skew-join splitting.
+    All pairs are ranked in one pass: rows are stacked to (pair, side, value),
+    reduced to value counts, and mid-ranked with the distributed cumulative
+    counts keyed by (pair, side). Each row's two ranks are then joined back
+    on (pair, side, value) - a hot value is split by AQE's skew-join handling
+    - and ``corr`` of the ranks is taken per pair.
     """
-    outs = []
-    for a, b in combinations(columns, 2):
-        rows = df.select(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) \
-                 .filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        rx = midranks(rows.groupBy("x").agg(F.count(F.lit(1)).alias("cnt")), "x", "cnt").select("x", F.col("midrank").alias("rx"))
-        ry = midranks(rows.groupBy("y").agg(F.count(F.lit(1)).alias("cnt")), "y", "cnt").select("y", F.col("midrank").alias("ry"))
-        r = rows.join(rx, "x").join(ry, "y").agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
-        outs.append(r.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "n",
-                             F.when(F.col("n") < min_pairs, F.lit(float("nan"))).otherwise(F.col("rho")).alias("rho")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    pairs = list(combinations(columns, 2))
+    rows = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
+    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    sides = rows.select("pair", F.explode(F.array(
+        F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "s.*")
+    counts = sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = midranks(counts, "v", "cnt", keys=["pair", "side"]).select("pair", "side", "v", "midrank")
+    rx = ranks.filter(F.col("side") == "x").select("pair", F.col("v").alias("x"), F.col("midrank").alias("rx"))
+    ry = ranks.filter(F.col("side") == "y").select("pair", F.col("v").alias("y"), F.col("midrank").alias("ry"))
+    r = rows.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).groupBy("pair").agg(
+        F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                                            "pair int, col_a string, col_b string")
+    out = names.join(F.broadcast(r), "pair", "left")
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    return out.select("col_a", "col_b", n.alias("n"),
+                      F.when(n < min_pairs, F.lit(float("nan"))).otherwise(F.col("rho")).alias("rho"))
 
 
 # ---------------------------------------------------------------------------
