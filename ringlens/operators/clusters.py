@@ -86,12 +86,16 @@ def assign_to_centroids(df: DataFrame, cols: list[str], centroids: list[list[flo
     return df.withColumn(out, best.cast("int"))
 
 
-def canonical_ids(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
-    """Renumber clusters by (engagement mean, duration median, raw id) so ids carry a stable meaning."""
+def canonical_mapping(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Raw id -> canonical id, ordered by (engagement mean, duration median, raw id); k rows."""
     stats = pred.groupBy(prediction).agg(F.avg("f_engagement").alias("_e"), F.median("duration_sec").alias("_d"))
     w = Window.orderBy("_e", F.asc_nulls_first("_d"), prediction)
-    mapping = stats.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).select(prediction, "cluster_id")
-    return pred.join(F.broadcast(mapping), prediction).drop(prediction)
+    return stats.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).select(prediction, "cluster_id")
+
+
+def canonical_ids(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
+    """Renumber clusters so ids carry a stable meaning (the k-row mapping is broadcast)."""
+    return pred.join(F.broadcast(canonical_mapping(pred, prediction)), prediction).drop(prediction)
 
 
 def attach_clusters(calls: DataFrame, clustered: DataFrame, key: str = "call_url", strict: bool = True) -> DataFrame:
@@ -106,6 +110,20 @@ def attach_clusters(calls: DataFrame, clustered: DataFrame, key: str = "call_url
     return out.withColumn("cluster_id", F.coalesce(F.col("cluster_id"), F.lit(-1)).cast("int"))
 
 
+def cluster_ids_for_all(df: DataFrame, clustered_rows, prediction, strict: bool = True) -> DataFrame:
+    """M8/J1 without a join: cluster id on every call in the same pass, -1 otherwise.
+
+    ``clustered_rows`` is the row-level condition that selected the rows the
+    model was fit on (clean and connected); ``prediction`` the assignment
+    expression. With ``strict`` a row with a null ``call_url`` gets -1, as an
+    equi-join on that key would give.
+    """
+    cond = F.coalesce(clustered_rows, F.lit(False))
+    if strict:
+        cond = cond & F.col("call_url").isNotNull()
+    return df.withColumn("cluster_id", F.when(cond, prediction).otherwise(F.lit(-1)).cast("int"))
+
+
 # ---------------------------------------------------------------------------
 # end to end
 # ---------------------------------------------------------------------------
@@ -134,6 +152,31 @@ def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample
     return pred, ksel, model
 
 
+def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int = 10, max_iter: int = 150,
+                     seed: int = 42, feature_cols=None) -> DataFrame:
+    """M1-M8 over a whole call table in one assignment pass (no join back).
+
+    The scaler, median fill and model are fit on the rows selected by
+    ``clustered_rows`` (clean, connected); every call then gets its canonical
+    cluster id, or -1 when it was not part of the fit.
+    """
+    from ringlens.operators.features import FEATURES_7, encode_features
+
+    cols = list(feature_cols or FEATURES_7)
+    cond = F.coalesce(clustered_rows, F.lit(False))
+    fit_rows = calls.filter(cond)
+    fill = fit_rows.select(F.median("duration_sec")).first()[0] or 0.0
+    enc = encode_features(calls, duration_fill=fill)
+    scaler = fit_scaler(enc.filter(cond), cols)
+    zc = [c + "_z" for c in cols]
+    vec = assemble(scaler.transform(enc), zc)
+    train = vec.filter(cond).persist()
+    model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
+    mapping = canonical_mapping(model.transform(train)).withColumnRenamed("cluster_id", "_canon")
+    pred = model.transform(vec).join(F.broadcast(mapping), "prediction", "left")
+    return cluster_ids_for_all(pred, cond, F.col("_canon")).drop("_canon")
+
+
 def ordinal_kmeans(df: DataFrame, k: int, numeric=("duration_sec", "hour"), binary=("duration_outlier_i", "inconsistency_flag_i"),
                    categorical=("disconnected_reason", "razon_grupo", "day_of_week"), n_init: int = 10, seed: int = 42):
     """K-Means on numerics + binaries + alphabetically indexed categories, all scaled."""

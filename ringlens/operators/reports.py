@@ -9,10 +9,21 @@ from ringlens import constants as K
 from ringlens.functions.quantiles import linear
 
 
+def with_total_share(counts: DataFrame, n_col: str = "n", pct_name: str = "pct") -> DataFrame:
+    """Share of each group in the grand total.
+
+    The total is a one-row aggregate attached by a broadcast equi-join on a
+    constant key, so the grouped table keeps its partitioning (a global
+    window would move every group into one task).
+    """
+    total = counts.agg(F.sum(n_col).alias("_total")).withColumn("_k", F.lit(1))
+    out = counts.withColumn("_k", F.lit(1)).join(F.broadcast(total), "_k")
+    return out.withColumn(pct_name, F.col(n_col) / F.col("_total")).drop("_k", "_total")
+
+
 def value_counts(df: DataFrame, col: str, pct_name: str = "pct") -> DataFrame:
     """Count per value (null is a value) and share of all rows."""
-    out = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn(pct_name, F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return with_total_share(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")), "n", pct_name)
 
 
 def pivot_counts(df: DataFrame, by: str, on: str, values: list) -> DataFrame:

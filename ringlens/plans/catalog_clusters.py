@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ringlens import constants as K
 from ringlens.functions.categorical import reason_label
 from ringlens.operators import clusters as CL
+from ringlens.operators.clean import fence_condition, pre_fence_condition
 from ringlens.operators.failures import failure_rates_by
 from ringlens.operators.features import FEATURES_6, FEATURES_7, assemble, encode_features, fit_scaler, prepare_variables
 from ringlens.operators.kprototypes import fit_kprototypes
@@ -127,7 +128,16 @@ SELECT p.call_id, CAST(coalesce(a.cluster_id, -1) AS INTEGER) AS cluster_id
 FROM prepared p LEFT JOIN (SELECT call_url, cluster_id FROM assigned WHERE call_url IS NOT NULL) a USING (call_url)"""),
           "M8 J1")
 def cluster_assign_fixed(spark, sf):
-    return CL.attach_clusters(prepared(spark, sf), fixed_clusters(spark, sf), "call_url").select("call_id", "cluster_id")
+    # the scaler is fit on clean connected calls; every call is then assigned in one pass, no join
+    conn = encode_features(clean_calls(spark, sf).filter(F.col("connected")))
+    scaler = fit_scaler(conn, FEATURES_7)
+    fill = conn.select(F.median("duration_sec")).first()[0] or 0.0
+    allz = scaler.transform(encode_features(stages.with_outliers(prepared(spark, sf), spark, sf), duration_fill=fill))
+    allz = allz.withColumns({c: r9(c) for c in Z7})
+    pred = CL.assign_to_centroids(allz, Z7, FIXED_CENTROIDS, out="_pred")
+    p99, fence = stages.limits(spark, sf)
+    clustered = pre_fence_condition() & fence_condition(fence) & F.col("connected")
+    return CL.cluster_ids_for_all(pred, clustered, F.col("_pred")).select("call_id", "cluster_id")
 
 
 @register("cluster_quality_fixed", cluster_sql(f"""
@@ -260,9 +270,10 @@ def failure_rates_by_cluster_fixed(spark, sf):
 
 @register("kmeans_clusters", None, "M4 M5 M7 M8 J1 S7")
 def kmeans_clusters(spark, sf):
-    clean = clean_calls(spark, sf)
-    pred, _, _ = CL.cluster_calls(clean, k=4, ks=None)
-    return CL.attach_clusters(prepared(spark, sf), pred, "call_url").select("call_id", "cluster_id")
+    calls = stages.with_outliers(stages.scored(spark, sf), spark, sf)
+    fence = stages.limits(spark, sf)[1]
+    clustered = pre_fence_condition() & fence_condition(fence) & F.col("connected")
+    return CL.kmeans_all_calls(calls, clustered, k=4).select("call_id", "cluster_id")
 
 
 @register("kmeans_k_selection", None, "M6 M4 M9")
