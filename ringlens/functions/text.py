@@ -4,7 +4,7 @@ All rules are written as built-in Spark expressions so they stay inside
 whole-stage codegen and run on executors:
 
 * edge whitespace is the Unicode whitespace set, not only ASCII spaces;
-* ``\\w`` is Unicode-aware, so ``señal`` stays one word;
+* word characters are Unicode letters/numbers/underscore, so ``señal`` stays one word;
 * accent folding covers exactly the characters in ``constants.ACCENTS_FROM``.
 """
 
@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from ringlens.constants import ACCENTS_FROM, ACCENTS_TO, WHITESPACE
 
-_PUNCT = r"(?U)[^\w\s]"
+# explicit classes instead of Java's (?U)\w / (?U)\s, whose Unicode tables
+# differ from the rule's (combining marks, connector punctuation, No digits,
+# U+001C-U+001F): word = letters, numbers, underscore; space = WHITESPACE
+WS_CLASS = "".join(f"\\u{ord(c):04X}" for c in WHITESPACE)
+WORD_CLASS = r"\p{L}\p{N}_"
+_PUNCT = f"[^{WORD_CLASS}{WS_CLASS}]"
+WS_RUN = f"[{WS_CLASS}]+"
 
 
 def _c(col) -> Column:

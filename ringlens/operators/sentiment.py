@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
-from ringlens.functions.text import normalize_text, user_text, ustrip
+from ringlens.functions.text import WS_RUN, normalize_text, user_text, ustrip
 
 
 @dataclass(frozen=True)
@@ -65,7 +65,7 @@ def _score_from(text: Column, norm: Column, tokens: Column, lexicon: Lexicon) ->
 
 
 def _tokens(norm: Column) -> Column:
-    return F.array_distinct(F.split(norm, r"(?U)\s+"))
+    return F.array_distinct(F.split(norm, WS_RUN))
 
 
 def sentiment_score(text: Column, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
@@ -89,7 +89,7 @@ def sentiment_label(score: Column, text: Column) -> Column:
 
 
 def analyze_sentiment(df: DataFrame, text_col: str = "transcript_text", lexicon: Lexicon = DEFAULT_LEXICON,
-                      strict_nulls: bool = False, keep_score: bool = False) -> DataFrame:
+                      strict_nulls: bool = False, keep_score: bool = False, user_lines: bool = True) -> DataFrame:
     """Add ``sentiment_own`` (and optionally ``sentiment_score``, ``user_text``).
 
     The user text, its normalised form and its token set are separate
@@ -98,9 +98,11 @@ def analyze_sentiment(df: DataFrame, text_col: str = "transcript_text", lexicon:
     inlining a copy into every term.
 
     A call without transcript is ``neutral`` (no user text, no signal); with
-    ``strict_nulls=True`` it is null instead.
+    ``strict_nulls=True`` it is null instead. ``user_lines=False`` scores the
+    whole text (documents, free text) instead of the ``User:`` lines.
     """
-    df = df.withColumn("_user_text", user_text(text_col))
+    src = user_text(text_col) if user_lines else F.coalesce(F.col(text_col), F.lit(""))
+    df = df.withColumn("_user_text", src)
     df = df.withColumn("_norm", normalize_text(F.col("_user_text")))
     df = df.withColumn("_tokens", _tokens(F.col("_norm")))
     df = df.withColumn("_score", _score_from(F.col("_user_text"), F.col("_norm"), F.col("_tokens"), lexicon))

@@ -13,7 +13,8 @@ from ringlens.operators.reports import (
     top_hours_for,
     value_counts,
 )
-from ringlens.operators.sentiment import sentiment_agreement
+from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
+from ringlens.sources.calls import read_table
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
 from ringlens.plans.stages import flagged, limits, prepared, r9, scored, with_outliers
@@ -79,6 +80,15 @@ def sentiment_rows(spark, sf):
     return scored(spark, sf, keep_score=True).select("call_id", "user_text", "sentiment_score", "sentiment_own")
 
 
+@register("document_sentiment", "WITH " + O.score_ctes("documents", "coalesce(text, '')", "ds") + """
+SELECT doc_id, lang, sentiment_score, sentiment_own FROM ds""", "X2-X6 P13 P14")
+def document_sentiment(spark, sf):
+    """The lexicon scorer over whole documents (free text, every word of every document)."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "lang", "text")
+    out = analyze_sentiment(docs, text_col="text", keep_score=True, user_lines=False)
+    return out.select("doc_id", "lang", "sentiment_score", "sentiment_own")
+
+
 @register("agent_failures", O.with_stage("flagged", [], f"""
 SELECT call_id, {', '.join(K.FAIL_COLUMNS)} FROM flagged"""), "G1-G5")
 def agent_failures(spark, sf):

@@ -29,8 +29,11 @@ def fold(x: str) -> str:
     return f"translate({x}, {q(K.ACCENTS_FROM)}, {q(K.ACCENTS_TO)})"
 
 
+_WS_RE = "".join(f"\\x{{{ord(c):04X}}}" for c in K.WHITESPACE)
+
+
 def normalize_text(x: str) -> str:
-    return ustrip(rf"regexp_replace({fold(f'lower({x})')}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')")
+    return ustrip(f"regexp_replace({fold(f'lower({x})')}, '[^\\p{{L}}\\p{{N}}_{_WS_RE}]', ' ', 'g')")
 
 
 def normalize_category(x: str) -> str:
@@ -63,7 +66,7 @@ def _phrases(norm: str, phrases) -> str:
 
 
 def _words(norm: str, words) -> str:
-    return f"len(list_intersect(list_distinct(string_split_regex({norm}, '\\s+')), {_list(words)}))"
+    return f"len(list_intersect(list_distinct(string_split_regex({norm}, '[{_WS_RE}]+')), {_list(words)}))"
 
 
 # ---------------------------------------------------------------------------
@@ -130,25 +133,29 @@ prepared AS (
 SELECT *, CAST(length(transcript_text) AS INTEGER) AS transcript_length, {campaign_type('name')} AS campaign_type
 FROM prepared0)"""
 
-_UT = "array_to_string(" + speaker_lines("transcript_text", "User") + ", ' ')"
-_NORM = normalize_text("user_text")
-
-SCORED = f"""scored0 AS (
-SELECT *, {_UT} AS user_text FROM prepared),
-scored1 AS (
-SELECT *, {_NORM} AS _norm FROM scored0),
-scored2 AS (
+def score_ctes(src: str, text_expr: str, out: str) -> str:
+    """CTEs adding ``user_text``, ``sentiment_score``, ``sentiment_own`` to ``src`` (result CTE ``out``)."""
+    norm = normalize_text("user_text")
+    return f"""{out}0 AS (
+SELECT *, {text_expr} AS user_text FROM {src}),
+{out}1 AS (
+SELECT *, {norm} AS _norm FROM {out}0),
+{out}2 AS (
 SELECT *,
   CASE WHEN coalesce(length({ustrip('user_text')}), 0) < {K.MIN_SCORE_CHARS} THEN 0.0
   ELSE CAST(({_phrases('_norm', K.POSITIVE_PHRASES)} + {_words('_norm', K.POSITIVE_WORDS)})
           - ({_phrases('_norm', K.NEGATIVE_PHRASES)} + {_words('_norm', K.NEGATIVE_WORDS)}) AS DOUBLE) END AS sentiment_score
-FROM scored1),
-scored AS (
+FROM {out}1),
+{out} AS (
 SELECT * EXCLUDE (_norm),
   CASE WHEN coalesce(length({ustrip('user_text')}), 0) < {K.MIN_LABEL_CHARS} THEN 'neutral'
        WHEN sentiment_score >= {K.POSITIVE_CUTOFF} THEN 'positivo'
        WHEN sentiment_score <= {K.NEGATIVE_CUTOFF} THEN 'negativo' ELSE 'neutral' END AS sentiment_own
-FROM scored2)"""
+FROM {out}2)"""
+
+
+_UT = "array_to_string(" + speaker_lines("transcript_text", "User") + ", ' ')"
+SCORED = score_ctes("prepared", _UT, "scored")
 
 _AGENT_LONG = f"list_transform(list_filter({speaker_lines('transcript_text', 'Agent')}, lambda l: length(l) > {K.REPEAT_MIN_CHARS}), lambda l: {normalize_text('l')})"
 
