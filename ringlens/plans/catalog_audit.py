@@ -11,6 +11,7 @@ from ringlens.operators import elimination as EL
 from ringlens.operators import profile as PR
 from ringlens.operators import stats as ST
 from ringlens.operators.clean import filter_outliers
+from ringlens.functions.categorical import significance
 from ringlens.operators.reports import describe, distinct_sorted
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
@@ -186,12 +187,22 @@ SELECT *, CASE WHEN coalesce(se, 0.0) = 0 THEN 0.0 ELSE (rate_a - rate_b) / se E
 SELECT segment, CAST(n_a AS BIGINT) AS n_a, CAST(c_a AS BIGINT) AS c_a, CAST(n_b AS BIGINT) AS n_b,
   CAST(c_b AS BIGINT) AS c_b, rate_a, rate_b, {O.r9('z')} AS z,
   {O.r9(f"CASE WHEN coalesce(se, 0.0) = 0 THEN 1.0 ELSE least(1.0, 2.0 * ({_normal_tail_sql('z')})) END")} AS p_value
-FROM zt"""), "T1 P26")
+FROM zt"""), "T1")
 def segment_ztest(spark, sf):
     out = ST.segment_ztests(scored(spark, sf))
     return out.withColumns({"z": r9("z"), "p_value": r9("p_value")})
 
 
+@register("segment_ztest_labels", O.with_stage("scored", [_SEG, _ZT, f"""zp AS (
+SELECT segment, CASE WHEN coalesce(se, 0.0) = 0 THEN 1.0 ELSE least(1.0, 2.0 * ({_normal_tail_sql('z')})) END AS p FROM zt)"""],
+                                                   """
+SELECT segment, CASE WHEN p IS NULL OR isnan(p) THEN 'N/A' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**'
+  WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance FROM zp"""), "P26 T1")
+def segment_ztest_labels(spark, sf):
+    out = ST.segment_ztests(scored(spark, sf))
+    return out.select("segment", significance("p_value").alias("significance"))
+
+
 _MW = f"""mw0 AS (
 SELECT segment AS test, 'a' AS side, duration_sec AS v FROM seg WHERE connected AND segment <> 'resto'
 UNION ALL SELECT unnest(['hora_0', 'prueba']) AS test, 'b' AS side, duration_sec AS v FROM seg

@@ -13,6 +13,8 @@ from ringlens.operators.reports import (
     top_hours_for,
     value_counts,
 )
+from ringlens.functions.text import truncate, user_text
+from ringlens.operators.features import hash_sample_per_group
 from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
 from ringlens.sources.calls import read_table
 from ringlens.plans import oracle_sql as O
@@ -327,3 +329,45 @@ GROUP BY hour ORDER BY n_negativo DESC, hour LIMIT 5"""), "A18")
 def top_negative_hours(spark, sf):
     df = scored(spark, sf)
     return top_hours_for(df.filter(F.col("connected") & (F.col("sentiment_own") == "negativo")), "n_negativo", 5)
+
+
+# ---------------------------------------------------------------------------
+# examples and audit samples (F9, F10, O3-O5, P16, P17, S9): seeded hash samples per group
+# ---------------------------------------------------------------------------
+
+@register("sentiment_examples", None, "O4 F9 P16 P17 O3")
+def sentiment_examples(spark, sf):
+    """Three connected calls per own sentiment with a transcript over 100 chars; user text ' | ' joined, 300 chars."""
+    df = scored(spark, sf).filter(F.col("connected") & F.col("transcript_text").isNotNull()
+                                  & (F.col("transcript_length") > 100))
+    sample = hash_sample_per_group(df, "sentiment_own", 3)
+    return sample.select("sentiment_own", "call_id", "duration_sec", "disconnected_reason",
+                         truncate(user_text("transcript_text", " | "), 300).alias("user_said"))
+
+
+@register("failure_examples", None, "O4 F9 P17 O5")
+def failure_examples(spark, sf):
+    """Two connected calls per failure type with a transcript over 50 chars, transcript cut at 400 chars."""
+    df = flagged(spark, sf).filter(F.col("connected") & F.col("transcript_text").isNotNull()
+                                   & (F.col("transcript_length") > 50))
+    parts = [hash_sample_per_group(df.filter(F.col(c)).withColumn("failure", F.lit(c)), "failure", 2)
+             for c in K.FAIL_COLUMNS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("failure", "call_id", "duration_sec", "disconnected_reason", "sentiment_own",
+                      truncate("transcript_text", 400).alias("transcript"))
+
+
+@register("audit_samples", None, "F10 O4 O5 S9")
+def audit_samples(spark, sf):
+    """Up to five rows of each (connected, call_completed) combination, plus ten rows where they differ."""
+    cols = ["campaign_id", "name", "target_id", "call_url", "connected", "disconnected_reason", "post_call_analysis",
+            "call_completed"]
+    df = prepared(spark, sf).withColumn("combo", F.concat_ws("/", F.col("connected").cast("string"),
+                                                            F.col("call_completed").cast("string")))
+    combos = hash_sample_per_group(df, "combo", 5).select(F.col("combo").alias("sample"), "call_id", *cols)
+    diff = df.filter(~F.col("connected").eqNullSafe(F.col("call_completed"))).withColumn("sample", F.lit("differs"))
+    not_conn = df.filter(F.col("connected") == F.lit(False)).withColumn("sample", F.lit("not_connected"))
+    return combos.unionByName(hash_sample_per_group(diff, "sample", 10).select("sample", "call_id", *cols)) \
+                 .unionByName(hash_sample_per_group(not_conn, "sample", 10).select("sample", "call_id", *cols))
