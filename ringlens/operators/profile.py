@@ -127,7 +127,7 @@ def hour_distribution(df: DataFrame, candidate_hour: int = 0) -> DataFrame:
 def segment_summary(df: DataFrame) -> DataFrame:
     """Per audit segment: calls, connected, rate, transcript coverage."""
     seg = segments(df)
-    has_t = F.col("transcript_text").isNotNull() & (F.col("transcript_length") > 0)
+    has_t = F.coalesce(F.col("transcript_length") > 0, F.lit(False))  # length is null iff the text is
     out = seg.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.col("connected").cast("int")), F.lit(0)).alias("n_connected"),

@@ -17,11 +17,8 @@ import math
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ringlens import constants as K
 from ringlens.operators.ranks import midranks
@@ -127,17 +124,19 @@ def _exact_sf(u: int, m: int, n: int) -> float:
     return float(poly[int(u):].sum() / total)
 
 
-@pandas_udf(T.DoubleType())
-def _mwu_exact_p(u: pd.Series, m: pd.Series, n: pd.Series, use: pd.Series) -> pd.Series:
-    out = []
-    for uu, mm, nn, ok in zip(u, m, n, use):
-        if not ok:
-            out.append(float("nan"))
-            continue
-        mm, nn = int(mm), int(nn)
-        big = max(float(uu), mm * nn - float(uu))
-        out.append(min(1.0, 2.0 * _exact_sf(int(math.ceil(big)), mm, nn)))
-    return pd.Series(out, dtype="float64")
+def _mwu_p(u1: float, na: int, nb: int, tie_term: float, exact_max_n: int, exact_max_cells: int) -> tuple[str, float]:
+    """Two-sided p of Mann-Whitney U (statistic of side a), exact or asymptotic."""
+    if na < 2 or nb < 2:
+        return "none", float("nan")
+    big = max(u1, na * nb - u1)
+    if min(na, nb) <= exact_max_n and tie_term == 0 and na * nb <= exact_max_cells:
+        return "exact", min(1.0, 2.0 * _exact_sf(int(math.ceil(big)), na, nb))
+    n = na + nb
+    sd = math.sqrt(na * nb / 12 * ((n + 1) - tie_term / (n * (n - 1))))
+    z = (big - na * nb / 2 - 0.5) / sd
+    if z < 0:
+        return "asymptotic", 1.0
+    return "asymptotic", min(1.0, math.erfc(z / math.sqrt(2)))
 
 
 def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", exact_max_n: int = 8,
@@ -147,6 +146,12 @@ def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", exac
     ``df`` holds (``tests``, ``side`` in {'a','b'}, ``value``) rows. Output per
     test: n_a, n_b, u (statistic of side a), rank sum, tie term, method, p.
     Fewer than 2 values on a side -> NaN.
+
+    The rank sums are distributed (value counts -> mid-ranks -> one
+    aggregation per test). The result has one row per test; it is collected
+    and the p-value is finished on the driver (normal tail with tie and
+    continuity correction, or the exact null distribution for a small
+    tie-free side), then returned as a DataFrame.
     """
     base = df.filter(F.col(value).isNotNull()).select(tests, side, F.col(value).cast("double").alias("v"))
     agg = base.groupBy(tests, "v").agg(
@@ -154,33 +159,22 @@ def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", exac
         F.sum((F.col(side) == "b").cast("long")).alias("nb"),
     ).withColumn("cnt", F.col("na") + F.col("nb"))
     ranked = midranks(agg, "v", "cnt", keys=[tests])
-    s = ranked.groupBy(tests).agg(
+    stats = ranked.groupBy(tests).agg(
         F.sum("na").alias("n_a"),
         F.sum("nb").alias("n_b"),
         F.sum(F.col("na") * F.col("midrank")).alias("rank_sum_a"),
         F.sum(F.col("cnt").cast("double") ** 3 - F.col("cnt")).alias("tie_term"),
-    )
-    na, nb = F.col("n_a").cast("double"), F.col("n_b").cast("double")
-    u1 = F.col("rank_sum_a") - na * (na + 1) / 2
-    n = na + nb
-    mu = na * nb / 2
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
-    big = F.greatest(u1, na * nb - u1)
-    z = (big - mu - F.lit(0.5)) / sd
-    p_asym = F.least(F.lit(1.0), F.lit(2.0) * normal_lower_tail(z))
-    p_asym = F.when(z < 0, F.lit(1.0)).otherwise(p_asym)
-    exact = (F.least(F.col("n_a"), F.col("n_b")) <= exact_max_n) & (F.col("tie_term") == 0) \
-        & (F.col("n_a") * F.col("n_b") <= exact_max_cells)
-    s = s.withColumn("u", u1).withColumn("_exact", exact)
-    s = s.withColumn("_pex", _mwu_exact_p(F.col("u"), F.col("n_a"), F.col("n_b"), F.col("_exact")))
-    few = (F.col("n_a") < 2) | (F.col("n_b") < 2)
-    nan = F.lit(float("nan"))
-    return s.select(
-        tests, "n_a", "n_b", "rank_sum_a", "tie_term",
-        F.when(few, nan).otherwise(F.col("u")).alias("u"),
-        F.when(few, F.lit("none")).when(F.col("_exact"), F.lit("exact")).otherwise(F.lit("asymptotic")).alias("method"),
-        F.when(few, nan).when(F.col("_exact"), F.col("_pex")).otherwise(p_asym).alias("p_value"),
-    )
+    ).collect()
+    rows = []
+    for r in stats:
+        na, nb = int(r["n_a"]), int(r["n_b"])
+        u1 = float(r["rank_sum_a"]) - na * (na + 1) / 2
+        method, p = _mwu_p(u1, na, nb, float(r["tie_term"]), exact_max_n, exact_max_cells)
+        u = float("nan") if method == "none" else u1
+        rows.append((r[tests], na, nb, float(r["rank_sum_a"]), float(r["tie_term"]), u, method, p))
+    schema = (f"{tests} string, n_a long, n_b long, rank_sum_a double, tie_term double, u double, "
+              "method string, p_value double")
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def segment_duration_tests(df: DataFrame) -> DataFrame:

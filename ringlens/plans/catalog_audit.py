@@ -15,7 +15,7 @@ from ringlens.functions.categorical import significance
 from ringlens.operators.reports import describe, distinct_sorted
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
-from ringlens.plans.stages import limits, prepared, r9, scored, with_outliers
+from ringlens.plans.stages import limits, prepared, r9, table, with_outliers
 
 # explicit schema of the prepared call table (the profile reports it)
 PREPARED_TYPES = {
@@ -53,7 +53,7 @@ SELECT *, unnest(list_filter([CASE WHEN coalesce(hour = 0, false) THEN 'hora_0'
 
 
 def _status_df(spark, sf):
-    return scored(spark, sf), limits(spark, sf)[1]
+    return table(spark, sf), limits(spark, sf)[1]
 
 
 def _normal_tail_sql(z: str) -> str:
@@ -95,7 +95,7 @@ def column_profile(spark, sf):
 SELECT count(*) AS total, count(*) FILTER (WHERE connected) AS connected,
   count(*) FILTER (WHERE NOT coalesce(connected, false)) AS not_connected FROM prepared"""), "A29 F5")
 def connected_totals(spark, sf):
-    return PR.connected_totals(prepared(spark, sf))
+    return PR.connected_totals(table(spark, sf))
 
 
 @register("validation_report", O.with_stage("prepared", [_FENCE], f"""
@@ -120,7 +120,7 @@ SELECT pca_sentimiento, count(*) AS n FROM prepared
 WHERE pca_sentimiento IS NOT NULL AND pca_sentimiento NOT IN ({', '.join(O.q(s) for s in K.SENTIMENTS)})
 GROUP BY pca_sentimiento"""), "A31")
 def sentiment_domain_check(spark, sf):
-    return PR.unexpected_values(prepared(spark, sf))
+    return PR.unexpected_values(table(spark, sf))
 
 
 @register("connected_completed_crosstab", O.with_stage("prepared", ["""ct AS (
@@ -130,14 +130,14 @@ SELECT connected, call_completed, n,
   sum(CASE WHEN connected IS DISTINCT FROM call_completed THEN n ELSE 0 END) OVER () = 0 AS columns_equal
 FROM ct"""), "A32 F10")
 def connected_completed_crosstab(spark, sf):
-    return PR.connected_completed_crosstab(prepared(spark, sf))
+    return PR.connected_completed_crosstab(table(spark, sf))
 
 
 @register("hour_distribution", O.with_stage("prepared", [], """
 SELECT hour, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct, coalesce(hour = 0, false) AS candidate
 FROM prepared GROUP BY hour"""), "A33")
 def hour_distribution(spark, sf):
-    return PR.hour_distribution(prepared(spark, sf))
+    return PR.hour_distribution(table(spark, sf))
 
 
 @register("segment_summary", O.with_stage("scored", [_SEG], """
@@ -147,14 +147,14 @@ SELECT segment, count(*) AS n, CAST(coalesce(sum(CAST(connected AS INTEGER)), 0)
   count(*) FILTER (WHERE transcript_text IS NOT NULL AND transcript_length > 0) / count(*) AS transcript_rate
 FROM seg GROUP BY segment"""), "A34 A35 F11")
 def segment_summary(spark, sf):
-    return PR.segment_summary(scored(spark, sf))
+    return PR.segment_summary(table(spark, sf))
 
 
 @register("segment_reason_distribution", O.with_stage("scored", [_SEG], """
 SELECT segment, disconnected_reason, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY segment) AS pct
 FROM seg WHERE connected GROUP BY segment, disconnected_reason"""), "A34")
 def segment_reason_distribution(spark, sf):
-    return PR.segment_distribution(scored(spark, sf), "disconnected_reason")
+    return PR.segment_distribution(table(spark, sf), "disconnected_reason")
 
 
 @register("segment_duration_describe", O.with_stage("scored", [_SEG], f"""
@@ -163,7 +163,7 @@ SELECT segment, count(*) AS n, {O.r9('avg(duration_sec)')} AS mean, {O.r9('media
   {O.r9('quantile_cont(duration_sec, 0.75)')} AS q75, min(duration_sec) AS min, max(duration_sec) AS max
 FROM seg WHERE connected AND duration_sec IS NOT NULL GROUP BY segment"""), "A36")
 def segment_duration_describe(spark, sf):
-    seg = ST.segments(scored(spark, sf).filter(F.col("connected")))
+    seg = ST.segments(table(spark, sf).filter(F.col("connected")))
     out = describe(seg, "duration_sec", ["segment"])
     return out.withColumns({c: r9(c) for c in ["mean", "median", "std", "q25", "q75"]})
 
@@ -189,7 +189,7 @@ SELECT segment, CAST(n_a AS BIGINT) AS n_a, CAST(c_a AS BIGINT) AS c_a, CAST(n_b
   {O.r9(f"CASE WHEN coalesce(se, 0.0) = 0 THEN 1.0 ELSE least(1.0, 2.0 * ({_normal_tail_sql('z')})) END")} AS p_value
 FROM zt"""), "T1")
 def segment_ztest(spark, sf):
-    out = ST.segment_ztests(scored(spark, sf))
+    out = ST.segment_ztests(table(spark, sf))
     return out.withColumns({"z": r9("z"), "p_value": r9("p_value")})
 
 
@@ -199,7 +199,7 @@ SELECT segment, CASE WHEN coalesce(se, 0.0) = 0 THEN 1.0 ELSE least(1.0, 2.0 * (
 SELECT segment, CASE WHEN p IS NULL OR isnan(p) THEN 'N/A' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**'
   WHEN p < 0.05 THEN '*' ELSE 'ns' END AS significance FROM zp"""), "P26 T1")
 def segment_ztest_labels(spark, sf):
-    out = ST.segment_ztests(scored(spark, sf))
+    out = ST.segment_ztests(table(spark, sf))
     return out.select("segment", significance("p_value").alias("significance"))
 
 
@@ -231,7 +231,7 @@ SELECT test, n_a, n_b, rank_sum_a, tie_term,
     AS p_value
 FROM mw"""), "T2")
 def segment_mannwhitney(spark, sf):
-    return ST.segment_duration_tests(scored(spark, sf)).withColumn("p_value", r9("p_value"))
+    return ST.segment_duration_tests(table(spark, sf)).withColumn("p_value", r9("p_value"))
 
 
 def _spearman_sql() -> str:
@@ -248,7 +248,7 @@ def _spearman_sql() -> str:
 
 @register("spearman_matrix", _spearman_sql(), "T3")
 def spearman_matrix(spark, sf):
-    return ST.spearman(prepared(spark, sf), NUMERICS).withColumn("rho", r9("rho"))
+    return ST.spearman(table(spark, sf), NUMERICS).withColumn("rho", r9("rho"))
 
 
 def _eta_sql() -> str:
@@ -273,7 +273,7 @@ FROM e""")
 
 @register("eta_squared_matrix", _eta_sql(), "T4")
 def eta_squared_matrix(spark, sf):
-    out = ST.eta_squared(scored(spark, sf), NUMERICS, CATEGORICALS)
+    out = ST.eta_squared(table(spark, sf), NUMERICS, CATEGORICALS)
     return out.select("num", "cat", "n", r9("eta_squared").alias("eta_squared"))
 
 
@@ -307,13 +307,13 @@ FROM chi""")
 
 @register("cramers_v_matrix", _v_sql(), "T5")
 def cramers_v_matrix(spark, sf):
-    out = ST.cramers_v(scored(spark, sf), V_COLUMNS)
+    out = ST.cramers_v(table(spark, sf), V_COLUMNS)
     return out.withColumns({"chi2": r9("chi2"), "cramers_v": r9("cramers_v")})
 
 
 @register("feature_recommendation", None, "T6 T7")
 def feature_recommendation(spark, sf):
-    df = scored(spark, sf)
+    df = table(spark, sf)
     prof = PR.column_profile(df)
     kinds = ST.classify_columns(df, prof)
     cats, bins = kinds["categorical"], kinds["binary"]
@@ -325,7 +325,7 @@ def feature_recommendation(spark, sf):
 
 @register("exclusion_verdict", None, "T8 T1 T2")
 def exclusion_verdict(spark, sf):
-    df = scored(spark, sf)
+    df = table(spark, sf)
     return ST.exclusion_verdict(ST.segment_ztests(df), ST.segment_duration_tests(df))
 
 
@@ -413,4 +413,4 @@ def duration_histogram(spark, sf):
 @register("distinct_campaign_types", O.with_stage("prepared", [], """
 SELECT DISTINCT campaign_type FROM prepared ORDER BY campaign_type"""), "A41 O7")
 def distinct_campaign_types(spark, sf):
-    return distinct_sorted(prepared(spark, sf), "campaign_type")
+    return distinct_sorted(table(spark, sf), "campaign_type")

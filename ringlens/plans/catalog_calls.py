@@ -19,7 +19,7 @@ from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
 from ringlens.sources.calls import read_table
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
-from ringlens.plans.stages import flagged, limits, prepared, r9, scored, with_outliers
+from ringlens.plans.stages import flagged, limits, prepared, r9, scored, table, with_outliers
 
 _SUN = ", ".join(O.q(d) for d in K.DOW_ORDER_SUNDAY_FIRST)
 _CONN_SUM = "CAST(coalesce(sum(CAST(connected AS INTEGER)), 0) AS BIGINT)"
@@ -57,7 +57,7 @@ SELECT q1 - {K.IQR_MULTIPLIER} * (q3 - q1) AS lo, q3 + {K.IQR_MULTIPLIER} * (q3
 SELECT call_id, hour, campaign_type, duration_sec
 FROM prepared, fence WHERE {_PRE} AND duration_sec BETWEEN fence.lo AND fence.hi"""), "F1 F2 F3 A20")
 def clean_kept(spark, sf):
-    return filter_outliers(prepared(spark, sf), limits(spark, sf)[1]).select("call_id", "hour", "campaign_type",
+    return filter_outliers(table(spark, sf), limits(spark, sf)[1]).select("call_id", "hour", "campaign_type",
                                                                             "duration_sec")
 
 
@@ -69,7 +69,7 @@ SELECT step, count(*) AS n FROM (
               ELSE 'kept' END AS step
   FROM prepared, fence) GROUP BY step"""), "F4")
 def filter_funnel_q(spark, sf):
-    return filter_funnel(prepared(spark, sf), limits(spark, sf)[1])
+    return filter_funnel(table(spark, sf), limits(spark, sf)[1])
 
 
 # ---------------------------------------------------------------------------
@@ -94,7 +94,7 @@ def document_sentiment(spark, sf):
 @register("agent_failures", O.with_stage("flagged", [], f"""
 SELECT call_id, {', '.join(K.FAIL_COLUMNS)} FROM flagged"""), "G1-G5")
 def agent_failures(spark, sf):
-    return flagged(spark, sf).select("call_id", *K.FAIL_COLUMNS)
+    return table(spark, sf).select("call_id", *K.FAIL_COLUMNS)
 
 
 _FAIL_LONG = " UNION ALL ".join(
@@ -108,7 +108,7 @@ _FAIL_LONG = " UNION ALL ".join(
                                           """
 SELECT failure, n, n_connected, n / n_connected AS rate FROM fl, nc"""), "A26 P25")
 def failure_summary_q(spark, sf):
-    return failures.failure_summary(flagged(spark, sf))
+    return failures.failure_summary(table(spark, sf))
 
 
 _RATES = ", ".join(
@@ -119,7 +119,7 @@ _RATES = ", ".join(
 @register("failure_rates_by_campaign", O.with_stage("flagged", [], f"""
 SELECT campaign_type, count(*) AS n, {_RATES} FROM flagged WHERE connected GROUP BY campaign_type"""), "A27")
 def failure_rates_by_campaign(spark, sf):
-    return failures.failure_rates_by(flagged(spark, sf), "campaign_type")
+    return failures.failure_rates_by(table(spark, sf), "campaign_type")
 
 
 # ---------------------------------------------------------------------------
@@ -134,12 +134,12 @@ FROM prepared GROUP BY {by}""")
 
 @register("rate_by_hour", _rate_sql("hour"), "A1")
 def rate_by_hour(spark, sf):
-    return contact.connection_rate(prepared(spark, sf), "hour")
+    return contact.connection_rate(table(spark, sf), "hour")
 
 
 @register("rate_by_campaign", _rate_sql("campaign_type"), "A1 P18")
 def rate_by_campaign(spark, sf):
-    return contact.connection_rate(prepared(spark, sf), "campaign_type")
+    return contact.connection_rate(table(spark, sf), "campaign_type")
 
 
 _SPINE = "spine AS (SELECT * FROM (VALUES " + ", ".join(
@@ -152,7 +152,7 @@ SELECT s.day_of_week, CAST(s.day_rank AS INTEGER) AS day_rank, coalesce(r.total,
   coalesce(r.connected_count, 0) AS connected_count, coalesce(r.connected_count / r.total, 0.0) AS connection_rate
 FROM spine s LEFT JOIN r USING (day_of_week)"""), "A2 J6 O10")
 def rate_by_day(spark, sf):
-    return contact.connection_rate_by_day(prepared(spark, sf))
+    return contact.connection_rate_by_day(table(spark, sf))
 
 
 def _heat_sql(num: str, where: str = "TRUE", min_total: int = 0, stage: str = "prepared") -> str:
@@ -164,26 +164,26 @@ FROM {stage} WHERE {where} GROUP BY day_of_week, hour HAVING count(*) >= {min_to
 
 @register("heat_connection", _heat_sql("CAST(connected AS INTEGER)"), "A3 A4")
 def heat_connection(spark, sf):
-    return contact.connection_heat(prepared(spark, sf))
+    return contact.connection_heat(table(spark, sf))
 
 
 @register("heat_agent_hangup", _heat_sql("CAST(disconnected_reason = 'agent_hangup' AS INTEGER)", "connected",
                                          K.MIN_HEATMAP_CALLS), "A3 A4 F7")
 def heat_agent_hangup(spark, sf):
-    return contact.agent_hangup_heat(prepared(spark, sf))
+    return contact.agent_hangup_heat(table(spark, sf))
 
 
 @register("heat_positive", _heat_sql("CAST(sentiment_own = 'positivo' AS INTEGER)", "connected",
                                      K.MIN_HEATMAP_CALLS, stage="scored"), "A3 A4 F7")
 def heat_positive(spark, sf):
-    return contact.positive_sentiment_heat(scored(spark, sf))
+    return contact.positive_sentiment_heat(table(spark, sf))
 
 
 @register("heat_duration", O.with_stage("prepared", [], f"""
 SELECT day_of_week, hour, {O.r9('avg(duration_sec)')} AS val FROM prepared WHERE connected GROUP BY day_of_week, hour"""),
           "A5")
 def heat_duration(spark, sf):
-    return contact.duration_heat(prepared(spark, sf)).withColumn("val", r9("val"))
+    return contact.duration_heat(table(spark, sf)).withColumn("val", r9("val"))
 
 
 @register("heat_grid", O.with_stage("prepared", [f"""cells AS (
@@ -193,7 +193,7 @@ SELECT day_of_week, hour, {_CONN_SUM} / count(*) AS val FROM prepared GROUP BY d
 SELECT d.day_of_week, h.hour, coalesce(c.val, 0.0) AS val
 FROM days d CROSS JOIN hours h LEFT JOIN cells c ON c.day_of_week = d.day_of_week AND c.hour = h.hour"""), "A6")
 def heat_grid(spark, sf):
-    df = prepared(spark, sf)
+    df = table(spark, sf)
     return contact.complete_grid(contact.connection_heat(df), df)
 
 
@@ -209,12 +209,12 @@ FROM c""")
 
 @register("reason_share_by_day", _share_sql("day_of_week", "disconnected_reason", K.REASON_ORDER), "A7 A8")
 def reason_share_by_day(spark, sf):
-    return contact.category_share(scored(spark, sf), "day_of_week", "disconnected_reason", K.REASON_ORDER)
+    return contact.category_share(table(spark, sf), "day_of_week", "disconnected_reason", K.REASON_ORDER)
 
 
 @register("sentiment_share_by_campaign", _share_sql("campaign_type", "sentiment_own", K.SENTIMENTS), "A7 A8")
 def sentiment_share_by_campaign(spark, sf):
-    return contact.category_share(scored(spark, sf), "campaign_type", "sentiment_own", K.SENTIMENTS)
+    return contact.category_share(table(spark, sf), "campaign_type", "sentiment_own", K.SENTIMENTS)
 
 
 @register("box_duration_by_day", O.with_stage("prepared", [f"""b AS (
@@ -232,7 +232,7 @@ SELECT day_of_week, n, {O.r9('q1')} AS q1, {O.r9('median')} AS median, {O.r9('q3
   whisker_lo, whisker_hi, n_outliers
 FROM qs JOIN wh USING (day_of_week)"""), "A9")
 def box_duration_by_day(spark, sf):
-    out = contact.box_stats(prepared(spark, sf), "day_of_week")
+    out = contact.box_stats(table(spark, sf), "day_of_week")
     return out.withColumns({c: r9(c) for c in ["q1", "median", "q3"]})
 
 
@@ -242,7 +242,7 @@ SELECT campaign_type, coalesce(median(duration_sec), 0.0) AS median FROM prepare
 SELECT campaign_type, {O.r9('median')} AS median, row_number() OVER (ORDER BY median DESC, campaign_type) AS rank FROM m"""),
           "A10 A20")
 def campaign_order_by_median(spark, sf):
-    return contact.group_order_by_median(prepared(spark, sf), "campaign_type").withColumn("median", r9("median"))
+    return contact.group_order_by_median(table(spark, sf), "campaign_type").withColumn("median", r9("median"))
 
 
 _WS = f"""ws0 AS (
@@ -265,7 +265,7 @@ SELECT day_of_week, hour, total, n_conn, conn_rate, {O.r9('dur_mean')} AS dur_me
   {O.r9('dur_norm')} AS dur_norm, {O.r9('conn_rate * dur_norm * pct_pos')} AS score
 FROM ws ORDER BY conn_rate * dur_norm * pct_pos DESC NULLS FIRST, day_of_week, hour LIMIT 10"""), "A11 P27 O2")
 def window_score_top10(spark, sf):
-    out = contact.window_score(scored(spark, sf))
+    out = contact.window_score(table(spark, sf))
     return out.withColumns({c: r9(c) for c in ["dur_mean", "dur_norm", "score"]})
 
 
@@ -277,12 +277,12 @@ ORDER BY connection_rate DESC NULLS FIRST, total DESC, day_of_week, hour"""
 
 @register("top_windows", O.with_stage("prepared", [], _TOP + " LIMIT 10"), "A12 F7 O1 O2")
 def top_windows(spark, sf):
-    return contact.top_windows(prepared(spark, sf))
+    return contact.top_windows(table(spark, sf))
 
 
 @register("best_window", O.with_stage("prepared", [], _TOP + " LIMIT 1"), "A13")
 def best_window(spark, sf):
-    return contact.top_windows(prepared(spark, sf), top=1)
+    return contact.top_windows(table(spark, sf), top=1)
 
 
 # ---------------------------------------------------------------------------
@@ -293,7 +293,7 @@ def best_window(spark, sf):
 SELECT sentiment_own, count(*) AS n, count(*) / sum(count(*)) OVER () AS pct FROM scored GROUP BY sentiment_own"""),
           "A14")
 def sentiment_counts(spark, sf):
-    return value_counts(scored(spark, sf), "sentiment_own")
+    return value_counts(table(spark, sf), "sentiment_own")
 
 
 @register("sentiment_agreement_by_campaign", O.with_stage("scored", [], """
@@ -301,7 +301,7 @@ SELECT campaign_type, count(*) AS n_overlap, CAST(sum(CASE WHEN sentiment_own =
   AS n_match, sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) / count(*) AS match_rate
 FROM scored WHERE pca_sentimiento IS NOT NULL GROUP BY campaign_type"""), "A15")
 def sentiment_agreement_by_campaign(spark, sf):
-    return sentiment_agreement(scored(spark, sf), ["campaign_type"])
+    return sentiment_agreement(table(spark, sf), ["campaign_type"])
 
 
 @register("sentiment_campaign_pivot", O.with_stage("scored", [], """
@@ -312,14 +312,14 @@ SELECT campaign_type,
   count(*) AS total, sum(CASE WHEN sentiment_own = 'negativo' THEN 1 ELSE 0 END) / count(*) AS pct_neg
 FROM scored WHERE connected GROUP BY campaign_type"""), "A16 O8 J5")
 def sentiment_campaign_pivot(spark, sf):
-    return sentiment_pivot(scored(spark, sf).filter(F.col("connected")), "campaign_type")
+    return sentiment_pivot(table(spark, sf).filter(F.col("connected")), "campaign_type")
 
 
 @register("duration_by_sentiment", O.with_stage("scored", [], f"""
 SELECT sentiment_own, {O.r9('avg(duration_sec)')} AS dur_mean, {O.r9('median(duration_sec)')} AS dur_median,
   count(*) AS n FROM scored WHERE connected GROUP BY sentiment_own"""), "A17")
 def duration_by_sentiment_q(spark, sf):
-    out = duration_by_sentiment(scored(spark, sf))
+    out = duration_by_sentiment(table(spark, sf))
     return out.withColumns({"dur_mean": r9("dur_mean"), "dur_median": r9("dur_median")})
 
 
@@ -327,7 +327,7 @@ def duration_by_sentiment_q(spark, sf):
 SELECT hour, count(*) AS n_negativo FROM scored WHERE connected AND sentiment_own = 'negativo'
 GROUP BY hour ORDER BY n_negativo DESC, hour LIMIT 5"""), "A18")
 def top_negative_hours(spark, sf):
-    df = scored(spark, sf)
+    df = table(spark, sf)
     return top_hours_for(df.filter(F.col("connected") & (F.col("sentiment_own") == "negativo")), "n_negativo", 5)
 
 

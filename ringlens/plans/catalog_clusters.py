@@ -21,7 +21,7 @@ from ringlens.operators.sentiment import sentiment_agreement
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
 from ringlens.plans import stages
-from ringlens.plans.stages import prepared, r9
+from ringlens.plans.stages import r9, table
 
 # parameters: four fixed centroids in the scaled feature space (order of FEATURES_7)
 FIXED_CENTROIDS = [
@@ -119,7 +119,7 @@ SELECT call_id, pca_razon_churn,
   CASE WHEN pca_razon_churn IS NULL OR pca_razon_churn IN ({_NR}) THEN 'sin_motivo' ELSE 'con_motivo' END AS motivo
 FROM prepared"""), "P21 P22 P23")
 def churn_groups(spark, sf):
-    df = prepare_variables(prepared(spark, sf))
+    df = prepare_variables(table(spark, sf))
     return df.select("call_id", "pca_razon_churn", "razon_grupo", reason_label("pca_razon_churn").alias("motivo"))
 
 
@@ -132,7 +132,7 @@ def cluster_assign_fixed(spark, sf):
     conn = encode_features(clean_calls(spark, sf).filter(F.col("connected")))
     scaler = fit_scaler(conn, FEATURES_7)
     fill = conn.select(F.median("duration_sec")).first()[0] or 0.0
-    allz = scaler.transform(encode_features(stages.with_outliers(prepared(spark, sf), spark, sf), duration_fill=fill))
+    allz = scaler.transform(encode_features(stages.with_outliers(table(spark, sf), spark, sf), duration_fill=fill))
     allz = allz.withColumns({c: r9(c) for c in Z7})
     pred = CL.assign_to_centroids(allz, Z7, FIXED_CENTROIDS, out="_pred")
     p99, fence = stages.limits(spark, sf)
@@ -270,7 +270,7 @@ def failure_rates_by_cluster_fixed(spark, sf):
 
 @register("kmeans_clusters", None, "M4 M5 M7 M8 J1 S7")
 def kmeans_clusters(spark, sf):
-    calls = stages.with_outliers(stages.scored(spark, sf), spark, sf)
+    calls = stages.with_outliers(stages.table(spark, sf), spark, sf)
     fence = stages.limits(spark, sf)[1]
     clustered = pre_fence_condition() & fence_condition(fence) & F.col("connected")
     return CL.kmeans_all_calls(calls, clustered, k=4).select("call_id", "cluster_id")
