@@ -51,8 +51,20 @@ def scaled_features(spark, sf, with_failures: bool = False):
 
 
 def fixed_clusters(spark, sf, with_failures: bool = False):
-    z = scaled_features(spark, sf, with_failures)
-    return CL.assign_to_centroids(z, Z7, FIXED_CENTROIDS, out="cluster_id")
+    """Clean connected calls assigned to the fixed centroids.
+
+    Every cluster report reads this assignment several times (sizes,
+    quantiles, modes); it is checkpointed once per session into the shared
+    checkpoint folder, so the reports scan a small table and their plans
+    do not repeat the feature and scaling steps.
+    """
+    def build():
+        z = scaled_features(spark, sf)
+        keep = ["call_id", "call_url", "connected", "duration_sec", "hour", "disconnected_reason", "pca_sentimiento",
+                "pca_razon_churn", "sentiment_own", "campaign_type", "f_engagement", *K.FAIL_COLUMNS, *Z7]
+        return CL.assign_to_centroids(z, Z7, FIXED_CENTROIDS, out="cluster_id").select(*keep, "cluster_id") \
+                 .checkpoint(eager=True)
+    return stages._memo(spark, sf, "fixed_clusters", build)
 
 
 # ---------------------------------------------------------------------------
