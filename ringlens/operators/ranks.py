@@ -42,8 +42,12 @@ def cumulative_before(agg: DataFrame, order_col: str, count_col: str, keys: list
     spark = agg.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     splits = range_bounds(agg, order_col, n)
-    src = agg.withColumn("_v", F.col(order_col).cast("double"))
-    bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(src).drop("_v")
+    if len(splits) < 3:  # a single range
+        bucketed = agg.withColumn("_b", F.lit(0.0))
+    else:
+        src = agg.withColumn("_v", F.col(order_col).cast("double"))
+        bucketed = Bucketizer(splits=splits, inputCol="_v", outputCol="_b", handleInvalid="keep").transform(src) \
+            .drop("_v")
     w = Window.partitionBy("_b", *keys).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = bucketed.withColumn("_local", F.coalesce(F.sum(count_col).over(w), F.lit(0)).cast("long"))
     totals = bucketed.groupBy("_b", *keys).agg(F.sum(count_col).alias("_tot"))
