@@ -32,3 +32,34 @@ def test_registry_names_and_sql():
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q)
     assert len(q) >= 60
+
+
+_MODEL_FITS = {"kmeans_clusters", "kmeans_k_selection", "kmeans_quality", "kmeans_trained_on_complete",
+               "kmeans_ordinal_baseline", "kprototypes_clusters", "feature_recommendation", "exclusion_verdict",
+               "segment_mannwhitney"}
+
+
+def test_plans_have_no_python_and_no_single_partition_on_raw_rows(spark):
+    """Every registered report: no Python evaluation node, and each SinglePartition exchange
+    sits directly on an aggregate or a limit (i.e. on already reduced data), never on raw rows."""
+    bad = []
+    for name, build in E.queries().items():
+        if name in _MODEL_FITS:
+            continue
+        plan = _plan(build(spark, SF_SMALL))
+        for node in ["BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"]:
+            if node in plan:
+                bad.append((name, node))
+        lines = plan.splitlines()
+        for i, line in enumerate(lines):
+            if "Exchange SinglePartition" not in line:
+                continue
+            j, child = i + 1, ""
+            while j < len(lines):  # look through unary projections/filters to the producing operator
+                child = lines[j].strip().lstrip("+-: ").split("(")[0].split(" ")[0]
+                if child not in ("Project", "Filter"):
+                    break
+                j += 1
+            if not any(k in child for k in ("Aggregate", "Limit", "TakeOrdered")):
+                bad.append((name, child))
+    assert not bad, bad
