@@ -28,14 +28,25 @@ from ringlens.operators.ranks import cumulative_before
 # ---------------------------------------------------------------------------
 
 def fit_kmeans(df: DataFrame, k: int, features: str = "features", n_init: int = 10, max_iter: int = 150,
-               seed: int = 42, tol: float = 1e-4):
-    """M5: best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by training cost."""
-    best = None
-    for s in range(seed, seed + n_init):
-        model = KMeans(k=k, featuresCol=features, maxIter=max_iter, seed=s, tol=tol, initMode="k-means||").fit(df)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+               seed: int = 42, tol: float = 1e-4, concurrent: int = 4):
+    """M5: best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by training cost.
+
+    The restarts are independent Spark jobs; up to ``concurrent`` of them are
+    submitted at once from driver threads so small fits (samples) keep the
+    executors busy. Ties in cost go to the lowest seed.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    def fit(s):
+        return s, KMeans(k=k, featuresCol=features, maxIter=max_iter, seed=s, tol=tol, initMode="k-means||").fit(df)
+
+    seeds = list(range(seed, seed + n_init))
+    if concurrent > 1 and n_init > 1:
+        with ThreadPoolExecutor(max_workers=min(concurrent, n_init)) as pool:
+            fits = list(pool.map(fit, seeds))
+    else:
+        fits = [fit(s) for s in seeds]
+    return min(fits, key=lambda sm: (sm[1].summary.trainingCost, sm[0]))[1]
 
 
 def silhouette_sq(pred: DataFrame, features: str = "features", prediction: str = "prediction") -> float:

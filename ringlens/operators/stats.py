@@ -257,9 +257,10 @@ def eta_squared(df: DataFrame, numerics: list[str], categoricals: list[str], min
 def cramers_v(df: DataFrame, columns: list[str], min_rows: int = K.MIN_PAIRS, yates: bool = True) -> DataFrame:
     """Cramer's V for every pair of categorical/binary ``columns`` (pairwise non-null).
 
-    chi^2 runs over the complete a x b grid: observed cells from one stacked
-    aggregation, absent cells generated from the (small) marginal tables by
-    an equi-join on the pair id. 2x2 tables get Yates' correction.
+    chi^2 runs over the complete a x b grid without materialising it: absent
+    cells have o = 0, so their terms sum to ``n - sum(observed e)``; the work
+    is linear in the observed cells. 2x2 tables get Yates' correction, for
+    which the (at most four) cells are generated explicitly.
     """
     pairs = list(combinations(columns, 2))
     stacked = df.select(F.explode(F.array(*[
@@ -272,20 +273,33 @@ def cramers_v(df: DataFrame, columns: list[str], min_rows: int = K.MIN_PAIRS, ya
     cb = cells.groupBy(*key, "vb").agg(F.sum("o").alias("cb"))
     dims = cells.groupBy(*key).agg(F.sum("o").alias("n"), F.count_distinct("va").alias("r"),
                                    F.count_distinct("vb").alias("c"))
-    grid = ra.join(cb, key).join(dims, key).join(cells, [*key, "va", "vb"], "left") \
-             .withColumn("o", F.coalesce(F.col("o"), F.lit(0)).cast("double"))
     e = F.col("ra") * F.col("cb") / F.col("n")
-    diff = e - F.col("o")
-    corr = F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
-    o_used = F.col("o") + corr if yates else F.col("o")
-    two_by_two = (F.col("r") == 2) & (F.col("c") == 2)
-    o_eff = F.when(two_by_two, o_used).otherwise(F.col("o"))
-    chi = grid.groupBy(*key).agg(F.first("n").alias("n"), F.first("r").alias("r"), F.first("c").alias("c"),
-                                 F.sum((o_eff - e) ** 2 / e).alias("chi2"))
+    two_by_two = (F.col("r") == 2) & (F.col("c") == 2) if yates else F.lit(False)
+    # observed cells (all tables)
+    obs = cells.join(ra, [*key, "va"]).join(cb, [*key, "vb"]).join(dims, key) \
+               .withColumn("o", F.col("o").cast("double")).withColumn("e", e)
+    diff = F.col("e") - F.col("o")
+    o_yates = F.col("o") + F.signum(diff) * F.least(F.lit(0.5), F.abs(diff))
+    o_eff = F.when(two_by_two, o_yates).otherwise(F.col("o"))
+    chi_obs = obs.groupBy(*key).agg(
+        F.first("n").alias("n"), F.first("r").alias("r"), F.first("c").alias("c"),
+        F.sum((o_eff - F.col("e")) ** 2 / F.col("e")).alias("chi_obs"),
+        F.sum("e").alias("e_obs"),
+    )
+    # absent cells of 2x2 tables (Yates changes their terms): at most 4 cells per pair
+    small = dims.filter(two_by_two).select(*key, "n")
+    grid = ra.join(small, key).join(cb, key).join(cells.select(*key, "va", "vb"), [*key, "va", "vb"], "left_anti")
+    ge = grid.withColumn("e", e)
+    absent_yates = ge.groupBy(*key).agg(
+        F.sum((F.col("e") - F.least(F.lit(0.5), F.col("e"))) ** 2 / F.col("e")).alias("chi_absent"))
+    chi = chi_obs.join(absent_yates, key, "left")
+    chi2 = F.when(two_by_two, F.col("chi_obs") + F.coalesce(F.col("chi_absent"), F.lit(0.0))) \
+            .otherwise(F.col("chi_obs") + (F.col("n") - F.col("e_obs")))
     k = F.least(F.col("r"), F.col("c")) - 1
+    out = chi.withColumn("chi2", chi2)
     v = F.when((F.col("n") < min_rows) | (k == 0), F.lit(float("nan"))).otherwise(
         F.least(F.lit(1.0), F.sqrt(F.col("chi2") / (F.col("n") * k))))
-    return chi.select(*key, "n", "r", "c", "chi2", v.alias("cramers_v"))
+    return out.select(*key, "n", "r", "c", "chi2", v.alias("cramers_v"))
 
 
 # ---------------------------------------------------------------------------
