@@ -20,7 +20,18 @@ REQUIRED_HEADERS = list(COLUMN_RENAME)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer splits than the cluster's parallelism.
+
+    A small input (one Parquet row group, one multi-line CSV file) would
+    otherwise run every row-level stage in a single task. Large inputs have
+    far more splits than cores and are left as they are (no extra shuffle).
+    """
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def validate_columns(df: DataFrame, required=REQUIRED_HEADERS) -> None:
@@ -81,7 +92,7 @@ def load_raw(spark: SparkSession, path: str, with_row_key: bool = True) -> DataF
     df = add_call_completed(type_raw(df))
     if with_row_key:
         df = df.withColumn("call_id", F.monotonically_increasing_id())
-    return df
+    return spread(df)
 
 
 def validate_columns_list(columns: list[str], required=REQUIRED_HEADERS) -> None:
