@@ -8,7 +8,7 @@ re-evaluation - including task retries - cuts the same ranges). Each range
 is summed with a window partitioned by the range, and shifted by the totals
 of the preceding ranges. The offsets table has one row per (range, key); its
 size is bounded by the number of ranges times the number of keys, not by the
-data, and it is broadcast.
+data (broadcast when there are no keys).
 """
 
 from __future__ import annotations
@@ -53,7 +53,9 @@ def cumulative_before(agg: DataFrame, order_col: str, count_col: str, keys: list
     totals = bucketed.groupBy("_b", *keys).agg(F.sum(count_col).alias("_tot"))
     wo = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(wo), F.lit(0))).drop("_tot")
-    out = local.join(F.broadcast(offsets), ["_b", *keys], "left")
+    # without keys the offsets table has at most `ranges` rows and is broadcast; with keys its
+    # size grows with the number of keys, so the join strategy is left to AQE
+    out = local.join(F.broadcast(offsets) if not keys else offsets, ["_b", *keys], "left")
     return out.withColumn("before", (F.coalesce(F.col("_off"), F.lit(0)) + F.col("_local")).cast("long")) \
               .drop("_b", "_off", "_local")
 
