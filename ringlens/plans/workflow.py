@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringlens import constants as K
 from ringlens.operators import clusters as CL
 from ringlens.operators import contact
 from ringlens.operators.clean import clean_limits, fence_condition, flag_duration_outliers, pre_fence_condition, prepare_calls
@@ -63,5 +62,3 @@ def run_calls_workflow(spark: SparkSession, raw_csv: str, out_dir: str, k: int =
         "cluster_sizes": clean.filter("connected").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")),
     }
 
-
-__all__ = ["run_calls_workflow", "K"]

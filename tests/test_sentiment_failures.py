@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from ringlens.operators.clean import prepare_calls
 from ringlens.operators.failures import detect_failures

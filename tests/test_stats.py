@@ -1,7 +1,5 @@
 import math
-from itertools import combinations
 
-import pytest
 from pyspark.sql import functions as F
 
 from ringlens.operators import stats as ST

@@ -1,6 +1,5 @@
 import tempfile
 
-from pyspark.sql import functions as F
 
 from ringlens.operators.clean import prepare_calls
 from ringlens.functions.quantiles import nearest_quantiles

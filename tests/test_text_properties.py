@@ -9,7 +9,6 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from ringlens import constants as K
 from ringlens.functions.text import normalize_text, speaker_lines, ustrip
