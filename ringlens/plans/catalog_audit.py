@@ -88,7 +88,12 @@ def _profile_sql() -> str:
 
 @register("column_profile", _profile_sql(), "A28")
 def column_profile(spark, sf):
-    return PR.column_profile(prepared(spark, sf).select(*PREPARED_TYPES))
+    # 24 columns come from the narrow stage table; only the three raw text columns need the
+    # lazy cleaning plan (pruned to them)
+    raw = [c for c in PREPARED_TYPES if c in ("transcript", "post_call_analysis", "transcript_text")]
+    rest = [c for c in PREPARED_TYPES if c not in raw]
+    return PR.column_profile(table(spark, sf).select(*rest)).unionByName(
+        PR.column_profile(prepared(spark, sf).select(*raw)))
 
 
 @register("connected_totals", O.with_stage("prepared", [], """
