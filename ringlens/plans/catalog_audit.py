@@ -328,10 +328,26 @@ def feature_recommendation(spark, sf):
     return ST.recommend_features(rho, eta, v, kinds["numeric"], cats, bins)
 
 
-@register("exclusion_verdict", None, "T8 T1 T2")
+_MWP = f"""CASE WHEN n_a < 2 OR n_b < 2 THEN 'NaN'::DOUBLE WHEN zz < 0 THEN 1.0
+  ELSE least(1.0, 2.0 * ({_normal_tail_sql('zz')})) END"""
+_ZP = f"CASE WHEN coalesce(se, 0.0) = 0 THEN 1.0 ELSE least(1.0, 2.0 * ({_normal_tail_sql('z')})) END"
+
+
+@register("exclusion_verdict", O.with_stage("scored", [_SEG, _ZT, _MW, f"""v AS (
+SELECT zt.segment, CAST(zt.n_a AS BIGINT) AS n_a, {_ZP} AS p_rate, {_MWP.replace('n_a', 'mw.n_a').replace('n_b', 'mw.n_b')}
+  AS p_duration
+FROM zt LEFT JOIN mw ON mw.test = zt.segment)"""], f"""
+SELECT segment, n_a, {O.r9('p_rate')} AS p_rate, {O.r9('p_duration')} AS p_duration,
+  coalesce(NOT isnan(p_rate) AND p_rate < 0.05, false) AS rate_differs,
+  coalesce(NOT isnan(p_duration) AND p_duration < 0.05, false) AS duration_differs,
+  n_a < {K.LOW_VOLUME} AS low_volume,
+  coalesce(NOT isnan(p_rate) AND p_rate < 0.05, false) OR coalesce(NOT isnan(p_duration) AND p_duration < 0.05, false)
+    OR n_a < {K.LOW_VOLUME} AS exclude
+FROM v"""), "T8 T1 T2")
 def exclusion_verdict(spark, sf):
     df = table(spark, sf)
-    return ST.exclusion_verdict(ST.segment_ztests(df), ST.segment_duration_tests(df))
+    out = ST.exclusion_verdict(ST.segment_ztests(df), ST.segment_duration_tests(df))
+    return out.withColumns({"p_rate": r9("p_rate"), "p_duration": r9("p_duration")})
 
 
 # ---------------------------------------------------------------------------
