@@ -182,8 +182,14 @@ def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int =
     zc = [c + "_z" for c in cols]
     vec = assemble(scaler.transform(enc), zc)
     train = vec.filter(cond).persist()
-    model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
-    mapping = canonical_mapping(model.transform(train)).withColumnRenamed("cluster_id", "_canon")
+    try:
+        model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
+        # k rows: raw id -> canonical id, taken eagerly so the training cache can be released
+        pairs = canonical_mapping(model.transform(train)).collect()
+    finally:
+        train.unpersist()
+    mapping = calls.sparkSession.createDataFrame([(int(r["prediction"]), int(r["cluster_id"])) for r in pairs],
+                                                 "prediction int, _canon int")
     pred = model.transform(vec).join(F.broadcast(mapping), "prediction", "left")
     return cluster_ids_for_all(pred, cond, F.col("_canon")).drop("_canon")
 
