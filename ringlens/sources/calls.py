@@ -102,12 +102,40 @@ def validate_columns_list(columns: list[str], required=REQUIRED_HEADERS) -> None
 
 
 def normalize_raw(df: DataFrame) -> DataFrame:
-    """Accept raw or already renamed input and fill missing derived columns."""
+    """Accept raw or already renamed input and fill in whatever derived columns are missing.
+
+    Adds, only when absent: ``call_completed``, ``duration_sec`` (from
+    ``duration_ms``), ``hour`` (from ``executed_at``), ``campaign_type`` (from
+    ``name``) and ``sentiment_own`` (from the transcript). Present columns are
+    kept as they are, so a cleaned table and a raw one can be audited together.
+    """
+    from ringlens.functions.categorical import campaign_type
+    from ringlens.operators.clean import TIMESTAMP_FORMAT
+    from ringlens.operators.sentiment import analyze_sentiment
+
     present = set(df.columns)
     if present & set(COLUMN_RENAME) and not present & set(COLUMN_RENAME.values()):
         df = df.withColumnsRenamed(COLUMN_RENAME)
+    add = {}
     if "call_completed" not in df.columns:
-        df = add_call_completed(df)
+        add["call_completed"] = F.col("call_url").isNotNull()
+    if "duration_sec" not in df.columns and "duration_ms" in df.columns:
+        add["duration_sec"] = F.expr("try_cast(duration_ms AS DOUBLE)") / F.lit(1000.0)
+    if "hour" not in df.columns and "executed_at" in df.columns:
+        ts = F.col("executed_at")
+        if isinstance(df.schema["executed_at"].dataType, T.StringType):
+            ts = F.expr(f"try_to_timestamp(executed_at, '{TIMESTAMP_FORMAT}')")
+        add["hour"] = F.hour(ts)
+    if "campaign_type" not in df.columns and "name" in df.columns:
+        add["campaign_type"] = campaign_type("name")
+    if add:
+        df = df.withColumns(add)
+    if "sentiment_own" not in df.columns:
+        if "transcript_text" in df.columns:
+            df = analyze_sentiment(df)
+        elif "transcript" in df.columns:
+            lines = F.from_json(F.col("transcript"), T.ArrayType(T.StringType()))
+            df = analyze_sentiment(df.withColumn("_tt", F.array_join(lines, "\n")), text_col="_tt").drop("_tt")
     return df
 
 

@@ -95,3 +95,19 @@ def test_reuse_or_build_and_attach(spark):
     assert len(built) == 1 and ck2.count() == 2
     out = {r["v"]: r["sentiment_own"] for r in attach_checkpoint(calls, ck, fill={"sentiment_own": "neutral"}).collect()}
     assert out == {1: "positivo", 2: "neutral", 3: "neutral"}
+
+
+def test_normalize_raw_fills_missing_derived_columns(spark):
+    from ringlens.sources.calls import normalize_raw
+
+    raw = spark.createDataFrame(
+        [("Promo x", "u1", "1500", "2024-03-01 10:00:00", '["User: muchas gracias, todo bien"]'),
+         ("prueba", None, None, "2024-03-01 00:10:00", None)],
+        "`Name` string, `Call URL` string, `Duration (ms)` string, `Executed At` string, `Transcript` string")
+    out = {r["name"]: r for r in normalize_raw(raw).collect()}
+    assert out["Promo x"]["duration_sec"] == 1.5 and out["Promo x"]["hour"] == 10
+    assert out["Promo x"]["campaign_type"] == "promo" and out["Promo x"]["sentiment_own"] == "positivo"
+    assert out["prueba"]["call_completed"] is False and out["prueba"]["campaign_type"] == "prueba"
+    assert out["prueba"]["sentiment_own"] == "neutral" and out["prueba"]["hour"] == 0
+    kept = normalize_raw(spark.createDataFrame([("x", "url", 7)], "name string, call_url string, hour int"))
+    assert kept.first()["hour"] == 7
