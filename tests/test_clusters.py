@@ -83,3 +83,13 @@ def test_kprototypes(spark):
     labs = {r["call_id"]: r["cluster_id"] for r in out.collect()}
     assert set(labs.values()) <= {0, 1} and len(protos) == 2 and cost >= 0
     assert all(labs[i] == labs[i % 2] for i in range(60))
+
+
+def test_cluster_ids_for_all_null_url(spark):
+    df = spark.createDataFrame([(1, "u1", True, 2), (2, None, True, 1), (3, "u3", False, 0)],
+                               "call_id int, call_url string, connected boolean, pred int")
+    strict = {r["call_id"]: r["cluster_id"] for r in
+              CL.cluster_ids_for_all(df, F.col("connected"), F.col("pred")).collect()}
+    loose = {r["call_id"]: r["cluster_id"] for r in
+             CL.cluster_ids_for_all(df, F.col("connected"), F.col("pred"), strict=False).collect()}
+    assert strict == {1: 2, 2: -1, 3: -1} and loose == {1: 2, 2: 1, 3: -1}
