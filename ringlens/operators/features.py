@@ -84,20 +84,37 @@ def hash_sample(df: DataFrame, n: int, key: str = "call_id", seed: int = 42) ->
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
+# parameters of the portable sampling key: a prime modulus and a seeded multiplier
+SAMPLE_PRIME = 2147483647
+SAMPLE_BASE = 48271
+
+
+def portable_key(col, seed: int = 42):
+    """Seeded pseudo-random order key ``(col mod p) * m mod p`` for a non-negative integer key.
+
+    ``m = 48271^(1000 + seed) mod p``: consecutive keys land far apart,
+    every intermediate value stays below 2^62 (no overflow), and the same
+    arithmetic gives the same order in any SQL engine.
+    """
+    m = pow(SAMPLE_BASE, 1000 + seed, SAMPLE_PRIME)
+    c = F.col(col) if isinstance(col, str) else col
+    return F.pmod(F.pmod(c.cast("long"), F.lit(SAMPLE_PRIME)) * F.lit(m), F.lit(SAMPLE_PRIME))
+
+
 def hash_sample_per_group(df: DataFrame, group: str, n: int, key: str = "call_id", seed: int = 42,
                           buckets: int = 64) -> DataFrame:
     """Up to ``n`` rows per group (fewer when the group is smaller), exact and skew-safe.
 
-    Stage 1 keeps the ``n`` smallest hashes inside each (group, hash bucket)
-    so even a group holding a third of all rows is split over ``buckets``
-    tasks; stage 2 picks the ``n`` smallest of those <= n x buckets
-    candidates per group. The global top-n of a group is always among the
-    per-bucket top-n, so the result equals a single-stage top-n.
+    Rows are ordered by ``portable_key(key, seed)`` (ties by key). Stage 1
+    keeps the ``n`` first inside each (group, key bucket) so even a group
+    holding a third of all rows is split over ``buckets`` tasks; stage 2
+    picks the ``n`` first of those <= n x buckets candidates per group. The
+    global first-n of a group is always among the per-bucket first-n, so the
+    result equals a single-stage top-n.
     """
     from pyspark.sql import Window
 
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    x = df.withColumn("_h", h).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
+    x = df.withColumn("_h", portable_key(key, seed)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
     w1 = Window.partitionBy(group, "_b").orderBy("_h", key)
     cand = x.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n).drop("_r")
     w2 = Window.partitionBy(group).orderBy("_h", key)

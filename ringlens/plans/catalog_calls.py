@@ -14,7 +14,7 @@ from ringlens.operators.reports import (
     value_counts,
 )
 from ringlens.functions.text import truncate, user_text
-from ringlens.operators.features import hash_sample_per_group
+from ringlens.operators.features import SAMPLE_BASE, SAMPLE_PRIME, hash_sample_per_group
 from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
 from ringlens.sources.calls import read_table
 from ringlens.plans import oracle_sql as O
@@ -335,7 +335,23 @@ def top_negative_hours(spark, sf):
 # examples and audit samples (F9, F10, O3-O5, P16, P17, S9): seeded hash samples per group
 # ---------------------------------------------------------------------------
 
-@register("sentiment_examples", None, "O4 F9 P16 P17 O3")
+def _key_sql(seed: int = 42) -> str:
+    m = pow(SAMPLE_BASE, 1000 + seed, SAMPLE_PRIME)
+    return f"(((call_id % {SAMPLE_PRIME}) + {SAMPLE_PRIME}) % {SAMPLE_PRIME}) * {m} % {SAMPLE_PRIME}"
+
+
+def _trunc_sql(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN concat(substr({x}, 1, {n}), '...') ELSE {x} END"
+
+
+_USER_SAID = _trunc_sql("array_to_string(" + O.speaker_lines("transcript_text", "User") + ", ' | ')", 300)
+
+
+@register("sentiment_examples", O.with_stage("scored", [], f"""
+SELECT sentiment_own, call_id, duration_sec, disconnected_reason, {_USER_SAID} AS user_said FROM (
+  SELECT *, row_number() OVER (PARTITION BY sentiment_own ORDER BY {_key_sql()}, call_id) AS rn
+  FROM scored WHERE connected AND transcript_text IS NOT NULL AND transcript_length > 100) WHERE rn <= 3"""),
+          "O4 F9 P16 P17 O3")
 def sentiment_examples(spark, sf):
     """Three connected calls per own sentiment with a transcript over 100 chars; user text ' | ' joined, 300 chars."""
     df = scored(spark, sf).filter(F.col("connected") & F.col("transcript_text").isNotNull()
@@ -345,7 +361,11 @@ def sentiment_examples(spark, sf):
                          truncate(user_text("transcript_text", " | "), 300).alias("user_said"))
 
 
-@register("failure_examples", None, "O4 F9 P17 O5")
+@register("failure_examples", O.with_stage("flagged", [], "\nUNION ALL\n".join(f"""
+SELECT failure, call_id, duration_sec, disconnected_reason, sentiment_own, {_trunc_sql('transcript_text', 400)} AS transcript
+FROM (SELECT '{c}' AS failure, *, row_number() OVER (ORDER BY {_key_sql()}, call_id) AS rn FROM flagged
+      WHERE connected AND transcript_text IS NOT NULL AND transcript_length > 50 AND {c}) WHERE rn <= 2"""
+                                                                  for c in K.FAIL_COLUMNS)), "O4 F9 P17 O5")
 def failure_examples(spark, sf):
     """Two connected calls per failure type with a transcript over 50 chars, transcript cut at 400 chars."""
     df = flagged(spark, sf).filter(F.col("connected") & F.col("transcript_text").isNotNull()
@@ -359,7 +379,19 @@ def failure_examples(spark, sf):
                       truncate("transcript_text", 400).alias("transcript"))
 
 
-@register("audit_samples", None, "F10 O4 O5 S9")
+@register("audit_samples", O.with_stage("prepared", [], f"""
+SELECT combo AS sample, call_id, campaign_id, name, target_id, call_url, connected, disconnected_reason, post_call_analysis, call_completed FROM (
+  SELECT *, row_number() OVER (PARTITION BY combo ORDER BY {_key_sql()}, call_id) AS rn FROM (
+    SELECT *, concat_ws('/', CAST(connected AS VARCHAR), CAST(call_completed AS VARCHAR)) AS combo FROM prepared))
+WHERE rn <= 5
+UNION ALL
+SELECT 'differs', call_id, campaign_id, name, target_id, call_url, connected, disconnected_reason, post_call_analysis, call_completed FROM (
+  SELECT *, row_number() OVER (ORDER BY {_key_sql()}, call_id) AS rn FROM prepared
+  WHERE connected IS DISTINCT FROM call_completed) WHERE rn <= 10
+UNION ALL
+SELECT 'not_connected', call_id, campaign_id, name, target_id, call_url, connected, disconnected_reason, post_call_analysis, call_completed FROM (
+  SELECT *, row_number() OVER (ORDER BY {_key_sql()}, call_id) AS rn FROM prepared WHERE connected = false)
+WHERE rn <= 10"""), "F10 O4 O5 S9")
 def audit_samples(spark, sf):
     """Up to five rows of each (connected, call_completed) combination, plus ten rows where they differ."""
     cols = ["campaign_id", "name", "target_id", "call_url", "connected", "disconnected_reason", "post_call_analysis",
