@@ -296,6 +296,14 @@ def sentiment_counts(spark, sf):
     return value_counts(table(spark, sf), "sentiment_own")
 
 
+@register("sentiment_agreement", O.with_stage("scored", [], """
+SELECT count(*) AS n_overlap, CAST(sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) AS BIGINT) AS n_match,
+  sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) / count(*) AS match_rate
+FROM scored WHERE pca_sentimiento IS NOT NULL"""), "A15")
+def sentiment_agreement_all(spark, sf):
+    return sentiment_agreement(table(spark, sf))
+
+
 @register("sentiment_agreement_by_campaign", O.with_stage("scored", [], """
 SELECT campaign_type, count(*) AS n_overlap, CAST(sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) AS BIGINT)
   AS n_match, sum(CASE WHEN sentiment_own = pca_sentimiento THEN 1 ELSE 0 END) / count(*) AS match_rate
