@@ -16,6 +16,8 @@ Setting ``ringlens.stages.reuse=false`` scopes the table to the application
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +33,22 @@ RAW_TEXT = ["transcript", "post_call_analysis", "transcript_text"]
 STAGE_VERSION = "calls-table-v1"
 
 _MEMO: dict = {}
+# stages nest (table -> flagged -> scored -> prepared), hence a re-entrant lock; it also keeps
+# two threads of one session from writing the same stage table at once
+_LOCK = threading.RLock()
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build):
     key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    if key not in _MEMO:
-        _MEMO[key] = build()
-    return _MEMO[key]
+    with _LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = build()
+        return _MEMO[key]
 
 
 def clear() -> None:
-    _MEMO.clear()
+    with _LOCK:
+        _MEMO.clear()
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
