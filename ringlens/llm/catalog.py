@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, chat, embed, omh, shards, simhash, toxicity
+from ringlens.llm import bpe, chat, embed, omh, shards, simhash, substring, toxicity
 from ringlens.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 #: The contract's own conversation: both texts hold the template's marks.
 MARKED = r"\### Assistant: </turn> ok"
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_multi_index": op4_multi_index,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
+    "op7_substring": op7_substring,
     "op8_chat": op8_chat,
     "op10_shards": op10_shards,
 }
