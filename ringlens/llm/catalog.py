@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, chat, embed, omh, shards, simhash, substring, toxicity
+from ringlens.llm import bpe, chat, embed, mixing, omh, shards, simhash, substring, toxicity, wrappers
 from ringlens.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read(spark, sf_dir, "documents"))
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(read(spark, sf_dir, "embeddings"))
 
@@ -44,6 +48,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(rows.unionByName(own)))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -70,11 +78,13 @@ FROM said GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_simhash": op2_simhash,
+    "op3_wrappers": op3_wrappers,
     "op4_multi_index": op4_multi_index,
     "op5_toxicity": op5_toxicity,
     "op6_bpe": op6_bpe,
     "op7_substring": op7_substring,
     "op8_chat": op8_chat,
+    "op9_mixing": op9_mixing,
     "op10_shards": op10_shards,
 }
 ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL}
