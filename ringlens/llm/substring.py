@@ -121,7 +121,8 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataF
 
     occ = scratch.table(docs.where("doc_id is not null").select("doc_id", "th", "text").mapInArrow(
         cut, f"doc_id {kind}, th long, anchor long, c long, v long, lo int, hi int"))
-    shared = occ.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    # written first: a join whose two sides are plain exchanges can split the rows of a hot anchor
+    shared = scratch.table(occ.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
     cand = scratch.table(occ.join(shared, "anchor", "left_semi").distinct())
     scratch.drop(occ)
 
@@ -167,7 +168,7 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataF
              .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("doc_id", "th", "lo", "hi"))
 
     # anchors with several paths: compare the windows of each path, read at its first document
-    several = cls.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    several = scratch.table(cls.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     asked = (cls.join(several, "anchor", "left_semi")
              .groupBy(F.col("src.doc_id").alias("doc_id"), F.col("src.th").alias("th"))
              .agg(F.collect_list(F.struct("c", "v", F.col("src.lo").alias("lo"), F.col("src.hi").alias("hi"))).alias("asked")))
