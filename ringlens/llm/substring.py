@@ -195,9 +195,9 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataF
 
     wins = scratch.table(texts.select("doc_id", "text", "asked").mapInArrow(windows, f"doc_id {kind}, w long, x long, c long, v long, rel int"))
     owner = wins.groupBy("w", "x").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("most")).where("owner < most").select("w", "x", "owner")
-    owned = wins.join(owner, ["w", "x"]).where("owner < doc_id").groupBy("c", "v").agg(F.collect_set("rel").alias("rels"))
-    first = cls.select("c", "v", "first")
-    single = (cand.join(owned, ["c", "v"]).join(first, ["c", "v"]).where("doc_id = first")
+    # a path's windows were read at its first document, and only there can they belong to another one
+    owned = scratch.table(wins.join(owner, ["w", "x"]).where("owner < doc_id").groupBy("doc_id", "c", "v").agg(F.collect_set("rel").alias("rels")))
+    single = (cand.join(owned, ["doc_id", "c", "v"])
               .select("doc_id", "th", F.explode("rels").alias("rel"), "lo").select("doc_id", "th", (F.col("lo") + F.col("rel")).alias("lo"), (F.col("lo") + F.col("rel")).alias("hi")))
     return scratch.table(spans.unionByName(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")))
 
