@@ -63,7 +63,7 @@ def speaker_lines(col, speaker: str) -> Column:
     n = len(prefix)
     lines = F.transform(F.split(F.coalesce(_c(col), F.lit("")), "\n"), lambda l: ustrip(l))
     kept = F.filter(lines, lambda l: l.startswith(prefix))
-    return F.transform(kept, lambda l: ustrip(F.substring(l, n + 1, 1 << 30)))
+    return F.transform(kept, lambda l: ustrip(l.substr(F.lit(n + 1), F.length(l))))
 
 
 def user_text(col, sep: str = " ") -> Column:

@@ -139,9 +139,11 @@ def cluster_ids_for_all(df: DataFrame, clustered_rows, prediction, strict: bool
 # end to end
 # ---------------------------------------------------------------------------
 
-def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample_n: int = 2000, n_init: int = 10,
+def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample_n: int | None = None, n_init: int = 10,
                   max_iter: int = 150, seed: int = 42, feature_cols=None):
-    """M1-M8: features over connected calls, scaling, K (forced or by silhouette on a sample), final fit.
+    """M1-M8: features over connected calls, scaling, K (forced or by silhouette), final fit.
+
+    K is selected on all rows; ``sample_n`` asks for a seeded sample instead.
 
     Returns (connected rows with ``cluster_id``, K-selection table or None, model).
     """
@@ -155,7 +157,7 @@ def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample
     vec = assemble(scaler.transform(conn), zc).persist()
     ksel = None
     if k is None or ks:
-        ksel = select_k(hash_sample(vec, sample_n, seed=seed), ks, n_init=n_init, max_iter=max_iter, seed=seed)
+        ksel = select_k(vec if sample_n is None else hash_sample(vec, sample_n, seed=seed), ks, n_init=n_init, max_iter=max_iter, seed=seed)
         if k is None:
             k = ksel.orderBy(F.desc("silhouette"), "k").first()["k"]
     model = fit_kmeans(vec, k, n_init=n_init, max_iter=max_iter, seed=seed)

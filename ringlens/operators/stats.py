@@ -133,6 +133,8 @@ def _mwu_p(u1: float, na: int, nb: int, tie_term: float, exact_max_n: int, exact
         return "exact", min(1.0, 2.0 * _exact_sf(int(math.ceil(big)), na, nb))
     n = na + nb
     sd = math.sqrt(na * nb / 12 * ((n + 1) - tie_term / (n * (n - 1))))
+    if sd == 0:  # every value ties: no evidence either way
+        return "asymptotic", 1.0
     z = (big - na * nb / 2 - 0.5) / sd
     if z < 0:
         return "asymptotic", 1.0

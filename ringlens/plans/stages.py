@@ -86,7 +86,7 @@ def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The narrow scored + flagged call table, written once per input and read back (see module doc)."""
     def build():
         src = f"{sf_dir.rstrip('/')}/events.parquet"
-        scope = [] if spark.conf.get("ringlens.stages.reuse", "true") == "true" else [spark.sparkContext.applicationId]
+        scope = [] if spark.conf.get("ringlens.stages.reuse", "false") == "true" else [spark.sparkContext.applicationId]
         key = stage_key(STAGE_VERSION, src, _fingerprint(spark, src), *scope)
         base = ensure_checkpoint_dir(spark).rstrip("/") + "/ringlens-stages"
         narrow = lambda: flagged(spark, sf_dir).drop(*RAW_TEXT)

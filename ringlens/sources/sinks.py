@@ -52,7 +52,7 @@ def reuse_or_build(spark: SparkSession, base_dir: str, key: str, build, expected
     at least ``min_rows`` (one ``count()`` when a row check is requested).
     """
     path = f"{base_dir.rstrip('/')}/{key}"
-    if _exists(spark, path):
+    if _exists(spark, f"{path}/_SUCCESS"):  # an interrupted write has no such file and is built again
         cached = spark.read.parquet(path)
         ok = not expected_cols or set(expected_cols) <= set(cached.columns)
         if ok and (expected_rows is not None or min_rows is not None):
