@@ -24,19 +24,24 @@ from ringlens.constants import (
     TEST_CAMPAIGN,
 )
 from ringlens.functions.categorical import campaign_type, churn_alias
-from ringlens.functions.quantiles import nearest_quantiles, nearest_quantiles_multi
+from ringlens.functions.quantiles import nearest_quantiles, quantile_scalars
 from ringlens.functions.text import normalize_category, ustrip
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
+#: Local wall-clock text, ``yyyy-MM-dd HH:mm:ss`` with up to six fraction digits.
+TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{1,6})?$"
 PCA_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in PCA_ALL_FIELDS])
 
 
+def local_timestamp(df: DataFrame, name: str) -> Column:
+    """``name`` as a timestamp without zone (bad text -> null): a local time never moves with the session's zone."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return F.col(name)
+    return F.when(F.col(name).rlike(TIMESTAMP_PATTERN), F.col(name).try_cast("timestamp_ntz"))
+
+
 def parse_datetime(df: DataFrame) -> DataFrame:
     """``executed_at`` -> timestamp (bad text -> null) plus hour, day, date, weekday label."""
-    ts = F.col("executed_at")
-    if isinstance(df.schema["executed_at"].dataType, T.StringType):
-        ts = F.expr(f"try_to_timestamp(executed_at, '{TIMESTAMP_FORMAT}')")
-    df = df.withColumn("executed_at", ts)
+    df = df.withColumn("executed_at", local_timestamp(df, "executed_at"))
     days = F.array(*[F.lit(d) for d in DAY_LABELS])
     return df.withColumns({
         "hour": F.hour("executed_at"),
@@ -117,52 +122,13 @@ def add_campaign_type(df: DataFrame, strict_nulls: bool = False) -> DataFrame:
 
 
 def prepare_calls(df: DataFrame, with_campaign_type: bool = True) -> DataFrame:
-    """All row-level cleaning steps (P1-P4, P6-P12) as three fused projections.
-
-    Same rules as the individual step functions above, but the independent
-    expressions of the steps are applied together, so the plan is three
-    projections instead of one per step (less driver-side analysis; one
-    codegen stage either way). Expensive values referenced several times
-    (parsed JSON struct, normalised churn reason) are materialised once.
-    """
-    is_str = isinstance(df.schema["executed_at"].dataType, T.StringType)
-    ts = F.expr(f"try_to_timestamp(executed_at, '{TIMESTAMP_FORMAT}')") if is_str else F.col("executed_at")
-    ms = F.col("duration_ms")
-    if not isinstance(df.schema["duration_ms"].dataType, T.DoubleType):
-        ms = F.expr("try_cast(duration_ms AS DOUBLE)")
-    days = F.array(*[F.lit(d) for d in DAY_LABELS])
-    lines = F.from_json(F.col("transcript"), T.ArrayType(T.StringType()))
-    first = {
-        "executed_at": ts,
-        "duration_ms": ms,
-        "campaign_id": F.col("campaign_id").cast("string"),
-        "name": ustrip("name"),
-        "disconnected_reason": F.coalesce(F.lower(ustrip("disconnected_reason")), F.lit("unknown")),
-        "_pca": F.from_json(F.col("post_call_analysis"), PCA_SCHEMA),
-        "transcript_text": ustrip(F.array_join(lines, "\n")),
-    }
+    """All row-level cleaning steps (P1-P4, P6-P12) in order; Catalyst merges their projections."""
     if "call_completed" not in df.columns:
-        first["call_completed"] = F.col("call_url").isNotNull()
-    df = df.withColumns(first)
-    s = F.col("_pca")
-    second = {
-        "hour": F.hour("executed_at"),
-        "day_of_month": F.dayofmonth("executed_at"),
-        "date": F.date_format("executed_at", "dd/MM/yyyy"),
-        "day_of_week": F.element_at(days, F.weekday("executed_at") + 1),
-        "duration_sec": F.col("duration_ms") / F.lit(1000.0),
-    }
-    for f in PCA_FIELDS:
-        v = F.nullif(s.getField(f), F.lit(""))
-        if f in ("razon_churn", "posible_recuperacion"):
-            v = normalize_category(v)
-        second[f"pca_{f}"] = v
-    second["transcript_length"] = F.length("transcript_text")
-    second["inconsistency_flag"] = F.coalesce(F.col("connected"), F.lit(False)) != F.col("call_completed")
-    if with_campaign_type:
-        second["campaign_type"] = campaign_type("name")
-    df = df.withColumns(second).drop("_pca")
-    return df.withColumn("pca_razon_churn", churn_alias("pca_razon_churn"))
+        df = df.withColumn("call_completed", F.col("call_url").isNotNull())
+    for step in (parse_datetime, normalize_duration, normalize_categoricals, parse_post_call_analysis, normalize_pca_fields,
+                 parse_transcript, add_inconsistency_flag):
+        df = step(df)
+    return add_campaign_type(df) if with_campaign_type else df
 
 
 # ---------------------------------------------------------------------------
@@ -202,13 +168,10 @@ def duration_fence(df: DataFrame, exclude_test_campaign: bool = True, multiplier
 
 def clean_limits(df: DataFrame, exclude_test_campaign: bool = True, q: float = P99_QUANTILE,
                  multiplier: float = IQR_MULTIPLIER) -> tuple[float | None, Fence]:
-    """p99 of ``duration_ms`` (all rows) and the IQR fence (rows passing F1/F2) in two passes."""
+    """p99 of ``duration_ms`` (all rows) and the IQR fence (rows passing F1/F2), counted in one pass."""
     pre = pre_fence_condition(exclude_test_campaign)
-    p99, q1, q3 = nearest_quantiles_multi(df, [
-        (F.col("duration_ms"), q),
-        (F.when(pre, F.col("duration_sec")), 0.25),
-        (F.when(pre, F.col("duration_sec")), 0.75),
-    ])
+    sec = F.when(pre, F.col("duration_sec"))
+    p99, q1, q3 = quantile_scalars(df, [("duration_ms", "nearest", q), (sec, "nearest", 0.25), (sec, "nearest", 0.75)])
     return p99, Fence(q1, q3, multiplier)
 
 

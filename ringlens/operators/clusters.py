@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ringlens import constants as K
 from ringlens.operators.features import assemble, fit_scaler
-from ringlens.operators.ranks import cumulative_before
+from ringlens.functions.quantiles import MEDIAN, attach_quantiles, median_scalar
+from ringlens.sources.sinks import materialise
 
 
 # ---------------------------------------------------------------------------
@@ -99,7 +100,7 @@ def assign_to_centroids(df: DataFrame, cols: list[str], centroids: list[list[flo
 
 def canonical_mapping(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Raw id -> canonical id, ordered by (engagement mean, duration median, raw id); k rows."""
-    stats = pred.groupBy(prediction).agg(F.avg("f_engagement").alias("_e"), F.median("duration_sec").alias("_d"))
+    stats = attach_quantiles(pred.groupBy(prediction).agg(F.avg("f_engagement").alias("_e")), pred, [prediction], "duration_sec", {"_d": MEDIAN})
     w = Window.orderBy("_e", F.asc_nulls_first("_d"), prediction)
     return stats.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int")).select(prediction, "cluster_id")
 
@@ -139,6 +140,21 @@ def cluster_ids_for_all(df: DataFrame, clustered_rows, prediction, strict: bool
 # end to end
 # ---------------------------------------------------------------------------
 
+def _scaled_vectors(clean_df: DataFrame, feature_cols=None) -> DataFrame:
+    from ringlens.operators.features import FEATURES_7, encode_features
+
+    cols = list(feature_cols or FEATURES_7)
+    conn = encode_features(clean_df.filter(F.col("connected")))
+    scaler = fit_scaler(conn, cols)
+    # the scaled vectors are read by every restart and every K: written once, no cache to release
+    return materialise(assemble(scaler.transform(conn), [c + "_z" for c in cols]), "scaled-calls")
+
+
+def k_selection(clean_df: DataFrame, ks=range(2, 7), n_init: int = 10, max_iter: int = 150, seed: int = 42, feature_cols=None) -> DataFrame:
+    """M6 on its own: inertia and silhouette of every K over all connected calls."""
+    return select_k(_scaled_vectors(clean_df, feature_cols), ks, n_init=n_init, max_iter=max_iter, seed=seed)
+
+
 def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample_n: int | None = None, n_init: int = 10,
                   max_iter: int = 150, seed: int = 42, feature_cols=None):
     """M1-M8: features over connected calls, scaling, K (forced or by silhouette), final fit.
@@ -147,14 +163,9 @@ def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample
 
     Returns (connected rows with ``cluster_id``, K-selection table or None, model).
     """
-    from ringlens.operators.features import FEATURES_7, encode_features, hash_sample
+    from ringlens.operators.features import hash_sample
 
-    cols = list(feature_cols or FEATURES_7)
-    conn = encode_features(clean_df.filter(F.col("connected")))
-    scaler = fit_scaler(conn, cols)
-    zc = [c + "_z" for c in cols]
-    # the scaled vectors are reused by every restart and every K: persist once
-    vec = assemble(scaler.transform(conn), zc).persist()
+    vec = _scaled_vectors(clean_df, feature_cols)
     ksel = None
     if k is None or ks:
         ksel = select_k(vec if sample_n is None else hash_sample(vec, sample_n, seed=seed), ks, n_init=n_init, max_iter=max_iter, seed=seed)
@@ -178,18 +189,15 @@ def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int =
     cols = list(feature_cols or FEATURES_7)
     cond = F.coalesce(clustered_rows, F.lit(False))
     fit_rows = calls.filter(cond)
-    fill = fit_rows.select(F.median("duration_sec")).first()[0] or 0.0
+    fill = median_scalar(fit_rows, "duration_sec")
     enc = encode_features(calls, duration_fill=fill)
     scaler = fit_scaler(enc.filter(cond), cols)
     zc = [c + "_z" for c in cols]
     vec = assemble(scaler.transform(enc), zc)
-    train = vec.filter(cond).persist()
-    try:
-        model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
-        # k rows: raw id -> canonical id, taken eagerly so the training cache can be released
-        pairs = canonical_mapping(model.transform(train)).collect()
-    finally:
-        train.unpersist()
+    train = materialise(vec.filter(cond), "scaled-training-calls")
+    model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
+    # k rows: raw id -> canonical id
+    pairs = canonical_mapping(model.transform(train)).collect()
     mapping = calls.sparkSession.createDataFrame([(int(r["prediction"]), int(r["cluster_id"])) for r in pairs],
                                                  "prediction int, _canon int")
     pred = model.transform(vec).join(F.broadcast(mapping), "prediction", "left")
@@ -201,7 +209,7 @@ def ordinal_kmeans(df: DataFrame, k: int, numeric=("duration_sec", "hour"), bina
     """K-Means on numerics + binaries + alphabetically indexed categories, all scaled."""
     base = df
     for c in numeric:
-        med = base.select(F.median(c).alias("m")).first()["m"] or 0.0
+        med = median_scalar(base, c)
         base = base.withColumn(f"{c}_f", F.coalesce(F.col(c).cast("double"), F.lit(float(med))))
     for c in binary:
         base = base.withColumn(f"{c}_f", F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
@@ -210,7 +218,7 @@ def ordinal_kmeans(df: DataFrame, k: int, numeric=("duration_sec", "hour"), bina
     base = idx.transform(base)
     cols = [f"{c}_f" for c in (*numeric, *binary, *categorical)]
     scaler = fit_scaler(base, cols)
-    vec = assemble(scaler.transform(base), [c + "_z" for c in cols])
+    vec = materialise(assemble(scaler.transform(base), [c + "_z" for c in cols]), "ordinal-calls")
     model = fit_kmeans(vec, k, n_init=n_init, seed=seed)
     return model.transform(vec).withColumnRenamed("prediction", "cluster_id")
 
@@ -264,41 +272,13 @@ def quality_metrics(pred: DataFrame, cols: list[str], cluster: str = "cluster_id
 # profiles (A21-A25, M14)
 # ---------------------------------------------------------------------------
 
-def group_nearest_quantiles(df: DataFrame, group: str, value: str, qs: list[float]) -> DataFrame:
-    """Nearest-rank quantiles per group, exact and distributed.
-
-    Value counts per (group, value) -> distributed cumulative counts -> the
-    value whose rank interval holds ``floor((n_g - 1) q + 0.5)``. No group
-    is sorted inside a single task.
-    """
-    base = df.filter(F.col(value).isNotNull())
-    vc = base.groupBy(group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    cum = cumulative_before(vc, value, "cnt", keys=[group])
-    cum = cum.withColumn("n_g", F.sum("cnt").over(Window.partitionBy(group)))
-    outs = []
-    for q in qs:
-        rank = F.floor((F.col("n_g") - 1) * F.lit(q) + F.lit(0.5))
-        hit = cum.filter((F.col("before") <= rank) & (rank < F.col("before") + F.col("cnt")))
-        outs.append(hit.select(group, F.lit(q).alias("q"), F.col(value).alias("value")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+_P25, _P75 = ("nearest", 0.25), ("nearest", 0.75)
 
 
 def cluster_profile(df: DataFrame, labels: dict | None = None) -> DataFrame:
     """Per cluster n, duration median (midpoint) and nearest p25/p75, mean hour, label."""
-    base = df.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.median("duration_sec").alias("dur_median_s"),
-        F.avg("hour").alias("hour_mean"),
-    )
-    qs = group_nearest_quantiles(df, "cluster_id", "duration_sec", [0.25, 0.75])
-    wide = qs.groupBy("cluster_id").agg(
-        F.first(F.when(F.col("q") == 0.25, F.col("value")), ignorenulls=True).alias("dur_p25_s"),
-        F.first(F.when(F.col("q") == 0.75, F.col("value")), ignorenulls=True).alias("dur_p75_s"),
-    )
-    out = base.join(wide, "cluster_id", "left")
+    base = df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("hour").alias("hour_mean"))
+    out = attach_quantiles(base, df, ["cluster_id"], "duration_sec", {"dur_median_s": MEDIAN, "dur_p25_s": _P25, "dur_p75_s": _P75})
     labels = K.CLUSTER_LABELS if labels is None else labels
     lab = F.lit(None).cast("string")
     for cid, name in sorted(labels.items()):
@@ -306,22 +286,16 @@ def cluster_profile(df: DataFrame, labels: dict | None = None) -> DataFrame:
     return out.withColumn("label", lab)
 
 
-def cluster_summary(df: DataFrame, documented_cluster: int = 3, no_reason=K.NO_REASON_VALUES) -> DataFrame:
+def cluster_summary(df: DataFrame, no_reason=K.PROFILE_NO_REASON_VALUES) -> DataFrame:
     """Dominant disconnect reason (ties -> smallest), median, nearest IQR, documented-reason share."""
     counts = df.groupBy("cluster_id", "disconnected_reason").agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("cluster_id").orderBy(F.desc("c"), "disconnected_reason")
     dom = counts.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(
         "cluster_id", F.col("disconnected_reason").alias("dominant_reason"))
     documented = F.col("pca_razon_churn").isNotNull() & ~F.col("pca_razon_churn").isin(list(no_reason))
-    base = df.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.median("duration_sec").alias("dur_median"),
-        F.count_if(documented).alias("n_documented"),
-    )
-    qs = group_nearest_quantiles(df, "cluster_id", "duration_sec", [0.25, 0.75]).groupBy("cluster_id").agg(
-        F.first(F.when(F.col("q") == 0.25, F.col("value")), ignorenulls=True).alias("p25"),
-        F.first(F.when(F.col("q") == 0.75, F.col("value")), ignorenulls=True).alias("p75"))
-    out = base.join(dom, "cluster_id", "left").join(qs, "cluster_id", "left")
+    base = df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(documented).alias("n_documented"))
+    out = attach_quantiles(base.join(dom, "cluster_id", "left"), df, ["cluster_id"], "duration_sec",
+                           {"dur_median": MEDIAN, "p25": _P25, "p75": _P75})
     return out.withColumns({"iqr": F.col("p75") - F.col("p25"),
                             "documented_share": F.col("n_documented") / F.col("n")})
 

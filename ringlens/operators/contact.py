@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
-from ringlens.functions.quantiles import linear
+from ringlens.functions.quantiles import MEDIAN, Q25, Q75, group_quantiles, quantiles_of_counts, value_counts
 
 DAY_HOUR = ["day_of_week", "hour"]
 
@@ -107,35 +107,30 @@ def box_stats(df: DataFrame, group: str, value: str = "duration_sec", connected_
               whisker: float = 1.5) -> DataFrame:
     """Quartiles (linear), whisker ends, outlier count and median per group.
 
-    Two aggregations: quartiles per group, then whiskers/outliers against the
-    group's fences (the quartile table has one row per group and is joined
-    back by the group key).
+    Everything is taken from one table of value counts per group: quartiles,
+    then whiskers and outliers against the group's fences. Raw rows meet no join.
     """
     base = df.filter(F.col("connected")) if connected_only else df
-    base = base.filter(F.col(value).isNotNull()).select(group, value)
-    q = base.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"),
-        linear(value, 0.25).alias("q1"),
-        linear(value, 0.5).alias("median"),
-        linear(value, 0.75).alias("q3"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    counts = value_counts(base, [group], value)
+    q = quantiles_of_counts(counts, [group], {"q1": Q25, "median": MEDIAN, "q3": Q75, "min": ("nearest", 0.0), "max": ("nearest", 1.0)})
+    q = q.where(F.col(group).isNotNull())
+    reach = whisker * (F.col("q3") - F.col("q1"))
+    fences = q.select(group, (F.col("q1") - reach).alias("lo_fence"), (F.col("q3") + reach).alias("hi_fence"))
+    inside = F.col("v").between(F.col("lo_fence"), F.col("hi_fence"))
+    w = counts.join(fences, group).groupBy(group).agg(
+        F.min(F.when(inside, F.col("v"))).alias("whisker_lo"),
+        F.max(F.when(inside, F.col("v"))).alias("whisker_hi"),
+        F.sum(F.when(inside, 0).otherwise(F.col("cnt"))).alias("n_outliers"),
     )
-    q = q.withColumn("lo_fence", F.col("q1") - whisker * (F.col("q3") - F.col("q1"))) \
-         .withColumn("hi_fence", F.col("q3") + whisker * (F.col("q3") - F.col("q1")))
-    inside = (F.col(value) >= F.col("lo_fence")) & (F.col(value) <= F.col("hi_fence"))
-    w = base.join(q.select(group, "lo_fence", "hi_fence"), group).groupBy(group).agg(
-        F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
-        F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
-        F.sum(F.when(inside, 0).otherwise(1)).alias("n_outliers"),
-    )
-    return q.join(w, group).drop("lo_fence", "hi_fence")
+    return q.join(w, group)
 
 
 def group_order_by_median(df: DataFrame, group: str, value: str = "duration_sec") -> DataFrame:
     """A10: groups of connected calls ranked by median duration, descending (null median -> 0)."""
-    med = df.filter(F.col("connected")).groupBy(group).agg(
-        F.coalesce(F.median(value), F.lit(0.0)).alias("median"))
+    conn = df.filter(F.col("connected"))
+    medians = group_quantiles(conn, [group], value, {"median": MEDIAN}).select(group, "median")
+    every = conn.select(group, F.lit(None).cast("double").alias("median"))  # a group without values has a row too
+    med = medians.unionByName(every).groupBy(group).agg(F.coalesce(F.max("median"), F.lit(0.0)).alias("median"))
     w = Window.orderBy(F.desc("median"), F.asc(group))
     return med.withColumn("rank", F.row_number().over(w))
 

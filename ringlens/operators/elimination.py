@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
+from ringlens.functions.quantiles import MEDIAN, attach_quantiles
 from ringlens.operators.clean import Fence, fence_condition, pre_fence_condition
 from ringlens.operators.reports import describe
 
@@ -75,12 +76,12 @@ def cause_detail(df: DataFrame, fence: Fence) -> DataFrame:
     """Per removal cause, connected share and duration of connected calls."""
     st = with_status(df, fence).filter(~F.col("kept"))
     conn = F.coalesce(F.col("connected"), F.lit(False))
-    return st.groupBy("cause").agg(
+    out = st.groupBy("cause").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(conn).alias("n_connected"),
         F.avg(F.when(conn, F.col("duration_sec"))).alias("dur_mean"),
-        F.median(F.when(conn, F.col("duration_sec"))).alias("dur_median"),
-    ).withColumn("pct_connected", F.col("n_connected") / F.col("n"))
+    )
+    return attach_quantiles(out, st.filter(conn), ["cause"], "duration_sec", {"dur_median": MEDIAN}).withColumn("pct_connected", F.col("n_connected") / F.col("n"))
 
 
 def duration_histogram(df: DataFrame, fence: Fence, bins: int = 50) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringlens.functions.quantiles import median_scalar
 from ringlens.functions.categorical import churn_group, engagement, has_reason, sentiment_ordinal
 
 FEATURES_7 = ["f_duration", "f_hour", "f_engagement", "f_outlier", "f_inconsistency", "f_sentiment", "f_has_reason"]
@@ -22,7 +23,7 @@ def encode_features(df: DataFrame, duration_fill: float | None = None, no_reason
     ordinal (null -> neutral), has documented churn reason 0/1.
     """
     if duration_fill is None:
-        duration_fill = df.select(F.median("duration_sec").alias("m")).first()["m"] or 0.0
+        duration_fill = median_scalar(df, "duration_sec")
     kw = {} if no_reason is None else {"no_reason": no_reason}
     return df.withColumns({
         "f_duration": F.coalesce(F.col("duration_sec"), F.lit(float(duration_fill))).cast("double"),

@@ -10,7 +10,11 @@ from ringlens import constants as K
 from ringlens.operators.clean import Fence, fence_condition, pre_fence_condition
 from ringlens.operators.stats import segments
 
-_UNCOUNTABLE = (T.MapType,)
+
+def _comparable(df: DataFrame, f: T.StructField):
+    """The column as a value that can be hashed and compared: a map becomes its entries sorted by key."""
+    c = F.col(f"`{f.name}`")
+    return F.array_sort(F.map_entries(c)) if isinstance(f.dataType, T.MapType) else c
 
 
 def column_profile(df: DataFrame, method: str = "hash", rsd: float = 0.01) -> DataFrame:
@@ -28,11 +32,11 @@ def column_profile(df: DataFrame, method: str = "hash", rsd: float = 0.01) -> Da
       row once per column, which carries wide rows through the shuffle).
     * ``"approx"`` - HyperLogLog (``approx_count_distinct``) with ``rsd``.
     """
-    fields = [f for f in df.schema.fields if not isinstance(f.dataType, _UNCOUNTABLE)]
+    fields = df.schema.fields
     if method == "hash":
         cells = df.select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), F.col(f"`{f.name}`")).alias("h1"),
-                     F.xxhash64(F.lit(2), F.col(f"`{f.name}`")).alias("h2"),
+            F.struct(F.lit(i).alias("i"), F.xxhash64(F.lit(1), _comparable(df, f)).alias("h1"),
+                     F.xxhash64(F.lit(2), _comparable(df, f)).alias("h2"),
                      F.col(f"`{f.name}`").isNull().alias("isnull"))
             for i, f in enumerate(fields)])).alias("c")).select("c.*")
         per_value = cells.groupBy("i", "h1", "h2", "isnull").agg(F.count(F.lit(1)).alias("n"))
@@ -47,7 +51,7 @@ def column_profile(df: DataFrame, method: str = "hash", rsd: float = 0.01) -> Da
     else:
         aggs = [F.count(F.lit(1)).alias("__rows")]
         for i, f in enumerate(fields):
-            c = F.col(f"`{f.name}`")
+            c = _comparable(df, f)
             aggs.append(F.count_if(c.isNull()).alias(f"n{i}"))
             d = F.approx_count_distinct(c, rsd) if method == "approx" else F.count_distinct(c)
             aggs.append((d + F.max(c.isNull().cast("int"))).alias(f"d{i}"))

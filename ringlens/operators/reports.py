@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
-from ringlens.functions.quantiles import linear
+from ringlens.functions.quantiles import MEDIAN, Q25, Q75, attach_quantiles
 
 
 def with_total_share(counts: DataFrame, n_col: str = "n", pct_name: str = "pct") -> DataFrame:
@@ -46,11 +46,9 @@ def sentiment_pivot(df: DataFrame, by: str, values=K.SENTIMENTS) -> DataFrame:
 
 def duration_by_sentiment(df: DataFrame) -> DataFrame:
     """Mean, median and count of duration per own sentiment (connected calls)."""
-    return df.filter(F.col("connected")).groupBy("sentiment_own").agg(
-        F.avg("duration_sec").alias("dur_mean"),
-        F.median("duration_sec").alias("dur_median"),
-        F.count(F.lit(1)).alias("n"),
-    )
+    conn = df.filter(F.col("connected"))
+    out = conn.groupBy("sentiment_own").agg(F.avg("duration_sec").alias("dur_mean"), F.count(F.lit(1)).alias("n"))
+    return attach_quantiles(out, conn, ["sentiment_own"], "duration_sec", {"dur_median": MEDIAN})
 
 
 def top_hours_for(df: DataFrame, count_name: str, k: int = 5) -> DataFrame:
@@ -66,14 +64,11 @@ def describe(df: DataFrame, col: str, by: list[str] | None = None) -> DataFrame:
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mean"),
-        F.median(x).alias("median"),
         F.stddev_pop(x).alias("std"),
-        linear(x, 0.25).alias("q25"),
-        linear(x, 0.75).alias("q75"),
         F.min(x).cast("double").alias("min"),
         F.max(x).cast("double").alias("max"),
     ]
-    out = base.groupBy(*(by or [])).agg(*aggs)
+    out = attach_quantiles(base.groupBy(*(by or [])).agg(*aggs), base, list(by or []), col, {"median": MEDIAN, "q25": Q25, "q75": Q75})
     stats = ["mean", "median", "std", "q25", "q75", "min", "max"]
     return out.withColumns({s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) for s in stats})
 

@@ -14,14 +14,15 @@ value / cell); raw rows are only scanned and partially aggregated.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from itertools import combinations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
 from ringlens.operators.ranks import midranks
+from ringlens.sources.sinks import materialise
 
 # ---------------------------------------------------------------------------
 # normal distribution tail (JVM expression, double precision)
@@ -106,31 +107,65 @@ def segment_ztests(df: DataFrame) -> DataFrame:
 # Mann-Whitney U
 # ---------------------------------------------------------------------------
 
-def _exact_sf(u: int, m: int, n: int) -> float:
-    """P(U >= u) under H0 for sample sizes m (small) and n, from the Gaussian binomial."""
-    if m > n:
-        m, n = n, m
-    size = m * n + 1
-    poly = np.zeros(size)
-    poly[0] = 1.0
+#: Largest small side that has an exact tail: its work grows with lcm(1..m), not with the other side.
+EXACT_MAX_SIDE = 12
+METHODS = ("small_side", "exact", "asymptotic")
+
+
+@lru_cache(maxsize=None)
+def _partition_series(m: int) -> tuple[int, tuple[int, ...]]:
+    """(L, A) with 1 / ((1 - q) (1 - q)(1 - q^2)...(1 - q^m)) = A(q) / (1 - q^L)^(m + 1), L = lcm(1..m)."""
+    period = math.lcm(*range(1, m + 1))
+    series = [1]
+    for i in (1, *range(1, m + 1)):  # times (1 - q^L) / (1 - q^i) = 1 + q^i + ... + q^(L - i)
+        out = [0] * (len(series) + period - i)
+        for shift in range(i):
+            run = 0
+            for j in range(shift, len(out), i):
+                run += series[j] if j < len(series) else 0
+                run -= series[j - period] if 0 <= j - period < len(series) else 0
+                out[j] = run
+        series = out
+    return period, tuple(series)
+
+
+def _series_at(t: int, m: int) -> int:
+    """Coefficient of q^t in the series of ``_partition_series``."""
+    if t < 0:
+        return 0
+    period, a = _partition_series(m)
+    return sum(a[j] * math.comb((t - j) // period + m, m) for j in range(t % period, min(t, len(a) - 1) + 1, period))
+
+
+def exact_upper_tail(u: int, small: int, large: int) -> float:
+    """P(U >= u) under H0 without ties, exact, for sides of ``small`` and ``large`` values.
+
+    P(U >= u) = P(U <= m n - u), and the number of arrangements with U <= t is the coefficient of q^t
+    in the Gaussian binomial over (1 - q). Its numerator has 2^m signed powers, the rest is a series
+    with closed-form coefficients, so the work does not depend on ``large``.
+    """
+    m, n = min(small, large), max(small, large)
+    if m > EXACT_MAX_SIDE:
+        raise ValueError(f"the exact tail needs a side of at most {EXACT_MAX_SIDE} values, not {m}")
+    signed = {0: 1}  # product of (1 - q^(n + i))
     for i in range(1, m + 1):
-        # multiply by (1 - q^(n+i)) / (1 - q^i); result stays a polynomial of degree <= i*n
-        shifted = np.zeros(size)
-        shifted[n + i:] = poly[: size - (n + i)]
-        poly = poly - shifted
-        for r in range(i):
-            poly[r::i] = np.cumsum(poly[r::i])
-    total = poly.sum()
-    return float(poly[int(u):].sum() / total)
-
-
-def _mwu_p(u1: float, na: int, nb: int, tie_term: float, exact_max_n: int, exact_max_cells: int) -> tuple[str, float]:
-    """Two-sided p of Mann-Whitney U (statistic of side a), exact or asymptotic."""
+        grown = dict(signed)
+        for power, sign in signed.items():
+            grown[power + n + i] = grown.get(power + n + i, 0) - sign
+        signed = grown
+    t = m * n - u
+    return sum(sign * _series_at(t - power, m) for power, sign in signed.items()) / math.comb(m + n, m)
+
+
+def _mwu_p(u1: float, na: int, nb: int, tie_term: float, method: str, exact_max_n: int) -> tuple[str, float]:
+    """(method used, two-sided p) of Mann-Whitney U (statistic of side a)."""
     if na < 2 or nb < 2:
         return "none", float("nan")
     big = max(u1, na * nb - u1)
-    if min(na, nb) <= exact_max_n and tie_term == 0 and na * nb <= exact_max_cells:
-        return "exact", min(1.0, 2.0 * _exact_sf(int(math.ceil(big)), na, nb))
+    if method == "exact" or (method == "small_side" and min(na, nb) <= exact_max_n and tie_term == 0):
+        if tie_term:
+            raise ValueError("the exact distribution is that of values without ties")
+        return "exact", min(1.0, 2.0 * exact_upper_tail(math.ceil(big), na, nb))
     n = na + nb
     sd = math.sqrt(na * nb / 12 * ((n + 1) - tie_term / (n * (n - 1))))
     if sd == 0:  # every value ties: no evidence either way
@@ -141,26 +176,33 @@ def _mwu_p(u1: float, na: int, nb: int, tie_term: float, exact_max_n: int, exact
     return "asymptotic", min(1.0, math.erfc(z / math.sqrt(2)))
 
 
-def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", exact_max_n: int = 8,
-                 exact_max_cells: int = 5_000_000) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", method: str = "small_side",
+                 exact_max_n: int = 8) -> DataFrame:
     """Mann-Whitney U per test.
 
     ``df`` holds (``tests``, ``side`` in {'a','b'}, ``value``) rows. Output per
     test: n_a, n_b, u (statistic of side a), rank sum, tie term, method, p.
-    Fewer than 2 values on a side -> NaN.
+    Fewer than 2 values on a side -> NaN; all values tied -> p = 1.
+
+    ``method`` is ``exact``, ``asymptotic`` (tie and continuity correction) or
+    ``small_side``: exact where the smaller side has at most ``exact_max_n``
+    values and nothing ties, however large the other side is.
 
     The rank sums are distributed (value counts -> mid-ranks -> one
     aggregation per test). The result has one row per test; it is collected
-    and the p-value is finished on the driver (normal tail with tie and
-    continuity correction, or the exact null distribution for a small
-    tie-free side), then returned as a DataFrame.
+    and the p-value is finished on the driver.
     """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     base = df.filter(F.col(value).isNotNull()).select(tests, side, F.col(value).cast("double").alias("v"))
-    agg = base.groupBy(tests, "v").agg(
-        F.sum((F.col(side) == "a").cast("long")).alias("na"),
-        F.sum((F.col(side) == "b").cast("long")).alias("nb"),
-    ).withColumn("cnt", F.col("na") + F.col("nb"))
-    ranked = midranks(agg, "v", "cnt", keys=[tests])
+    return _mann_whitney_of_counts(base.groupBy(tests, "v").agg(
+        F.count_if(F.col(side) == "a").alias("na"), F.count_if(F.col(side) == "b").alias("nb")), tests, method, exact_max_n)
+
+
+def _mann_whitney_of_counts(counts: DataFrame, tests: str, method: str = "small_side", exact_max_n: int = 8) -> DataFrame:
+    """``mann_whitney`` from (``tests``, v, na, nb): the values of each side counted per distinct value."""
+    counts = materialise(counts.withColumn("cnt", F.col("na") + F.col("nb")), "mann-whitney")
+    ranked = midranks(counts, "v", "cnt", keys=[tests])
     stats = ranked.groupBy(tests).agg(
         F.sum("na").alias("n_a"),
         F.sum("nb").alias("n_b"),
@@ -171,22 +213,26 @@ def mann_whitney(df: DataFrame, value: str, side: str, tests: str = "test", exac
     for r in stats:
         na, nb = int(r["n_a"]), int(r["n_b"])
         u1 = float(r["rank_sum_a"]) - na * (na + 1) / 2
-        method, p = _mwu_p(u1, na, nb, float(r["tie_term"]), exact_max_n, exact_max_cells)
-        u = float("nan") if method == "none" else u1
-        rows.append((r[tests], na, nb, float(r["rank_sum_a"]), float(r["tie_term"]), u, method, p))
+        used, p = _mwu_p(u1, na, nb, float(r["tie_term"]), method, exact_max_n)
+        u = float("nan") if used == "none" else u1
+        rows.append((r[tests], na, nb, float(r["rank_sum_a"]), float(r["tie_term"]), u, used, p))
     schema = (f"{tests} string, n_a long, n_b long, rank_sum_a double, tie_term double, u double, "
               "method string, p_value double")
-    return df.sparkSession.createDataFrame(rows, schema)
+    return counts.sparkSession.createDataFrame(rows, schema)
 
 
 def segment_duration_tests(df: DataFrame) -> DataFrame:
-    """Durations of connected calls: each candidate segment (a) against the rest (b)."""
-    seg = segments(df.filter(F.col("connected")))
-    cand = seg.filter(F.col("segment") != "resto").select(F.col("segment").alias("test"), F.lit("a").alias("side"),
-                                                          "duration_sec")
-    rest = seg.filter(F.col("segment") == "resto").select(
-        F.explode(F.array(F.lit("hora_0"), F.lit("prueba"))).alias("test"), F.lit("b").alias("side"), "duration_sec")
-    return mann_whitney(cand.unionByName(rest), "duration_sec", "side", "test")
+    """Durations of connected calls: each candidate segment (a) against the rest (b).
+
+    Durations are counted per (segment, value) first; only the counts of the rest are repeated per test.
+    """
+    counts = segments(df.filter(F.col("connected") & F.col("duration_sec").isNotNull())).groupBy(
+        "segment", F.col("duration_sec").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    rest = F.col("segment") == "resto"
+    tests = F.when(rest, F.array(F.lit("hora_0"), F.lit("prueba"))).otherwise(F.array("segment"))
+    sides = counts.select(F.explode(tests).alias("test"), "v", F.when(rest, 0).otherwise(F.col("n")).alias("a"),
+                          F.when(rest, F.col("n")).otherwise(0).alias("b"))
+    return _mann_whitney_of_counts(sides.groupBy("test", "v").agg(F.sum("a").alias("na"), F.sum("b").alias("nb")), "test")
 
 
 # ---------------------------------------------------------------------------
@@ -196,26 +242,34 @@ def segment_duration_tests(df: DataFrame) -> DataFrame:
 def spearman(df: DataFrame, columns: list[str], min_pairs: int = K.MIN_PAIRS) -> DataFrame:
     """Spearman rho for every pair of ``columns`` over pairwise non-null rows (< min_pairs -> NaN).
 
-    All pairs are ranked in one pass: rows are stacked to (pair, side, value),
-    reduced to value counts, and mid-ranked with the distributed cumulative
-    counts keyed by (pair, side). Each row's two ranks are then joined back
-    on (pair, side, value) - a hot value is split by AQE's skew-join handling
-    - and ``corr`` of the ranks is taken per pair.
+    Rows are stacked to (pair, x, y) and counted once (combined before the
+    shuffle); everything after works on distinct values. The values of each
+    side get mid-ranks from the distributed cumulative counts, and rho is the
+    correlation of the ranks weighted by the counts, around the mean rank
+    (n + 1) / 2. A column without variation gives NaN.
     """
     pairs = list(combinations(columns, 2))
     rows = df.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
         for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
-    rows = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    sides = rows.select("pair", F.explode(F.array(
+    xy = rows.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("pair", "x", "y").agg(
+        F.count(F.lit(1)).alias("w"))
+    xy = materialise(xy, "spearman-pairs")
+    counts = xy.select("pair", "w", F.explode(F.array(
         F.struct(F.lit("x").alias("side"), F.col("x").alias("v")),
-        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).select("pair", "s.*")
-    counts = sides.groupBy("pair", "side", "v").agg(F.count(F.lit(1)).alias("cnt"))
+        F.struct(F.lit("y").alias("side"), F.col("y").alias("v")))).alias("s")).groupBy("pair", "s.side", "s.v").agg(
+        F.sum("w").alias("cnt"))
     ranks = midranks(counts, "v", "cnt", keys=["pair", "side"]).select("pair", "side", "v", "midrank")
     rx = ranks.filter(F.col("side") == "x").select("pair", F.col("v").alias("x"), F.col("midrank").alias("rx"))
     ry = ranks.filter(F.col("side") == "y").select("pair", F.col("v").alias("y"), F.col("midrank").alias("ry"))
-    r = rows.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).groupBy("pair").agg(
-        F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+    # one row per pair of columns
+    size = xy.groupBy("pair").agg(F.sum("w").alias("n"))
+    dx, dy = (F.col(c) - (F.col("n") + 1) / 2 for c in ("rx", "ry"))
+    r = xy.join(rx, ["pair", "x"]).join(ry, ["pair", "y"]).join(F.broadcast(size), "pair").groupBy("pair", "n").agg(
+        F.sum(F.col("w") * dx * dy).alias("sxy"), F.sum(F.col("w") * dx * dx).alias("sxx"),
+        F.sum(F.col("w") * dy * dy).alias("syy"))
+    varies = (F.col("sxx") > 0) & (F.col("syy") > 0)
+    r = r.withColumn("rho", F.when(varies, F.col("sxy") / F.sqrt(F.col("sxx")) / F.sqrt(F.col("syy"))).otherwise(F.lit(float("nan"))))
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
                                             "pair int, col_a string, col_b string")
     out = names.join(F.broadcast(r), "pair", "left")
@@ -308,82 +362,76 @@ def cramers_v(df: DataFrame, columns: list[str], min_rows: int = K.MIN_PAIRS, ya
 # Column classification, T7: recommendation, T8: verdict
 # ---------------------------------------------------------------------------
 
-SKIP_COLUMNS = {"name", "call_url", "transcript", "post_call_analysis", "transcript_text", "date", "executed_at",
-                "pca_resumen", "duration_ms", "user_text"}
-NUMERIC_SKIP = {"day_of_month"}
+_INTEGERS = ["tinyint", "smallint", "int", "bigint"]
+_REALS = ["float", "double"]
 
 
-def is_id_column(col: str) -> bool:
-    return col.endswith("_id") or col in {"id", "call_id", "contact_id", "target_id", "campaign_id"}
+def column_kinds(profile: DataFrame, max_categories: int = K.CATEGORY_MAX_DISTINCT, skip=K.AUDIT_SKIP_COLUMNS,
+                 numeric_skip=K.AUDIT_NUMERIC_SKIP_COLUMNS) -> DataFrame:
+    """(column, kind) for the columns of a column profile that take part in the association audit.
 
+    A rule table over the profile rows (column, dtype, n_distinct): the first rule that holds
+    names the kind, and a column without kind (identifier, long text, many categories) is left out.
+    """
+    name, kind, values = F.col("column"), F.col("dtype"), F.col("n_distinct")
+    integer = kind.isin(_INTEGERS)
+    number = integer | kind.isin(_REALS) | kind.startswith("decimal")
+    rules = [
+        (None, name.endswith(K.ID_SUFFIX) | name.isin(K.ID_COLUMNS) | name.isin(list(skip))),
+        ("binary", (kind == "boolean") | (integer & (values <= 2))),
+        ("numeric", number & ~name.isin(list(numeric_skip))),
+        ("categorical", (kind == "string") & (values <= max_categories)),
+    ]
+    picked = F.coalesce(*[F.when(holds, F.lit(label or "")) for label, holds in rules])
+    return profile.select("column", picked.alias("kind")).where("kind <> ''")
 
-def classify_columns(df: DataFrame, profile: DataFrame, max_categories: int = K.CATEGORY_MAX_DISTINCT,
-                     skip=SKIP_COLUMNS, numeric_skip=NUMERIC_SKIP) -> dict[str, list[str]]:
-    """Numeric / categorical / binary columns from the schema and the column profile.
 
-    ``profile`` is the result of ``profile.column_profile`` (one row per
-    column); only that small table reaches the driver.
-    """
-    distinct = {r["column"]: r["n_distinct"] for r in profile.select("column", "n_distinct").collect()}
-    num, cat, binary = [], [], []
-    ints = ("tinyint", "smallint", "int", "bigint")
-    for f in df.schema.fields:
-        c, t = f.name, f.dataType.simpleString()
-        if is_id_column(c) or c in skip:
-            continue
-        nu = distinct.get(c, 0)
-        if t == "boolean":
-            binary.append(c)
-        elif t in ints and nu <= 2:
-            binary.append(c)
-        elif t in ints + ("float", "double") or t.startswith("decimal"):
-            if c not in numeric_skip:
-                num.append(c)
-        elif t == "string" and nu <= max_categories:
-            cat.append(c)
-    return {"numeric": num, "categorical": cat, "binary": binary}
+def classify_columns(df: DataFrame, profile: DataFrame, **rules) -> dict[str, list[str]]:
+    """T6 as lists in the column order of ``df`` (one profile row per column reaches the driver)."""
+    kind = {r["column"]: r["kind"] for r in column_kinds(profile, **rules).collect()}
+    return {k: [c for c in df.columns if kind.get(c) == k] for k in ("numeric", "categorical", "binary")}
 
 
 def recommend_features(spearman_df: DataFrame, eta_df: DataFrame, v_df: DataFrame, numerics: list[str],
                        categoricals: list[str], binaries: list[str], redundancy: float = K.REDUNDANCY_THRESHOLD,
                        eta_min: float = K.ETA2_THRESHOLD, v_min: float = K.CRAMERS_V_THRESHOLD) -> DataFrame:
-    """Greedy non-redundant numerics with eta^2 >= eta_min, categoricals with V >= v_min.
-
-    Works on the three small statistic tables only.
+    """One row per candidate feature with its strength, verdict and an algorithm hint.
+
+    Numerics are taken in order unless an earlier taken one correlates with
+    them (abs rho >= ``redundancy``; the first such one is ``redundant_with``)
+    and recommended if their largest eta^2 reaches ``eta_min``; categoricals
+    if their largest Cramer's V reaches ``v_min``; binaries are only rated.
+    ``algorithm`` is ``K-Prototypes`` as soon as one categorical is
+    recommended, else ``K-Means``. Joins of the three result tables: their
+    rows are bounded by the number of column pairs.
     """
-    rho = {(r["col_a"], r["col_b"]): r["rho"] for r in spearman_df.collect()}
-    eta = {}
-    for r in eta_df.collect():
-        v = r["eta_squared"]
-        if v is not None and not math.isnan(v):
-            eta[r["num"]] = max(eta.get(r["num"], 0.0), v)
-    vmax = {}
-    for r in v_df.collect():
-        v = r["cramers_v"]
-        if v is None or math.isnan(v):
-            continue
-        for c in (r["col_a"], r["col_b"]):
-            vmax[c] = max(vmax.get(c, 0.0), v)
-    rows, kept = [], []
-    for c in numerics:
-        red = None
-        for k in kept:
-            r = rho.get((c, k), rho.get((k, c)))
-            if r is not None and not math.isnan(r) and abs(r) >= redundancy:
-                red = k
-                break
-        if red is not None:
-            rows.append((c, "numeric", False, f"redundant with {red}"))
-            continue
-        kept.append(c)
-        e = eta.get(c, 0.0)
-        rows.append((c, "numeric", e >= eta_min, f"eta2_max={e:.3f}"))
-    for c in categoricals + binaries:
-        v = vmax.get(c, 0.0)
-        rows.append((c, "categorical" if c in categoricals else "binary", v >= v_min and c in categoricals,
-                     f"v_max={v:.3f}"))
-    spark = spearman_df.sparkSession
-    return spark.createDataFrame(rows, "feature string, kind string, recommended boolean, reason string")
+    best_eta = eta_df.where(~F.isnan("eta_squared")).groupBy(F.col("num").alias("feature")).agg(F.max("eta_squared").alias("eta"))
+    best_v = v_df.where(~F.isnan("cramers_v")).select(F.explode(F.array("col_a", "col_b")).alias("feature"), "cramers_v") \
+        .groupBy("feature").agg(F.max("cramers_v").alias("v"))
+    # pairs that say the same, both ways round; one row holds them all and the taken numerics
+    close = spearman_df.where(~F.isnan("rho") & (F.abs("rho") >= redundancy)).agg(
+        F.flatten(F.collect_list(F.array(F.struct(F.col("col_a").alias("x"), F.col("col_b").alias("y")),
+                                         F.struct(F.col("col_b").alias("x"), F.col("col_a").alias("y"))))).alias("close"))
+
+    def alike(x, y):
+        return F.exists("close", lambda p: (p.getField("x") == x) & (p.getField("y") == y))
+
+    order = F.array(*[F.lit(c) for c in numerics]).cast("array<string>")
+    taken = F.aggregate(order, F.array().cast("array<string>"),
+                        lambda kept, c: F.when(F.exists(kept, lambda k: alike(c, k)), kept).otherwise(F.array_append(kept, c)))
+    kinds = [(c, "numeric") for c in numerics] + [(c, "categorical") for c in categoricals] + [(c, "binary") for c in binaries]
+    features = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(k).alias("kind")) for c, k in kinds])
+    rated = close.select("close", taken.alias("taken"), F.inline(features)) \
+        .join(F.broadcast(best_eta), "feature", "left").join(F.broadcast(best_v), "feature", "left")
+    same = F.filter("taken", lambda k: alike(F.col("feature"), k))
+    numeric = F.col("kind") == "numeric"
+    rated = rated.withColumn("redundant_with", F.when(numeric & ~F.array_contains("taken", F.col("feature")), F.try_element_at(same, F.lit(1)))) \
+        .withColumn("strength", F.coalesce(F.when(numeric, F.col("eta")).otherwise(F.col("v")), F.lit(0.0))) \
+        .withColumn("recommended", F.col("redundant_with").isNull() & (
+            (numeric & (F.col("strength") >= eta_min)) | ((F.col("kind") == "categorical") & (F.col("strength") >= v_min))))
+    mixed = F.max(F.col("recommended") & (F.col("kind") == "categorical")).over(Window.partitionBy())
+    return rated.select("feature", "kind", "recommended", "redundant_with", "strength",
+                        F.when(mixed, "K-Prototypes").otherwise("K-Means").alias("algorithm"))
 
 
 def exclusion_verdict(rate_tests: DataFrame, duration_tests: DataFrame, alpha: float = 0.05,

@@ -316,7 +316,84 @@ def cramers_v_matrix(spark, sf):
     return out.withColumns({"chi2": r9("chi2"), "cramers_v": r9("cramers_v")})
 
 
-@register("feature_recommendation", None, "T6 T7")
+# columns of the stage table that can take part in the association audit (the others are keys, dates or long text)
+_AUDIT_NUMBERS = {"hour": "int", "day_of_month": "int", "duration_sec": "double", "transcript_length": "int"}
+_AUDIT_STRINGS = ["disconnected_reason", "day_of_week", "pca_sentimiento", "pca_razon_churn", "pca_posible_recuperacion",
+                  "pca_no_recarga", "pca_dificultad_tecnica", "campaign_type", "sentiment_own"]
+_AUDIT_FLAGS = ["connected", "call_completed", "inconsistency_flag", *K.FAIL_COLUMNS]
+
+
+def _recommendation_sql() -> str:
+    """T6 and T7 in SQL: kinds from distinct counts, then eta^2, rho and V of the columns of each kind."""
+    every = [*_AUDIT_NUMBERS, *_AUDIT_STRINGS, *_AUDIT_FLAGS]
+    distinct = "\nUNION ALL\n".join(
+        f"SELECT {i} AS pos, '{c}' AS feature, count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS n FROM flagged"
+        for i, c in enumerate(every))
+    whole = ", ".join(O.q(c) for c, t in _AUDIT_NUMBERS.items() if t == "int")
+    numbers = ", ".join(O.q(c) for c in _AUDIT_NUMBERS)
+    flags = ", ".join(O.q(c) for c in _AUDIT_FLAGS)
+    long = "\nUNION ALL\n".join(
+        f"SELECT call_id, '{c}' AS feature, CAST({c} AS VARCHAR) AS level, "
+        f"{f'CAST({c} AS DOUBLE)' if c in _AUDIT_NUMBERS else 'NULL::DOUBLE'} AS x FROM flagged WHERE {c} IS NOT NULL" for c in every)
+    return O.with_stage("flagged", [
+        f"counted AS ({distinct})",
+        f"""kinds AS (
+SELECT pos, feature, CASE WHEN feature IN ({flags}) OR (feature IN ({whole}) AND n <= 2) THEN 'binary'
+  WHEN feature = 'day_of_month' THEN NULL WHEN feature IN ({numbers}) THEN 'numeric'
+  WHEN n <= {K.CATEGORY_MAX_DISTINCT} THEN 'categorical' END AS kind FROM counted)""",
+        f"long AS (SELECT l.*, k.kind, k.pos FROM ({long}) l JOIN kinds k USING (feature) WHERE k.kind IS NOT NULL)",
+        """eg AS (
+SELECT a.feature AS num, b.feature AS cat, b.level, count(*) AS n_g, avg(a.x) AS m, var_pop(a.x) * count(*) AS ss
+FROM long a JOIN long b USING (call_id) WHERE a.kind = 'numeric' AND b.kind = 'categorical' GROUP BY ALL)""",
+        f"""eta AS (
+SELECT num AS feature, max(between_ss / (between_ss + within_ss)) AS strength FROM (
+  SELECT num, cat, sum(n_g) AS n, sum(n_g * (m - grand) ^ 2) AS between_ss, sum(ss) AS within_ss FROM (
+    SELECT *, sum(n_g * m) OVER (PARTITION BY num, cat) / sum(n_g) OVER (PARTITION BY num, cat) AS grand FROM eg) GROUP BY num, cat)
+WHERE n >= {K.MIN_PAIRS} AND between_ss + within_ss > 0 GROUP BY num)""",
+        """vcell AS (
+SELECT a.feature AS fa, b.feature AS fb, a.level AS la, b.level AS lb, count(*) AS o
+FROM long a JOIN long b USING (call_id) WHERE a.kind <> 'numeric' AND b.kind <> 'numeric' AND a.pos < b.pos GROUP BY ALL)""",
+        "vr AS (SELECT fa, fb, la, sum(o) AS ra FROM vcell GROUP BY ALL)",
+        "vc AS (SELECT fa, fb, lb, sum(o) AS cb FROM vcell GROUP BY ALL)",
+        """vd AS (SELECT fa, fb, sum(o) AS n, count(DISTINCT la) AS r, count(DISTINCT lb) AS c FROM vcell GROUP BY ALL)""",
+        """vg AS (
+SELECT fa, fb, n, r, c, coalesce(o, 0) AS o, ra * cb / n AS e FROM vr JOIN vc USING (fa, fb) JOIN vd USING (fa, fb)
+LEFT JOIN vcell USING (fa, fb, la, lb))""",
+        f"""v AS (
+SELECT fa, fb, least(1.0, sqrt(sum((CASE WHEN r = 2 AND c = 2 THEN o + sign(e - o) * least(0.5, abs(e - o)) ELSE o END - e) ^ 2 / e)
+    / (max(n) * (least(max(r), max(c)) - 1)))) AS v
+FROM vg WHERE n >= {K.MIN_PAIRS} AND least(r, c) > 1 GROUP BY fa, fb)""",
+        "vmax AS (SELECT feature, max(v) AS strength FROM (SELECT fa AS feature, v FROM v UNION ALL SELECT fb, v FROM v) GROUP BY feature)",
+        """xy AS (
+SELECT a.feature AS fa, b.feature AS fb, a.x AS x, b.x AS y FROM long a JOIN long b USING (call_id)
+WHERE a.kind = 'numeric' AND b.kind = 'numeric' AND a.feature <> b.feature)""",
+        f"""twins AS (
+SELECT fa, fb FROM (
+  SELECT fa, fb, rank() OVER (PARTITION BY fa, fb ORDER BY x) + (count(*) OVER (PARTITION BY fa, fb, x) - 1) / 2.0 AS rx,
+    rank() OVER (PARTITION BY fa, fb ORDER BY y) + (count(*) OVER (PARTITION BY fa, fb, y) - 1) / 2.0 AS ry FROM xy)
+GROUP BY fa, fb HAVING count(*) >= {K.MIN_PAIRS} AND var_pop(rx) > 0 AND var_pop(ry) > 0 AND abs(corr(rx, ry)) >= {K.REDUNDANCY_THRESHOLD})""",
+        # numerics one after the other, in column order: taken unless an earlier taken one is a twin
+        "nums AS (SELECT feature, row_number() OVER (ORDER BY pos) AS i FROM kinds WHERE kind = 'numeric')",
+        """walk(i, taken) AS (
+SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
+SELECT nums.i, CASE WHEN EXISTS (SELECT 1 FROM twins WHERE fa = nums.feature AND list_contains(taken, fb)) THEN taken
+  ELSE list_append(taken, nums.feature) END FROM walk JOIN nums ON nums.i = walk.i + 1)""",
+        "final AS (SELECT taken FROM walk ORDER BY i DESC LIMIT 1)",
+        f"""rated AS (
+SELECT k.feature, k.kind, CASE WHEN k.kind = 'numeric' AND NOT list_contains((SELECT taken FROM final), k.feature)
+    THEN (SELECT first(n.feature ORDER BY n.i) FROM nums n JOIN twins t ON t.fa = k.feature AND t.fb = n.feature
+          WHERE list_contains((SELECT taken FROM final), n.feature)) END AS redundant_with,
+  coalesce(CASE WHEN k.kind = 'numeric' THEN eta.strength ELSE vmax.strength END, 0.0) AS strength
+FROM kinds k LEFT JOIN eta USING (feature) LEFT JOIN vmax USING (feature) WHERE k.kind IS NOT NULL)""",
+        f"""judged AS (
+SELECT *, redundant_with IS NULL AND ((kind = 'numeric' AND strength >= {K.ETA2_THRESHOLD})
+  OR (kind = 'categorical' AND strength >= {K.CRAMERS_V_THRESHOLD})) AS recommended FROM rated)"""], f"""
+SELECT feature, kind, recommended, redundant_with, {O.r9('strength')} AS strength,
+  CASE WHEN (SELECT bool_or(recommended AND kind = 'categorical') FROM judged) THEN 'K-Prototypes' ELSE 'K-Means' END AS algorithm
+FROM judged""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("feature_recommendation", _recommendation_sql(), "T6 T7")
 def feature_recommendation(spark, sf):
     df = table(spark, sf)
     prof = PR.column_profile(df)
@@ -325,7 +402,8 @@ def feature_recommendation(spark, sf):
     rho = ST.spearman(df, kinds["numeric"])
     eta = ST.eta_squared(df, kinds["numeric"], cats)
     v = ST.cramers_v(df, cats + bins)
-    return ST.recommend_features(rho, eta, v, kinds["numeric"], cats, bins)
+    out = ST.recommend_features(rho, eta, v, kinds["numeric"], cats, bins)
+    return out.withColumn("strength", r9("strength"))
 
 
 _MWP = f"""CASE WHEN n_a < 2 OR n_b < 2 THEN 'NaN'::DOUBLE WHEN zz < 0 THEN 1.0

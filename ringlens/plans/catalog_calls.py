@@ -16,7 +16,8 @@ from ringlens.operators.reports import (
 from ringlens.functions.text import truncate, user_text
 from ringlens.operators.features import SAMPLE_BASE, SAMPLE_PRIME, hash_sample_per_group
 from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
-from ringlens.sources.calls import read_table
+from ringlens.operators.clean import prepare_calls
+from ringlens.sources.calls import raw_text_from_events, read_table, typed_calls
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
 from ringlens.plans.stages import flagged, limits, prepared, r9, scored, table, with_outliers
@@ -411,3 +412,49 @@ def audit_samples(spark, sf):
     not_conn = df.filter(F.col("connected") == F.lit(False)).withColumn("sample", F.lit("not_connected"))
     return combos.unionByName(hash_sample_per_group(diff, "sample", 10).select("sample", "call_id", *cols)) \
                  .unionByName(hash_sample_per_group(not_conn, "sample", 10).select("sample", "call_id", *cols))
+
+
+# ---------------------------------------------------------------------------
+# raw text input
+# ---------------------------------------------------------------------------
+
+_TOKEN = "[" + ", ".join(O.q(t) for t in K.NULL_TOKENS) + f"][event_id % {len(K.NULL_TOKENS)} + 1]"
+_TOKENS = ", ".join(O.q(t) for t in K.NULL_TOKENS)
+_RAW = f"""raw AS (
+SELECT call_id AS event_id, coalesce(campaign_id, {_TOKEN}) AS campaign_id, coalesce(call_url, {_TOKEN}) AS call_url,
+  CASE call_id % 11 WHEN 3 THEN 'x' || target_id WHEN 4 THEN '00' || target_id
+    ELSE coalesce(CAST(target_id AS VARCHAR), {_TOKEN}) END AS target_id,
+  CASE call_id % 11 WHEN 2 THEN 'maybe' ELSE coalesce(CAST(connected AS VARCHAR), {_TOKEN}) END AS connected,
+  coalesce(disconnected_reason, {_TOKEN}) AS disconnected_reason,
+  CASE call_id % 11 WHEN 0 THEN 'n.d.' ELSE coalesce(CAST(CAST(floor(duration_ms) AS BIGINT) AS VARCHAR), {_TOKEN}) END AS duration_ms,
+  CASE call_id % 11 WHEN 1 THEN '31/12/2024 25:00'
+    ELSE coalesce(strftime(executed_at, '%Y-%m-%d %H:%M:%S.%f'), {_TOKEN}) END AS executed_at
+FROM (SELECT *, call_id AS event_id FROM calls)),
+known AS (SELECT event_id, {', '.join(f"CASE WHEN {c} NOT IN ({_TOKENS}) THEN {c} END AS {c}" for c in ('campaign_id', 'call_url', 'target_id', 'connected', 'disconnected_reason', 'duration_ms', 'executed_at'))} FROM raw),
+typed AS (
+SELECT event_id, campaign_id, try_cast(target_id AS BIGINT) AS target_id, try_cast(connected AS BOOLEAN) AS connected,
+  call_url IS NOT NULL AS call_completed, coalesce(lower({O.ustrip('disconnected_reason')}), 'unknown') AS disconnected_reason,
+  try_cast(duration_ms AS DOUBLE) / 1000.0 AS duration_sec, try_strptime(executed_at, '%Y-%m-%d %H:%M:%S.%f') AS executed_at
+FROM known)"""
+
+
+def _raw_calls(spark, sf):
+    return prepare_calls(typed_calls(raw_text_from_events(read_table(spark, sf, "events"))))
+
+
+@register("raw_text_rows", O.with_stage("calls", [_RAW], """
+SELECT *, CAST(hour(executed_at) AS INTEGER) AS hour, coalesce(connected, false) <> call_completed AS inconsistency_flag
+FROM typed"""), "S1 S2 S3 S4 P1 P2 N14")
+def raw_text_rows(spark, sf):
+    return _raw_calls(spark, sf).select("event_id", "campaign_id", "target_id", "connected", "call_completed", "disconnected_reason",
+                                        "duration_sec", "executed_at", "hour", "inconsistency_flag")
+
+
+@register("raw_missing_values", O.with_stage("calls", [_RAW], """
+SELECT count(*) AS n, count(*) FILTER (WHERE target_id IS NULL) AS no_target, count(*) FILTER (WHERE connected IS NULL) AS no_flag,
+  count(*) FILTER (WHERE duration_sec IS NULL) AS no_duration, count(*) FILTER (WHERE executed_at IS NULL) AS no_time,
+  count(*) FILTER (WHERE NOT call_completed) AS no_url FROM typed"""), "S1 S4 N14")
+def raw_missing_values(spark, sf):
+    missing = {"no_target": "target_id", "no_flag": "connected", "no_duration": "duration_sec", "no_time": "executed_at"}
+    return _raw_calls(spark, sf).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(a) for a, c in missing.items()],
+                                     F.count_if(~F.col("call_completed")).alias("no_url"))

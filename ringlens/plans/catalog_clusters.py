@@ -14,11 +14,13 @@ from ringlens.functions.categorical import reason_label
 from ringlens.operators import clusters as CL
 from ringlens.operators.clean import fence_condition, pre_fence_condition
 from ringlens.operators.failures import failure_rates_by
+from ringlens.functions.quantiles import median_scalar
 from ringlens.operators.features import FEATURES_6, FEATURES_7, assemble, encode_features, fit_scaler, prepare_variables
 from ringlens.operators.kprototypes import fit_kprototypes
 from ringlens.operators.reports import share_within, top_n_per_group, value_counts
 from ringlens.operators.sentiment import sentiment_agreement
 from ringlens.plans import oracle_sql as O
+from ringlens.sources.sinks import materialise
 from ringlens.plans.registry import register
 from ringlens.plans import stages
 from ringlens.plans.stages import r9, table
@@ -31,7 +33,6 @@ FIXED_CENTROIDS = [
     [0.0, 0.0, 0.8, 0.0, 0.0, -1.5, 3.0],
 ]
 Z7 = [c + "_z" for c in FEATURES_7]
-NOTEBOOK_NO_REASON = ["", "n/a", "otro"]
 
 # ---------------------------------------------------------------------------
 # Spark side
@@ -141,9 +142,9 @@ FROM prepared p LEFT JOIN (SELECT call_url, cluster_id FROM assigned WHERE call_
           "M8 J1")
 def cluster_assign_fixed(spark, sf):
     # the scaler is fit on clean connected calls; every call is then assigned in one pass, no join
-    conn = encode_features(clean_calls(spark, sf).filter(F.col("connected")))
-    scaler = fit_scaler(conn, FEATURES_7)
-    fill = conn.select(F.median("duration_sec")).first()[0] or 0.0
+    conn = clean_calls(spark, sf).filter(F.col("connected"))
+    fill = median_scalar(conn, "duration_sec")
+    scaler = fit_scaler(encode_features(conn, duration_fill=fill), FEATURES_7)
     allz = scaler.transform(encode_features(stages.with_outliers(table(spark, sf), spark, sf), duration_fill=fill))
     allz = allz.withColumns({c: r9(c) for c in Z7})
     pred = CL.assign_to_centroids(allz, Z7, FIXED_CENTROIDS, out="_pred")
@@ -213,10 +214,10 @@ def cluster_reason_share_fixed(spark, sf):
 SELECT * FROM (
   SELECT cluster_id, pca_razon_churn, count(*) AS n,
     CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, pca_razon_churn) AS INTEGER) AS rank
-  FROM assigned WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({', '.join(O.q(v) for v in NOTEBOOK_NO_REASON)})
+  FROM assigned WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({', '.join(O.q(v) for v in K.PROFILE_NO_REASON_VALUES)})
   GROUP BY cluster_id, pca_razon_churn) WHERE rank <= 5"""), "A23 F8 O2")
 def cluster_top_churn_fixed(spark, sf):
-    return top_n_per_group(fixed_clusters(spark, sf), "cluster_id", "pca_razon_churn", 5, NOTEBOOK_NO_REASON) \
+    return top_n_per_group(fixed_clusters(spark, sf), "cluster_id", "pca_razon_churn", 5, K.PROFILE_NO_REASON_VALUES) \
         .withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -236,7 +237,7 @@ def cluster_reason_matrix_fixed(spark, sf):
 SELECT b.cluster_id, b.n, {O.r9('b.dur_median')} AS dur_median, b.n_documented, d.dominant_reason, p25.v AS p25, p75.v AS p75,
   p75.v - p25.v AS iqr, b.n_documented / b.n AS documented_share
 FROM (SELECT cluster_id, count(*) AS n, median(duration_sec) AS dur_median,
-        count(*) FILTER (WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({_NR})) AS n_documented
+        count(*) FILTER (WHERE pca_razon_churn IS NOT NULL AND pca_razon_churn NOT IN ({', '.join(O.q(v) for v in K.PROFILE_NO_REASON_VALUES)})) AS n_documented
       FROM assigned GROUP BY cluster_id) b
 LEFT JOIN (SELECT cluster_id, disconnected_reason AS dominant_reason FROM (
     SELECT cluster_id, disconnected_reason, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC,
@@ -291,8 +292,7 @@ def kmeans_clusters(spark, sf):
 @register("kmeans_k_selection", None, "M6 M4 M9")
 def kmeans_k_selection(spark, sf):
     clean = clean_calls(spark, sf)
-    _, ksel, _ = CL.cluster_calls(clean, k=4, ks=range(2, 7))
-    return ksel
+    return CL.k_selection(clean, ks=range(2, 7))
 
 
 @register("kmeans_quality", None, "M9 M10 M14")
@@ -308,12 +308,12 @@ def kmeans_quality(spark, sf):
 def kmeans_trained_on_complete(spark, sf):
     conn = clean_calls(spark, sf).filter(F.col("connected"))
     train = conn.dropna(subset=["duration_sec", "hour", "disconnected_reason", "pca_sentimiento"])
-    fill = train.select(F.median("duration_sec")).first()[0] or 0.0
-    no_reason = ["", "n/a", "otro"]
+    fill = median_scalar(train, "duration_sec")
+    no_reason = K.PROFILE_NO_REASON_VALUES
     tr = encode_features(train, duration_fill=fill, no_reason=no_reason)
     scaler = fit_scaler(tr, FEATURES_6)
     zc = [c + "_z" for c in FEATURES_6]
-    model = CL.fit_kmeans(assemble(scaler.transform(tr), zc), 4)
+    model = CL.fit_kmeans(materialise(assemble(scaler.transform(tr), zc), "complete-calls"), 4)
     allc = assemble(scaler.transform(encode_features(conn, duration_fill=fill, no_reason=no_reason)), zc)
     return model.transform(allc).select("call_id", F.col("prediction").alias("cluster_id"))
 
@@ -330,7 +330,7 @@ def kprototypes_clusters(spark, sf):
     base = conn.select("call_id", "duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i",
                        "disconnected_reason", "razon_grupo", "day_of_week")
     nums = ["duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i"]
-    med = base.select(F.median("duration_sec")).first()[0] or 0.0
+    med = median_scalar(base, "duration_sec")
     base = base.withColumn("duration_sec", F.coalesce("duration_sec", F.lit(float(med))))
     scaler = fit_scaler(base, nums)
     scaled = scaler.transform(base)

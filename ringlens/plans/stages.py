@@ -5,22 +5,29 @@ not re-run the text processing (JSON parsing, transcript scoring, agent-line
 tests) for every report: the scored and flagged call table, without the raw
 transcript and JSON text, is written once as Parquet into the shared
 checkpoint folder (``spark.checkpoint.dir``) under a key made of the input
-files' fingerprint and the stage version (S10), and every report scans that
+files' fingerprint and a hash of the rules (S10), and every report scans that
 narrow table. This is the stage hand-over of the original pipeline (clean
 table, sentiment and agent checkpoints) as one columnar table; it also cuts
 the lineage, so a lost executor recomputes from the table, not from the raw
 text. The scalar limits (p99, IQR fence) are computed once from it.
-Setting ``ringlens.stages.reuse=false`` scopes the table to the application
-(no reuse across sessions), as the benchmark does to measure cold runs.
+The table is scoped to the application unless ``ringlens.stages.reuse=true``
+lets later sessions with the same input and rules read it.
 """
 
 from __future__ import annotations
 
+import inspect
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringlens import constants
+from ringlens.functions import categorical, text
+from ringlens.operators import clean as clean_rules
+from ringlens.operators import failures as failure_rules
+from ringlens.operators import sentiment as sentiment_rules
+from ringlens.sources import calls as call_rules
 from ringlens.operators.clean import Fence, clean_limits, filter_outliers, flag_duration_outliers, prepare_calls
 from ringlens.operators.failures import detect_failures
 from ringlens.operators.sentiment import analyze_sentiment
@@ -30,7 +37,8 @@ from ringlens.sources.sinks import reuse_or_build, stage_key
 
 # wide text columns that no report needs after scoring; not part of the stage table
 RAW_TEXT = ["transcript", "post_call_analysis", "transcript_text"]
-STAGE_VERSION = "calls-table-v1"
+# modules whose code decides what the stage table holds
+_RULES = (call_rules, text, categorical, clean_rules, sentiment_rules, failure_rules)
 
 _MEMO: dict = {}
 # stages nest (table -> flagged -> scored -> prepared), hence a re-entrant lock; it also keeps
@@ -39,13 +47,20 @@ _LOCK = threading.RLock()
 
 
 def _memo(spark: SparkSession, sf_dir: str, name: str, build):
-    key = (id(spark), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    """One result per session, input files, rules and name: a changed input or rule is built anew."""
+    src = f"{sf_dir.rstrip('/')}/events.parquet"
+    key = (id(spark), spark.sparkContext.applicationId, stage_key(src, _fingerprint(spark, src), _rules()), name)
     with _LOCK:
         if key not in _MEMO:
             _MEMO[key] = build()
         return _MEMO[key]
 
 
+def _rules() -> list:
+    """The fixed values as they are now and the code of the rules."""
+    return [{k: repr(v) for k, v in vars(constants).items() if k.isupper()}, *map(inspect.getsource, _RULES)]
+
+
 def clear() -> None:
     with _LOCK:
         _MEMO.clear()
@@ -87,7 +102,7 @@ def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         src = f"{sf_dir.rstrip('/')}/events.parquet"
         scope = [] if spark.conf.get("ringlens.stages.reuse", "false") == "true" else [spark.sparkContext.applicationId]
-        key = stage_key(STAGE_VERSION, src, _fingerprint(spark, src), *scope)
+        key = stage_key(_rules(), src, _fingerprint(spark, src), *scope)
         base = ensure_checkpoint_dir(spark).rstrip("/") + "/ringlens-stages"
         narrow = lambda: flagged(spark, sf_dir).drop(*RAW_TEXT)
         return reuse_or_build(spark, base, key, narrow, expected_cols=["sentiment_own", "fail_agent_hangup"])

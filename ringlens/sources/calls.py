@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +34,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def validate_columns(df: DataFrame, required=REQUIRED_HEADERS) -> None:
+def validate_columns(columns: list[str], required=REQUIRED_HEADERS) -> None:
     """Abort with the list of required columns that are missing."""
-    missing = sorted(set(required) - set(df.columns))
+    missing = sorted(set(required) - set(columns))
     if missing:
         raise ValueError(f"missing columns in calls input: {missing}")
 
@@ -68,37 +68,50 @@ def add_call_completed(df: DataFrame) -> DataFrame:
     return df.withColumn("call_completed", F.col("call_url").isNotNull())
 
 
-def load_raw(spark: SparkSession, path: str, with_row_key: bool = True) -> DataFrame:
+def content_key(df: DataFrame, name: str = "call_id") -> DataFrame:
+    """A row key made of the row's content: 128 hash bits of all columns and an occurrence number.
+
+    The key depends on no file order, split or position, so tables loaded separately share it.
+    Equal rows are numbered 0, 1, ... - which of them gets which number makes no difference, as they
+    are equal. They are numbered per input partition and shifted by the counts of the
+    partitions before it, so a row repeated very often never meets itself in one task.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.withColumns({"_h1": F.xxhash64(F.lit(1), *cols), "_h2": F.xxhash64(F.lit(2), *cols),
+                           "_at": F.monotonically_increasing_id()}).withColumn("_part", F.shiftright("_at", 33))
+    key = ["_h1", "_h2", "_part"]
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_h1", "_h2").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(*key).orderBy("_at")) - 1
+    out = rows.withColumn("_own", own).join(shift, key)
+    text = F.format_string("%016x%016x-%d", F.col("_h1"), F.col("_h2"), F.col("_own") + F.col("_shift"))
+    return out.select(*cols, text.alias(name))
+
+
+def typed_calls(raw: DataFrame) -> DataFrame:
+    """S1-S4 on a table of text columns with the raw headers: null tokens, renames, casts, ``call_completed``."""
+    validate_columns(raw.columns)
+    return add_call_completed(type_raw(null_tokens(raw).withColumnsRenamed(COLUMN_RENAME)))
+
+
+def load_raw(spark: SparkSession, path: str, with_row_key: bool = True, multi_line: bool = True) -> DataFrame:
     """Read the raw calls CSV.
 
     All columns are read as strings with an explicit schema taken from the
     header (no inference pass over the data), then null tokens, renames and
-    typed columns are applied. ``call_id`` is a row key for the elimination
-    accounting: it is a function of the file split and the row position, so
-    it is stable for a fixed set of files and split size.
+    typed columns are applied. ``call_id`` is a key of the row's content
+    (``content_key``). ``multi_line=False`` lets large files split, for inputs
+    whose fields hold no line breaks.
     """
-    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
-    validate_columns_list(header)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    df = null_tokens(raw).withColumnsRenamed(COLUMN_RENAME)
-    df = add_call_completed(type_raw(df))
-    if with_row_key:
-        df = df.withColumn("call_id", F.monotonically_increasing_id())
-    return spread(df)
-
+    def reader():
+        return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
-def validate_columns_list(columns: list[str], required=REQUIRED_HEADERS) -> None:
-    missing = sorted(set(required) - set(columns))
-    if missing:
-        raise ValueError(f"missing columns in calls input: {missing}")
+    header = reader().csv(path).columns
+    validate_columns(header)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+    df = typed_calls(reader().schema(schema).option("mode", "PERMISSIVE").csv(path))
+    return spread(content_key(df) if with_row_key else df)
 
 
 def normalize_raw(df: DataFrame) -> DataFrame:
@@ -110,7 +123,7 @@ def normalize_raw(df: DataFrame) -> DataFrame:
     kept as they are, so a cleaned table and a raw one can be audited together.
     """
     from ringlens.functions.categorical import campaign_type
-    from ringlens.operators.clean import TIMESTAMP_FORMAT
+    from ringlens.operators.clean import local_timestamp
     from ringlens.operators.sentiment import analyze_sentiment
 
     present = set(df.columns)
@@ -122,10 +135,7 @@ def normalize_raw(df: DataFrame) -> DataFrame:
     if "duration_sec" not in df.columns and "duration_ms" in df.columns:
         add["duration_sec"] = F.expr("try_cast(duration_ms AS DOUBLE)") / F.lit(1000.0)
     if "hour" not in df.columns and "executed_at" in df.columns:
-        ts = F.col("executed_at")
-        if isinstance(df.schema["executed_at"].dataType, T.StringType):
-            ts = F.expr(f"try_to_timestamp(executed_at, '{TIMESTAMP_FORMAT}')")
-        add["hour"] = F.hour(ts)
+        add["hour"] = F.hour(local_timestamp(df, "executed_at"))
     if "campaign_type" not in df.columns and "name" in df.columns:
         add["campaign_type"] = campaign_type("name")
     if add:
@@ -212,3 +222,26 @@ def calls_from_events(events: DataFrame) -> DataFrame:
 def load_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw call log over the test tables (``call_completed`` derived in the same projection)."""
     return calls_from_events(read_table(spark, sf_dir, "events"))
+
+
+def raw_text_from_events(events: DataFrame) -> DataFrame:
+    """The call log as a raw text export: raw headers, every column text, and cells that do not parse.
+
+    ``events`` row by row (a projection). ``event_id`` is kept as an extra column. By
+    ``event_id % 11``: 0 a bad duration, 1 a bad time, 2 a bad connected flag, 3 a bad target id,
+    4 a target id with leading zeros; missing cells hold one of the null tokens, by ``event_id % 4``.
+    """
+    calls = calls_from_events(events).withColumn("executed_at", F.date_format("executed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")) \
+        .withColumn("duration_ms", F.floor("duration_ms").cast("long"))
+    which = F.col("call_id") % 11
+    spoiled = {
+        "duration_ms": F.when(which == 0, "n.d."),
+        "executed_at": F.when(which == 1, "31/12/2024 25:00"),
+        "connected": F.when(which == 2, "maybe"),
+        "target_id": F.when(which == 3, F.concat(F.lit("x"), F.col("target_id").cast("string")))
+                      .when(which == 4, F.concat(F.lit("00"), F.col("target_id").cast("string"))),
+    }
+    token = F.element_at(F.array(*[F.lit(t) for t in NULL_TOKENS]), (F.col("call_id") % len(NULL_TOKENS) + 1).cast("int"))
+    return calls.select(F.col("call_id").alias("event_id"), *[
+        F.coalesce(spoiled.get(new, F.lit(None)), F.col(new).cast("string"), token).alias(raw)
+        for raw, new in COLUMN_RENAME.items()])

@@ -111,3 +111,20 @@ def test_normalize_raw_fills_missing_derived_columns(spark):
     assert out["prueba"]["sentiment_own"] == "neutral" and out["prueba"]["hour"] == 0
     kept = normalize_raw(spark.createDataFrame([("x", "url", 7)], "name string, call_url string, hour int"))
     assert kept.first()["hour"] == 7
+
+
+def test_content_key_does_not_depend_on_the_split(spark):
+    from ringlens.sources.calls import content_key
+
+    rows = spark.range(600).select((F.col("id") % 7).cast("string").alias("a"), F.when(F.col("id") % 3 == 0, "x").alias("b"))
+    keys = [sorted(r["call_id"] for r in content_key(rows.repartition(n)).collect()) for n in (1, 5, 13)]
+    assert keys[0] == keys[1] == keys[2] and len(set(keys[0])) == 600
+
+
+def test_profile_counts_maps(spark):
+    from ringlens.operators.profile import column_profile
+
+    df = spark.createDataFrame([({"a": 1, "b": 2},), ({"b": 2, "a": 1},), (None,), ({"a": 3},)], "m map<string,int>")
+    for method in ("hash", "exact", "approx"):
+        r = column_profile(df, method=method).first()
+        assert (r["nulls"], r["n_distinct"]) == (1, 3)

@@ -2,6 +2,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from ringlens.functions.quantiles import group_quantiles
 from ringlens.operators import clusters as CL
 from ringlens.operators.features import assemble, fit_scaler, hash_sample, hash_sample_per_group
 from ringlens.operators.kprototypes import fit_kprototypes
@@ -69,7 +70,8 @@ def test_hash_sample_reproducible(spark):
 def test_group_nearest_quantiles(spark):
     rows = [("a", float(v)) for v in range(1, 5)] + [("b", float(v)) for v in [5, 1, 3]]
     df = spark.createDataFrame(rows, "g string, v double").repartition(3)
-    got = {(r["g"], r["q"]): r["value"] for r in CL.group_nearest_quantiles(df, "g", "v", [0.25, 0.75]).collect()}
+    got = {(r["g"], q): r[name] for r in group_quantiles(df, ["g"], "v", {"p25": ("nearest", 0.25), "p75": ("nearest", 0.75)}).collect()
+           for name, q in (("p25", 0.25), ("p75", 0.75))}
     assert got == {("a", 0.25): 2.0, ("a", 0.75): 3.0, ("b", 0.25): 3.0, ("b", 0.75): 5.0}
 
 

@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -122,3 +123,40 @@ def test_cramers_v_general_grid(spark):
     n = len(rows)
     chi = sum((obs.get((a, b), 0) - ra[a] * cb[b] / n) ** 2 / (ra[a] * cb[b] / n) for a in ra for b in cb)
     assert abs(v - math.sqrt(chi / (n * 2))) < 1e-12
+
+
+def test_exact_tail_against_all_rankings():
+    for m, n in ((2, 2), (2, 5), (4, 6), (7, 8)):
+        seen = {}
+        for ranks in combinations(range(1, m + n + 1), m):
+            u = sum(ranks) - m * (m + 1) // 2
+            seen[u] = seen.get(u, 0) + 1
+        for u in range(m * n + 1):
+            assert abs(ST.exact_upper_tail(u, m, n) - sum(c for x, c in seen.items() if x >= u) / math.comb(m + n, m)) < 1e-14
+
+
+def test_exact_tail_does_not_depend_on_a_size_limit():
+    tails = [ST.exact_upper_tail(4 * n + n, 8, n) for n in (624_000, 626_000, 10**9)]
+    assert max(tails) - min(tails) < 1e-5
+
+
+def test_mann_whitney_all_ties(spark):
+    r = _mw(spark, [1.0] * 9, [1.0] * 10)
+    assert r["p_value"] == 1.0 and r["u"] == 45.0
+    r = _mw(spark, [1.0, 1.0], [1.0, 1.0])
+    assert r["p_value"] == 1.0
+
+
+def test_spearman_constant_column(spark):
+    df = spark.createDataFrame([(float(i), 1.0) for i in range(20)], "a double, b double")
+    assert math.isnan(ST.spearman(df, ["a", "b"]).first()["rho"])
+
+
+def test_recommendation_takes_the_first_of_two_twins(spark):
+    rho = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.1), ("b", "c", -0.95), ("a", "d", float("nan"))], "col_a string, col_b string, rho double")
+    eta = spark.createDataFrame([("a", "k", 0.5), ("b", "k", 0.5), ("c", "k", 0.01)], "num string, cat string, eta_squared double")
+    v = spark.createDataFrame([("k", "f", 0.1)], "col_a string, col_b string, cramers_v double")
+    out = {r["feature"]: r for r in ST.recommend_features(rho, eta, v, ["a", "b", "c", "d"], ["k"], ["f"]).collect()}
+    assert out["b"]["redundant_with"] == "a" and not out["b"]["recommended"]
+    assert out["a"]["recommended"] and out["c"]["redundant_with"] is None and not out["c"]["recommended"]
+    assert out["d"]["strength"] == 0.0 and {r["algorithm"] for r in out.values()} == {"K-Means"}
