@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from ringlens.llm.common import Scratch, prepare
 
 WINDOW, ANCHOR = 50, 16
+HOT_SHARE = 1_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _CHUNK = 1 << 16
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,9 +122,14 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch, k: int = WINDOW) -> DataF
 
     occ = scratch.table(docs.where("doc_id is not null").select("doc_id", "th", "text").mapInArrow(
         cut, f"doc_id {kind}, th long, anchor long, c long, v long, lo int, hi int"))
-    # written first: a join whose two sides are plain exchanges can split the rows of a hot anchor
-    shared = scratch.table(occ.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"))
-    cand = scratch.table(occ.join(shared, "anchor", "left_semi").distinct())
+    # anchors with over 1/HOT_SHARE of the rows are fewer than HOT_SHARE: broadcast, their rows are never brought together
+    sizes = scratch.table(occ.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                          .select("anchor", "n", F.expr("a < b").alias("shared")))
+    hot = F.col("n") * HOT_SHARE > (sizes.agg(F.sum("n")).first()[0] or 0)
+    hot_anchors = F.broadcast(scratch.table(sizes.where(hot).select("anchor", "shared")))
+    cold_shared = sizes.where(~hot & F.col("shared")).select("anchor")
+    cand = scratch.table(occ.join(hot_anchors.where("shared"), "anchor", "left_semi")
+                         .unionByName(occ.join(hot_anchors, "anchor", "left_anti").join(cold_shared, "anchor", "left_semi")).distinct())
     scratch.drop(occ)
 
     # each path with its neighbours in the text; a path is one node of the compaction
