@@ -98,6 +98,18 @@ def assign_to_centroids(df: DataFrame, cols: list[str], centroids: list[list[flo
     return df.withColumn(out, best.cast("int"))
 
 
+def lloyd_step(df: DataFrame, cols: list[str], centroids: list[list[float]]) -> DataFrame:
+    """M5, one update: (cluster_id, n, cost, c_<column>) - rows, squared distance to the old centroid, and the new centroid.
+
+    Centroids without rows have no row in the result.
+    """
+    near = None
+    for c in centroids:
+        near = sq_distance(cols, c) if near is None else F.least(near, sq_distance(cols, c))
+    return assign_to_centroids(df, cols, centroids, out="cluster_id").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(near).alias("cost"), *[F.avg(c).alias(f"c_{c}") for c in cols])
+
+
 def canonical_mapping(pred: DataFrame, prediction: str = "prediction") -> DataFrame:
     """Raw id -> canonical id, ordered by (engagement mean, duration median, raw id); k rows."""
     stats = attach_quantiles(pred.groupBy(prediction).agg(F.avg("f_engagement").alias("_e")), pred, [prediction], "duration_sec", {"_d": MEDIAN})
@@ -204,9 +216,9 @@ def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int =
     return cluster_ids_for_all(pred, cond, F.col("_canon")).drop("_canon")
 
 
-def ordinal_kmeans(df: DataFrame, k: int, numeric=("duration_sec", "hour"), binary=("duration_outlier_i", "inconsistency_flag_i"),
-                   categorical=("disconnected_reason", "razon_grupo", "day_of_week"), n_init: int = 10, seed: int = 42):
-    """K-Means on numerics + binaries + alphabetically indexed categories, all scaled."""
+def ordinal_features(df: DataFrame, numeric=("duration_sec", "hour"), binary=("duration_outlier_i", "inconsistency_flag_i"),
+                     categorical=("disconnected_reason", "razon_grupo", "day_of_week")) -> tuple[DataFrame, list[str]]:
+    """M13 inputs: (rows with scaled columns, their names); categories by their place in the alphabet, null after the last."""
     base = df
     for c in numeric:
         med = median_scalar(base, c)
@@ -217,8 +229,13 @@ def ordinal_kmeans(df: DataFrame, k: int, numeric=("duration_sec", "hour"), bina
                         stringOrderType="alphabetAsc", handleInvalid="keep").fit(base)
     base = idx.transform(base)
     cols = [f"{c}_f" for c in (*numeric, *binary, *categorical)]
-    scaler = fit_scaler(base, cols)
-    vec = materialise(assemble(scaler.transform(base), [c + "_z" for c in cols]), "ordinal-calls")
+    return fit_scaler(base, cols).transform(base), [c + "_z" for c in cols]
+
+
+def ordinal_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, **columns):
+    """K-Means on numerics + binaries + alphabetically indexed categories, all scaled."""
+    scaled, cols = ordinal_features(df, **columns)
+    vec = materialise(assemble(scaled, cols), "ordinal-calls")
     model = fit_kmeans(vec, k, n_init=n_init, seed=seed)
     return model.transform(vec).withColumnRenamed("prediction", "cluster_id")
 
@@ -276,11 +293,14 @@ _P25, _P75 = ("nearest", 0.25), ("nearest", 0.75)
 
 
 def cluster_profile(df: DataFrame, labels: dict | None = None) -> DataFrame:
-    """Per cluster n, duration median (midpoint) and nearest p25/p75, mean hour, label."""
+    """Per cluster n, duration median (midpoint) and nearest p25/p75, mean hour, label.
+
+    The label map is strict (P24): a cluster id without a label is an error.
+    """
     base = df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.avg("hour").alias("hour_mean"))
     out = attach_quantiles(base, df, ["cluster_id"], "duration_sec", {"dur_median_s": MEDIAN, "dur_p25_s": _P25, "dur_p75_s": _P75})
     labels = K.CLUSTER_LABELS if labels is None else labels
-    lab = F.lit(None).cast("string")
+    lab = F.raise_error(F.concat(F.lit("no label for cluster "), F.col("cluster_id").cast("string"))).cast("string")
     for cid, name in sorted(labels.items()):
         lab = F.when(F.col("cluster_id") == cid, F.lit(name)).otherwise(lab)
     return out.withColumn("label", lab)

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlens.functions.quantiles import median_scalar
+from ringlens.functions.quantiles import median_scalar, quantile_scalars
 from ringlens.functions.categorical import churn_group, engagement, has_reason, sentiment_ordinal
 
 FEATURES_7 = ["f_duration", "f_hour", "f_engagement", "f_outlier", "f_inconsistency", "f_sentiment", "f_has_reason"]
@@ -102,6 +102,20 @@ def portable_key(col, seed: int = 42):
     return F.pmod(F.pmod(c.cast("long"), F.lit(SAMPLE_PRIME)) * F.lit(m), F.lit(SAMPLE_PRIME))
 
 
+def share_sample(df: DataFrame, share: float = 0.15, least: int = 500, key: str = "call_id", seed: int = 42) -> DataFrame:
+    """M4: ``share`` of the rows, at least ``least`` (or all), the first by ``portable_key``.
+
+    The last key that is in comes from value counts cut into ranges, so a sample that grows with the
+    table passes through no single task. Keys are taken to be unique.
+    """
+    total = df.count()
+    n = min(total, max(least, int(total * share)))
+    if n == total:
+        return df
+    (last,) = quantile_scalars(df, [(portable_key(key, seed), "nearest", (n - 1) / (total - 1))])
+    return df.where(portable_key(key, seed) <= F.lit(int(last)))
+
+
 def hash_sample_per_group(df: DataFrame, group: str, n: int, key: str = "call_id", seed: int = 42,
                           buckets: int = 64) -> DataFrame:
     """Up to ``n`` rows per group (fewer when the group is smaller), exact and skew-safe.

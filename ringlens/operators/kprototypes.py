@@ -19,11 +19,22 @@ Not in MLlib, so it is written as an iterative DataFrame job:
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class KPrototypes(NamedTuple):
+    """A fit; ``converged`` is False where the iteration limit ended it."""
+    rows: DataFrame
+    prototypes: list
+    iterations: int
+    cost: float
+    converged: bool
+
+
 def _cost_expr(num_cols, cat_cols, proto_num, proto_cat, gamma):
     acc = None
     for c, v in zip(num_cols, proto_num):
@@ -35,7 +46,8 @@ def _cost_expr(num_cols, cat_cols, proto_num, proto_cat, gamma):
     return acc
 
 
-def _assign(df, num_cols, cat_cols, protos, gamma, out="cluster_id"):
+def assign_to_prototypes(df, num_cols, cat_cols, protos, gamma, out="cluster_id"):
+    """Nearest prototype (ties -> lowest index) and its ``_cost``; the prototypes are literals of the plan."""
     costs = [_cost_expr(num_cols, cat_cols, pn, pc, gamma) for pn, pc in protos]
     best, best_c = F.lit(0), costs[0]
     for i, c in enumerate(costs[1:], start=1):
@@ -81,8 +93,8 @@ def cao_init(df: DataFrame, cat_cols: list[str], k: int) -> list[list[str]]:
 
 
 def fit_kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k: int, gamma: float | None = None,
-                    max_iter: int = 20, seed: int = 42, checkpoint: bool = True):
-    """Fit K-Prototypes; returns (rows with ``cluster_id`` and ``_cost``, prototypes, iterations, cost).
+                    max_iter: int = 20, seed: int = 42, checkpoint: bool = True) -> KPrototypes:
+    """Fit K-Prototypes; the rows have ``cluster_id`` and ``_cost``.
 
     ``gamma`` defaults to half the mean std of the numeric columns.
     """
@@ -98,9 +110,9 @@ def fit_kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k:
     rng = np.random.RandomState(seed)
     init_num = means + rng.randn(k, len(num_cols)) * stds
     protos = list(zip([list(r) for r in init_num], cao_init(base, cat_cols, k)))
-    it = 0
+    it, converged = 0, False
     for it in range(1, max_iter + 1):
-        assigned = _assign(base, num_cols, cat_cols, protos, gamma)
+        assigned = assign_to_prototypes(base, num_cols, cat_cols, protos, gamma)
         means_rows = assigned.groupBy("cluster_id").agg(*[F.avg(c).alias(c) for c in num_cols]).collect()
         stacked = assigned.select("cluster_id", F.explode(F.array(*[
             F.struct(F.lit(c).alias("attr"), F.col(c).cast("string").alias("val")) for c in cat_cols])).alias("s"))
@@ -116,8 +128,9 @@ def fit_kprototypes(df: DataFrame, num_cols: list[str], cat_cols: list[str], k:
             new[cid][1][cat_cols.index(attr)] = val
         new = [(list(a), list(b)) for a, b in new]
         if new == [(list(a), list(b)) for a, b in protos]:
+            converged = True
             break
         protos = new
-    final = _assign(base, num_cols, cat_cols, protos, gamma)
+    final = assign_to_prototypes(base, num_cols, cat_cols, protos, gamma)
     cost = final.agg(F.sum("_cost")).first()[0]
-    return final, protos, it, float(cost or 0.0)
+    return KPrototypes(final, protos, it, float(cost or 0.0), converged)

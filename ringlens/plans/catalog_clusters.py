@@ -298,24 +298,29 @@ def kmeans_k_selection(spark, sf):
 @register("kmeans_quality", None, "M9 M10 M14")
 def kmeans_quality(spark, sf):
     clean = clean_calls(spark, sf)
-    pred, _, _ = CL.cluster_calls(clean, k=4, ks=None)
+    pred, _, model = CL.cluster_calls(clean, k=4, ks=None)
     sil = CL.silhouette_sq(pred.withColumn("prediction", F.col("cluster_id")))
     q = CL.quality_metrics(pred, [c + "_z" for c in FEATURES_7])
-    return q.withColumn("silhouette_sq", F.lit(sil))
+    steps = model.summary.numIter  # a fit that used all of them may not have converged
+    return q.withColumns({"silhouette_sq": F.lit(sil), "iterations": F.lit(steps), "converged": F.lit(steps < 150)})
 
 
-@register("kmeans_trained_on_complete", None, "M2 M11 F6")
-def kmeans_trained_on_complete(spark, sf):
+def complete_features(spark, sf):
+    """Six features of (the complete connected calls, all of them); fill and scaler come from the complete ones."""
     conn = clean_calls(spark, sf).filter(F.col("connected"))
     train = conn.dropna(subset=["duration_sec", "hour", "disconnected_reason", "pca_sentimiento"])
-    fill = median_scalar(train, "duration_sec")
-    no_reason = K.PROFILE_NO_REASON_VALUES
-    tr = encode_features(train, duration_fill=fill, no_reason=no_reason)
+    kw = {"duration_fill": median_scalar(train, "duration_sec"), "no_reason": K.PROFILE_NO_REASON_VALUES}
+    tr = encode_features(train, **kw)
     scaler = fit_scaler(tr, FEATURES_6)
+    return scaler.transform(tr), scaler.transform(encode_features(conn, **kw))
+
+
+@register("kmeans_trained_on_complete", None, "M2 M11 F6")
+def kmeans_trained_on_complete(spark, sf):
+    train, allc = complete_features(spark, sf)
     zc = [c + "_z" for c in FEATURES_6]
-    model = CL.fit_kmeans(materialise(assemble(scaler.transform(tr), zc), "complete-calls"), 4)
-    allc = assemble(scaler.transform(encode_features(conn, duration_fill=fill, no_reason=no_reason)), zc)
-    return model.transform(allc).select("call_id", F.col("prediction").alias("cluster_id"))
+    model = CL.fit_kmeans(materialise(assemble(train, zc), "complete-calls"), 4)
+    return model.transform(assemble(allc, zc)).select("call_id", F.col("prediction").alias("cluster_id"))
 
 
 @register("kmeans_ordinal_baseline", None, "M13")
@@ -324,15 +329,20 @@ def kmeans_ordinal_baseline(spark, sf):
     return CL.ordinal_kmeans(conn, 4).select("call_id", "cluster_id")
 
 
-@register("kprototypes_clusters", None, "M12")
-def kprototypes_clusters(spark, sf):
+KP_CATEGORIES = ["disconnected_reason", "razon_grupo", "day_of_week"]
+KP_NUMBERS = ["duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i"]
+
+
+def kprototypes_input(spark, sf):
+    """Connected clean calls with the scaled numbers and the categories of K-Prototypes."""
     conn = prepare_variables(clean_calls(spark, sf).filter(F.col("connected")))
-    base = conn.select("call_id", "duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i",
-                       "disconnected_reason", "razon_grupo", "day_of_week")
-    nums = ["duration_sec", "hour", "duration_outlier_i", "inconsistency_flag_i"]
+    base = conn.select("call_id", *KP_NUMBERS, *KP_CATEGORIES)
     med = median_scalar(base, "duration_sec")
     base = base.withColumn("duration_sec", F.coalesce("duration_sec", F.lit(float(med))))
-    scaler = fit_scaler(base, nums)
-    scaled = scaler.transform(base)
-    out, _, _, _ = fit_kprototypes(scaled, [c + "_z" for c in nums], ["disconnected_reason", "razon_grupo", "day_of_week"], 4)
-    return out.select("call_id", "cluster_id")
+    return fit_scaler(base, KP_NUMBERS).transform(base)
+
+
+@register("kprototypes_clusters", None, "M12")
+def kprototypes_clusters(spark, sf):
+    fit = fit_kprototypes(kprototypes_input(spark, sf), [c + "_z" for c in KP_NUMBERS], KP_CATEGORIES, 4)
+    return fit.rows.select("call_id", "cluster_id")

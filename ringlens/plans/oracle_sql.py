@@ -62,7 +62,7 @@ def _list(values) -> str:
 
 
 def _phrases(norm: str, phrases) -> str:
-    return " + ".join(f"(CASE WHEN contains({norm}, {q(p)}) THEN {K.PHRASE_WEIGHT} ELSE 0 END)" for p in phrases)
+    return "0" if not phrases else " + ".join(f"(CASE WHEN contains({norm}, {q(p)}) THEN {K.PHRASE_WEIGHT} ELSE 0 END)" for p in phrases)
 
 
 def _words(norm: str, words) -> str:
@@ -133,8 +133,12 @@ prepared AS (
 SELECT *, CAST(length(transcript_text) AS INTEGER) AS transcript_length, {campaign_type('name')} AS campaign_type
 FROM prepared0)"""
 
-def score_ctes(src: str, text_expr: str, out: str) -> str:
+DEFAULT_WORDS = (K.POSITIVE_WORDS, K.NEGATIVE_WORDS, K.POSITIVE_PHRASES, K.NEGATIVE_PHRASES)
+
+
+def score_ctes(src: str, text_expr: str, out: str, lexicon=DEFAULT_WORDS) -> str:
     """CTEs adding ``user_text``, ``sentiment_score``, ``sentiment_own`` to ``src`` (result CTE ``out``)."""
+    good_words, bad_words, good_phrases, bad_phrases = lexicon
     norm = normalize_text("user_text")
     return f"""{out}0 AS (
 SELECT *, {text_expr} AS user_text FROM {src}),
@@ -143,8 +147,8 @@ SELECT *, {norm} AS _norm FROM {out}0),
 {out}2 AS (
 SELECT *,
   CASE WHEN coalesce(length({ustrip('user_text')}), 0) < {K.MIN_SCORE_CHARS} THEN 0.0
-  ELSE CAST(({_phrases('_norm', K.POSITIVE_PHRASES)} + {_words('_norm', K.POSITIVE_WORDS)})
-          - ({_phrases('_norm', K.NEGATIVE_PHRASES)} + {_words('_norm', K.NEGATIVE_WORDS)}) AS DOUBLE) END AS sentiment_score
+  ELSE CAST(({_phrases('_norm', good_phrases)} + {_words('_norm', good_words)})
+          - ({_phrases('_norm', bad_phrases)} + {_words('_norm', bad_words)}) AS DOUBLE) END AS sentiment_score
 FROM {out}1),
 {out} AS (
 SELECT * EXCLUDE (_norm),

@@ -1,10 +1,11 @@
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ringlens.functions.quantiles import group_quantiles
 from ringlens.operators import clusters as CL
-from ringlens.operators.features import assemble, fit_scaler, hash_sample, hash_sample_per_group
+from ringlens.operators.features import assemble, fit_scaler, hash_sample, hash_sample_per_group, portable_key, share_sample
 from ringlens.operators.kprototypes import fit_kprototypes
 
 
@@ -81,7 +82,7 @@ def test_kprototypes(spark):
         grp = i % 2
         rows.append((i, float(grp * 5 + (i % 5) * 0.1), "x" if grp else "y", "p" if i % 3 else "q"))
     df = spark.createDataFrame(rows, "call_id long, n double, c1 string, c2 string")
-    out, protos, iters, cost = fit_kprototypes(df, ["n"], ["c1", "c2"], 2, max_iter=10)
+    out, protos, iters, cost, converged = fit_kprototypes(df, ["n"], ["c1", "c2"], 2, max_iter=10)
     labs = {r["call_id"]: r["cluster_id"] for r in out.collect()}
     assert set(labs.values()) <= {0, 1} and len(protos) == 2 and cost >= 0
     assert all(labs[i] == labs[i % 2] for i in range(60))
@@ -95,3 +96,26 @@ def test_cluster_ids_for_all_null_url(spark):
     loose = {r["call_id"]: r["cluster_id"] for r in
              CL.cluster_ids_for_all(df, F.col("connected"), F.col("pred"), strict=False).collect()}
     assert strict == {1: 2, 2: -1, 3: -1} and loose == {1: 2, 2: 1, 3: -1}
+
+
+def test_label_map_is_strict(spark):
+    rows = spark.createDataFrame([(0, 1.0, 9), (7, 2.0, 10)], "cluster_id int, duration_sec double, hour int")
+    assert {r["label"] for r in CL.cluster_profile(rows, labels={0: "a", 7: "b"}).collect()} == {"a", "b"}
+    with pytest.raises(Exception, match="no label for cluster 7"):
+        CL.cluster_profile(rows, labels={0: "a"}).collect()
+
+
+def test_share_sample_is_the_first_by_key(spark):
+    rows = spark.range(1, 2001).withColumnRenamed("id", "call_id")
+    want = [r[0] for r in rows.orderBy(portable_key("call_id")).limit(600).collect()]
+    assert sorted(r[0] for r in share_sample(rows, 0.3, 500).collect()) == sorted(want)
+    assert share_sample(rows, 0.01, 500).count() == 500
+    assert share_sample(rows, 0.01, 5000).count() == 2000
+    assert share_sample(rows.limit(0)).count() == 0
+
+
+def test_lloyd_step_lowers_the_cost(spark):
+    rows = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 10, 11, 15)], "x double")
+    first = {r["cluster_id"]: r for r in CL.lloyd_step(rows, ["x"], [[0.0], [9.0]]).collect()}
+    assert [(r["n"], r["cost"], r["c_x"]) for _, r in sorted(first.items())] == [(3, 5.0, 1.0), (3, 41.0, 12.0)]
+    assert sum(r["cost"] for r in CL.lloyd_step(rows, ["x"], [[1.0], [12.0]]).collect()) == 2.0 + 14.0
