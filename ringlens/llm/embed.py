@@ -8,7 +8,9 @@ cells are verified by cosine in double precision.
 
 How many cells that is is measured, not set: a bounded sample of queries is compared with
 all rows by brute force, and the rank of the cell that holds each true neighbour gives
-the share found after 1, 2, 3, ... cells.
+the share found after 1, 2, 3, ... cells. The target must hold for the pairs and for the mean over
+queries of their own share, so that one large group does not speak for all others; a label
+that needs more cells than the whole gets them.
 
 Equal vectors are one class before anything is compared. A cell with many members or
 queries is cut into blocks of at most ``BLOCK`` each, so no task holds a whole cell; a block
@@ -120,7 +122,7 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
         return alone
 
     # codebooks and visits for each vector length
-    plans: dict[int, tuple[Grid, int]] = {}
+    plans: dict[int, tuple[Grid, dict, int]] = {}
     for dim, (n, labels) in sizes.items():
         rows = classes.where(F.col("dim") == dim)
         draw = F.pmod(F.xxhash64("rep", F.lit("codebook")), F.lit(1_000_000))
@@ -129,7 +131,7 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
             sample = rows.select("v").limit(1).toArrow()["v"].to_pylist()
         k = int(np.clip(round((n / max(labels, 1) / CELL_ROWS) ** 0.5), 1, MOST_CENTRES))
         grid = Grid(_unit(sample), min(k, len(sample)))
-        plans[dim] = (grid, _visits(rows, grid, n, min_cosine, target_recall))
+        plans[dim] = (grid, *_visits(rows, grid, n, min_cosine, target_recall))
     shared = spark.sparkContext.broadcast(plans)
     key_type = classes.schema["rep"].dataType
     label_type = classes.schema["label"].dataType
@@ -137,11 +139,11 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                grid, visits = shared.value[dim]
+                grid, by_label, visits = shared.value[dim]
                 x = _unit(part["v"].tolist())
                 a, b = grid.distances(x)
                 own = a.argmin(axis=1) * b.shape[1] + b.argmin(axis=1)
-                walks = [multi_sequence(p, q, visits) for p, q in zip(a, b)]
+                walks = [multi_sequence(p, q, by_label.get(own_label, visits)) for p, q, own_label in zip(a, b, part["label"])]
                 rep, lab, n, v = part["rep"].to_numpy(), part["label"].to_numpy(), part["n"].to_numpy(), part["v"].to_numpy()
                 times = np.array([len(w) for w in walks])
                 at = np.repeat(np.arange(len(part)), times)
@@ -194,13 +196,15 @@ def alone_rows(src: DataFrame) -> DataFrame:
     return src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
 
 
-def _visits(rows: DataFrame, grid: Grid, n: int, min_cosine: float, target: float) -> int:
-    """Cells to visit: a bounded sample of queries against all rows, in blocks; only counts by cell rank come back."""
+def _visits(rows: DataFrame, grid: Grid, n: int, min_cosine: float, target: float) -> tuple[dict, int]:
+    """Cells to visit, for labels of their own number and for all others: a bounded sample of queries
+    against all rows, in blocks; only sums by label and cell rank come back."""
     draw = F.pmod(F.xxhash64("rep", F.lit("recall")), F.lit(1_000_000))
     queries = rows.where(draw < int(min(1.0, RECALL_QUERIES / n) * 1_000_000)).select("rep", "label", "v").toArrow().to_pydict()
     most = len(grid.books[0]) * len(grid.books[1])
+    least = min(LEAST_VISITS, most)
     if not queries["rep"] or most == 1:
-        return min(LEAST_VISITS, most)
+        return {}, least
     x, reps, labels = _unit(queries["v"]), np.array(queries["rep"]), np.array(queries["label"])
     a, b = grid.distances(x)
     order = np.argsort((a[:, :, None] + b[:, None, :]).reshape(len(x), -1), axis=1, kind="stable")
@@ -210,18 +214,26 @@ def _visits(rows: DataFrame, grid: Grid, n: int, min_cosine: float, target: floa
 
     def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, qx, qr, ql, rk = shared.value
-        total = np.zeros(most, np.int64)
         for pdf in batches:
             y = _unit(pdf["v"].tolist())
             cells = g.cells(y)
             hit = (y @ qx.T >= min_cosine) & (pdf["label"].to_numpy()[:, None] == ql[None, :]) & (pdf["rep"].to_numpy()[:, None] != qr[None, :])
             i, j = np.nonzero(hit)
-            np.add.at(total, rk[j, cells[i]], 1)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"rank": at.astype("int32"), "n": total[at]})
-
-    seen = rows.select("rep", "label", "v").mapInPandas(ranks, "rank int, n long").groupBy("rank").agg(F.sum("n").alias("n")).orderBy("rank").collect()
-    if not seen:
-        return min(LEAST_VISITS, most)
-    share = np.cumsum([r["n"] for r in seen]) / sum(r["n"] for r in seen)
-    return int(min(most, max(LEAST_VISITS, seen[int(np.argmax(share >= target))]["rank"] + 1)))
+            at, times = np.unique(j * most + rk[j, cells[i]], return_counts=True)
+            yield pd.DataFrame({"query": (at // most).astype("int32"), "rank": (at % most).astype("int32"), "n": times})
+
+    found = rows.select("rep", "label", "v").mapInPandas(ranks, "query int, rank int, n long").groupBy("query", "rank").agg(F.sum("n").alias("n"))
+    seen = found.toPandas()  # at most a row for each sampled query and rank
+    if seen.empty:
+        return {}, least
+    seen["share"] = seen["n"] / seen.groupby("query")["n"].transform("sum")
+
+    def enough(part: pd.DataFrame) -> int:
+        """Smallest number of visits that meets the target over the pairs and in the mean over the queries."""
+        by_rank = part.groupby("rank")[["n", "share"]].sum()
+        met = (by_rank.cumsum() / by_rank.sum() >= target - 1e-12).all(axis=1)
+        return int(min(most, max(least, met.idxmax() + 1)))
+
+    general = enough(seen)
+    own = {label: enough(part) for label, part in seen.groupby(labels[seen["query"]])}
+    return {label: k for label, k in own.items() if k > general}, general

@@ -74,3 +74,20 @@ def test_multi_sequence_is_in_ascending_order():
     a, b = rng.random(7), rng.random(9)
     order = np.argsort((a[:, None] + b[None, :]).ravel(), kind="stable")
     assert embed.multi_sequence(a, b, 63) == order.tolist()
+
+
+def test_a_large_group_does_not_set_the_visits_of_small_ones(spark):
+    """1,000 near copies in one place and pairs all over: the pairs' own recall must meet the target."""
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=(1, 16)) + rng.normal(scale=0.02, size=(1_000, 16))
+    one = rng.normal(size=(1_500, 16))
+    two = one + rng.normal(scale=0.3, size=one.shape) * 0.95
+    x = np.concatenate([hot, one, two]).astype(np.float32)
+    rows = [(i, [float(c) for c in v], 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.component_id for r in embed.near_duplicates(df).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = [(1_000 + i, 2_500 + i) for i in range(1_500) if u[1_000 + i] @ u[2_500 + i] >= embed.MIN_COSINE]
+    assert len(near) > 300
+    together = np.mean([got[a] == got[b] for a, b in near])
+    assert together >= 0.995
