@@ -3,7 +3,10 @@
 A classifier trained on the labelled table predicts, for every document, the posterior of
 each domain. A document then contributes ``rate * tokens * posterior`` to every domain. The
 nonnegative rates that bring the domains' expected token totals to their targets are found by
-projected-gradient least squares, starting from 1 for every document, with momentum.
+projected-gradient least squares, starting from 1 for every document, with momentum. Distances
+are taken in the metric of the inverse Gram matrix of the posteriors, so that a rare domain moves as
+fast as a common one, and the steps go on until the targets are met or the projected gradient is
+zero; a fit that does neither warns with the totals it reached.
 
 The gradient of a document needs only its own posteriors and the domains' residuals, a
 handful of numbers. So each step is one distributed sum over a narrow table, and a
@@ -22,6 +25,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +40,8 @@ from ringlens.llm.common import Scratch, prepare
 DOMAINS = {"good": "quality = 1 AND toxic = 0", "low": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
 TARGETS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
 TRAIN_ROWS, WORD_SLOTS = 6_000, 512
-STEPS, TOLERANCE, STILL = 60, 1e-4, 1e-5
+#: A fit that is not done after STEPS warns; TOLERANCE and STILL are relative to each domain's own target and total.
+STEPS, TOLERANCE, STILL = 300, 1e-4, 1e-6
 
 
 def features(text: str | None) -> np.ndarray:
@@ -124,22 +129,23 @@ def posteriors(docs: DataFrame, model: Softmax, domains: dict[str, str] = DOMAIN
         run, f"doc_id {kind}, n_tokens long, p array<double>")
 
 
-def rates_of(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None) -> np.ndarray:
-    """Rates after the steps whose domain residuals are given: accelerated projected gradient from 1."""
-    rate = last = np.ones(len(p))
-    ahead = rate
+def _points(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None, momentum: list[float] | None = None):
+    """(rate, last rate, point of the last residual, point of the next residual): accelerated projected gradient from 1."""
+    rate = last = at = ahead = np.ones(len(p))
     for i, g in enumerate(residuals):
-        last, rate = rate, np.clip(ahead - step * (p @ g), 0, most)
-        ahead = rate + (i / (i + 3)) * (rate - last)
-    return rate
+        at, last, rate = ahead, rate, np.clip(ahead - step * (p @ g), 0, most)
+        ahead = rate + (i / (i + 3) if momentum is None else momentum[i]) * (rate - last)
+    return rate, last, at, ahead
 
 
-def _ahead_of(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None) -> np.ndarray:
+def rates_of(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None, momentum: list[float] | None = None) -> np.ndarray:
+    """Rates after the steps whose domain residuals are given."""
+    return _points(p, residuals, step, most, momentum)[0]
+
+
+def _ahead_of(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None, momentum: list[float] | None = None) -> np.ndarray:
     """The point at which the next residual is taken."""
-    if not residuals:
-        return np.ones(len(p))
-    rate, last, i = rates_of(p, residuals, step, most), rates_of(p, residuals[:-1], step, most), len(residuals) - 1
-    return rate + (i / (i + 3)) * (rate - last)
+    return _points(p, residuals, step, most, momentum)[3]
 
 
 def _summed(table: DataFrame, per_batch, size: int) -> np.ndarray:
@@ -160,34 +166,47 @@ def _summed(table: DataFrame, per_batch, size: int) -> np.ndarray:
 
 
 def solve(table: DataFrame, weights: np.ndarray, keep: int | None = 0, most: float | None = None, steps: int = STEPS,
-          tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], float, np.ndarray, np.ndarray]:
-    """(residuals, step, targets, totals) for ``weights`` over the domains.
+          tolerance: float = TOLERANCE) -> tuple[list[np.ndarray], list[float], np.ndarray, np.ndarray, bool]:
+    """(residuals, momentum, targets, totals, converged) for ``weights`` over the domains.
 
     The token budget keeps domain ``keep`` whole (its total stays what it is), or with None keeps the
-    corpus' total.
+    corpus' total. The residuals are scaled by the inverse Gram matrix, so their step is 1.
     """
     d = len(weights)
     moments = _summed(table, lambda n, p: np.concatenate([[n.sum()], n @ p, ((p * n[:, None]).T @ p).ravel()]), 1 + d + d * d)
     total, have, gram = moments[0], moments[1:1 + d], moments[1 + d:].reshape(d, d)
     if total == 0:
-        return [], 0.0, np.zeros(d), have
+        return [], [], np.zeros(d), have, True
     weights = np.where(have > 0, weights, 0)
     weights = weights / weights.sum() if weights.sum() > 0 else have / total
-    # residuals are shares of the corpus, so the step does not depend on its size
     budget = have[keep] / weights[keep] if keep is not None and weights[keep] > 0 else total
     targets = weights * budget
-    step = float(1 / np.linalg.eigvalsh(gram / total).max())
+    # unit diagonal first: a rare domain must not look like a singular direction
+    unit = 1 / np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1))
+    inverse = np.linalg.pinv(gram * unit[:, None] * unit[None, :], rcond=1e-10, hermitian=True) * unit[:, None] * unit[None, :]
     residuals: list[np.ndarray] = []
-    totals, still = have, 0
-    for _ in range(steps):
-        now = list(residuals)
-        both = _summed(table, lambda n, p: np.concatenate([(n * _ahead_of(p, now, step, most)) @ p, (n * rates_of(p, now, step, most)) @ p]), 2 * d)
-        still = still + 1 if np.abs(both[d:] - totals).max() <= STILL * budget else 0
-        totals = both[d:]
-        if np.abs(totals - targets).max() <= tolerance * budget or still == 3:
-            break  # at the targets, or as near as nonnegative rates come
-        residuals.append((both[:d] - targets) / total)
-    return residuals, step, targets, totals
+    momentum: list[float] = []
+    run = 0
+    while True:
+        now, moved = list(residuals), list(momentum)
+        run += 1
+
+        def sums(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            # the momentum of the step at hand is the one that holds without a restart
+            rate, last, at, ahead = _points(p, now, 1.0, most, moved)
+            return np.concatenate([(n * rate) @ p, (n * ahead) @ p, (n * np.abs(rate - at)) @ p, [n @ ((at - rate) * (rate - last))]])
+
+        found = _summed(table, sums, 3 * d + 1)
+        totals, ahead, gradient, turn = found[:d], found[d:2 * d], found[2 * d:3 * d], found[3 * d]
+        met = (np.abs(totals - targets) <= tolerance * targets).all()
+        if met or residuals and (gradient <= STILL * np.maximum(totals, np.minimum(have, targets))).all():
+            return residuals, momentum, targets, totals, True  # at the targets, or as near as nonnegative rates come
+        if len(residuals) == steps:
+            return residuals, momentum, targets, totals, False
+        if turn > 0:  # the momentum leads uphill: start it anew
+            momentum[-1], run, ahead = 0.0, 1, totals
+        residuals.append(inverse @ (ahead - targets))
+        momentum.append((run - 1) / (run + 2))
 
 
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS,
@@ -204,14 +223,16 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
         return plain.select("doc_id", "n_tokens", *[F.lit(0.0).alias(f"p_{n}") for n in names], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     table = scratch.table(posteriors(docs, model, domains, key, text))
     weights = np.array([targets[n] for n in names], float)
-    residuals, step, _, _ = solve(table, weights, names.index(keep) if keep else None, most)
+    residuals, momentum, wanted, totals, converged = solve(table, weights, names.index(keep) if keep else None, most)
+    if not converged:
+        warnings.warn(f"mixing rates did not settle in {STEPS} steps: token totals {totals.tolist()}, targets {wanted.tolist()}")
     kind = table.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.array(batch.column(2).to_pylist()).reshape(batch.num_rows, len(names))
             yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(p[:, i]) for i in range(len(names))],
-                                   pa.array(rates_of(p, residuals, step, most))], ["doc_id", "n_tokens", *[f"p_{n}" for n in names], "rate"])
+                                   pa.array(rates_of(p, residuals, 1.0, most, momentum))], ["doc_id", "n_tokens", *[f"p_{n}" for n in names], "rate"])
 
     rated = table.mapInArrow(run, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{n} double" for n in names) + ", rate double")
     return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))

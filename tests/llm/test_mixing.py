@@ -37,6 +37,19 @@ def test_rates_equal_a_direct_solver():
     assert (mixing.rates_of(p, residuals, step, 1.0) <= 1).all()
 
 
+def test_rare_domain_reaches_its_target(spark):
+    """A domain of 0.02 % of the documents: the optimum meets all targets, and so must the fit."""
+    rng = np.random.default_rng(3)
+    z, n = rng.permutation(np.repeat([0, 1, 2], [13_996, 6_000, 4])), rng.integers(50, 900, 20_000)
+    p = np.full((20_000, 3), 0.0005)
+    p[np.arange(20_000), z] = 0.999
+    table = spark.createDataFrame(list(zip(n.tolist(), p.tolist())), "n_tokens long, p array<double>")
+    targets, totals = mixing.solve(table, np.array([0.85, 0.1, 0.05]))[2:4]
+    assert np.abs(totals / targets - 1).max() < 1e-3
+    assert mixing.solve(table, np.array([0.85, 0.1, 0.05]))[4]
+    assert not mixing.solve(table, np.array([0.85, 0.1, 0.05]), steps=0)[4]
+
+
 def test_posteriors_hold_on_unseen_documents(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     labels = spark.read.parquet(f"{SF_MID}/labels.parquet")
