@@ -24,6 +24,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from ringlens.llm.common import Scratch, prepare
 
-#: Partial wrappers of a host that one task aligns; elements nested deeper than this are read as siblings.
-FAN_IN, DEEPEST = 64, 200
+#: Partial wrappers of a host that one task aligns, and the interpreter's limit of nested calls.
+FAN_IN, DEEP = 64, 100_000_000
 # Element names of HTML by their role in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math"}
@@ -51,8 +53,10 @@ MAIN_WORDS = {"content", "main", "article", "post", "entry", "story", "body", "t
 BLOCK_STOP = {"p": {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
                     "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"},
               "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+STOPPED_BY = {tag: [t for t, stops in BLOCK_STOP.items() if tag in stops] for tag in set().union(*BLOCK_STOP.values())}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_UNQUOTED_END = re.compile(r"=\s*[^\s\"'>=][^\s\"'>]*/\Z")
 _NAME = re.compile(r"[^a-z]+")
 
 
@@ -77,7 +81,13 @@ def parse(page: str | None) -> Element:
     """Element tree of a page; kids are elements and decoded texts."""
     root = Element("#root")
     stack, at, page = [root], 0, page or ""
-    low = None
+    low, opened = None, Counter()  # the open elements by tag
+
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     while at < len(page):
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -89,18 +99,19 @@ def parse(page: str | None) -> Element:
         elif m[2]:
             tag = m[2].lower()
             if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
+                if opened[tag]:
+                    while close() != tag:
+                        pass
                 continue
             # an element that HTML closes by itself ends with what is open inside it
-            for i in range(len(stack) - 1, 0, -1):
-                if tag in BLOCK_STOP.get(stack[i].tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i].tag not in INLINE and stack[i].tag != "p":
-                    break
+            if any(opened[t] for t in STOPPED_BY.get(tag, ())):
+                for i in range(len(stack) - 1, 0, -1):
+                    if tag in BLOCK_STOP.get(stack[i].tag, ()):
+                        while len(stack) > i:
+                            close()
+                        break
+                    if stack[i].tag not in INLINE and stack[i].tag != "p":
+                        break
             e = _element(tag, m[3])
             stack[-1].kids.append(e)
             if tag in RAW:
@@ -108,8 +119,9 @@ def parse(page: str | None) -> Element:
                     low = page.lower()
                 end = low.find(f"</{tag}", at)
                 at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
-            elif tag not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+            elif tag not in VOID and (not m[3].endswith("/") or _UNQUOTED_END.search(m[3])):
                 stack.append(e)
+                opened[tag] += 1
     return root
 
 
@@ -119,17 +131,61 @@ def _slot(text: str) -> dict:
     return {"l": "#", "q": "1", "c": [], "n": len(text), "a": 0, "x": text if len(text) <= 80 else None}
 
 
-def expression(e: Element, inside_link: bool = False) -> dict:
-    inside_link = inside_link or e.tag == "a"
-    items = []
-    for k in e.kids:
-        if isinstance(k, str):
+def expression(e: Element) -> dict:
+    top: list[dict] = []
+    # open elements: (element, its kids still to come, items so far, whether inside a link); pages nest without limit
+    stack = [(e, iter(e.kids), [], e.tag == "a")]
+    while stack:
+        own, kids, items, inside_link = stack[-1]
+        for k in kids:
+            if not isinstance(k, str):
+                stack.append((k, iter(k.kids), [], inside_link or k.tag == "a"))
+                break
             if t := " ".join(k.split()):
                 items.append(_slot(t))
         else:
-            items.append(expression(k, inside_link))
-    n = sum(i["n"] for i in items)
-    return {"l": e.label, "q": "1", "c": fold(items), "n": n, "a": n if inside_link else sum(i["a"] for i in items), "x": None}
+            stack.pop()
+            n = sum(i["n"] for i in items)
+            item = {"l": own.label, "q": "1", "c": fold(items), "n": n, "a": n if inside_link else sum(i["a"] for i in items), "x": None}
+            (stack[-1][2] if stack else top).append(item)
+    return top[0]
+
+
+def _dump(item: dict) -> str:
+    """JSON of the items in pre-order with their numbers of kids, so that nesting has no limit."""
+    flat, stack = [], [item]
+    while stack:
+        i = stack.pop()
+        flat.append([i["l"], i["q"], len(i["c"]), i["n"], i["a"], i["x"]])
+        stack.extend(reversed(i["c"]))
+    return json.dumps(flat)
+
+
+def _nested(item: dict) -> str:
+    """JSON of the items as they are nested."""
+    out, stack = [], [item]
+    while stack:
+        i = stack.pop()
+        if isinstance(i, str):
+            out.append(i)
+            continue
+        out.append(json.dumps({k: v for k, v in i.items() if k != "c"})[:-1] + ', "c": [')
+        stack.append("]}")
+        for n, k in enumerate(reversed(i["c"])):
+            stack.extend([","] * (n > 0) + [k])
+    return "".join(out)
+
+
+def _load(text: str) -> dict:
+    top: dict = {"c": []}
+    stack = [(top, 1)]
+    for label, q, kids, n, a, x in json.loads(text):
+        while len(stack[-1][0]["c"]) == stack[-1][1]:
+            stack.pop()
+        item = {"l": label, "q": q, "c": [], "n": n, "a": a, "x": x}
+        stack[-1][0]["c"].append(item)
+        stack.append((item, kids))
+    return top["c"][0]
 
 
 def _wider(a: str, b: str) -> str:
@@ -140,6 +196,7 @@ def _wider(a: str, b: str) -> str:
 
 def merge(a: dict, b: dict) -> dict:
     """Align two items of one label."""
+    sys.setrecursionlimit(DEEP)  # calls of Python functions take no C stack
     return {"l": a["l"], "q": _wider(a["q"], b["q"]), "c": align(a["c"], b["c"]), "n": a["n"] + b["n"], "a": a["a"] + b["a"], "x": a["x"] if a["x"] == b["x"] else None}
 
 
@@ -220,88 +277,118 @@ def beside(tag: str, names) -> bool:
     return bool(own) and (tag not in ("article", "main", "body", "html") or bool(own & {"comment", "comments", "reply"}))
 
 
-def _walk(item: dict, path: tuple = ()):
-    """(path of labels, item) of the elements that are not beside the article; groups add no step to a path."""
-    for k in item["c"]:
-        if k["l"] == "#":
-            continue
-        if k["l"].startswith("("):
-            yield from _walk(k, path)
-        elif not beside(*_parts(k["l"])):
-            yield (*path, k["l"]), k
-            yield from _walk(k, (*path, k["l"]))
-
-
 def main_paths(wrapper: dict) -> list[list[str]]:
     """Paths of the elements that hold the main text, by the whole host's evidence."""
-    found = list(_walk(wrapper))
+    # the elements that are not beside the article, by path; groups add no step to a path
+    paths: list[tuple[int, str, int]] = [(-1, "", 0)]  # (path above, label, length)
+    ids: dict[tuple[int, str], int] = {}
+    found: list[tuple[int, dict]] = []
+    stack = [(k, 0) for k in reversed(wrapper["c"])]
+    while stack:
+        k, above = stack.pop()
+        if k["l"] == "#" or not k["l"].startswith("(") and beside(*_parts(k["l"])):
+            continue
+        if not k["l"].startswith("("):
+            here = ids.setdefault((above, k["l"]), len(paths))
+            if here == len(paths):
+                paths.append((above, k["l"], paths[above][2] + 1))
+            found.append((here, k))
+            above = here
+        stack.extend((i, above) for i in reversed(k["c"]))
+
+    def spell(path: int) -> list[str]:
+        out = []
+        while path:
+            out.append(paths[path][1])
+            path = paths[path][0]
+        return out[::-1]
+
     kinds = (lambda t, w: t == "article", lambda t, w: t == "main" or "main" in w and t in ("div", "section", "td"),
              lambda t, w: bool(w & MAIN_WORDS) and t in ("div", "section", "td"))
     for rule in kinds:
-        picked = [p for p, k in found if rule(*_parts(k["l"])) and k["n"] > 0]
+        picked = dict.fromkeys(p for p, k in found if k["n"] > 0 and rule(*_parts(k["l"])))
         if picked:
-            return [list(p) for p in picked if not any(p != q and p[:len(q)] == q for q in picked)]
+            within = [False] * len(paths)  # a path's own number is above that of the path it continues
+            for p in range(1, len(paths)):
+                within[p] = within[paths[p][0]] or paths[p][0] in picked
+            return [spell(p) for p in picked if not within[p]]
     # the innermost element with most of the text that is not in links
-    own = {p: _plain(k) for p, k in found}
-    total = max([v for p, v in own.items()], default=0)
-    deep = [p for p, v in own.items() if total and v >= 0.6 * total and p[-1].split(".")[0] not in INLINE | HEADINGS | {"p", "ul", "ol", "li"}]
-    return [list(max(deep, key=len))] if deep else []
-
-
-def _plain(item: dict) -> int:
-    """Length of text outside links and outside parts beside the article."""
-    if item["l"] == "#":
-        return item["n"]
-    if not item["l"].startswith("(") and beside(*_parts(item["l"])):
-        return 0
-    return max(0, sum(_plain(k) for k in item["c"]) - item["a"])
+    plain = _plain(wrapper)
+    own = {p: plain[id(k)] for p, k in found}
+    total = max(own.values(), default=0)
+    deep = [p for p, v in own.items() if total and v >= 0.6 * total and paths[p][1].split(".")[0] not in INLINE | HEADINGS | {"p", "ul", "ol", "li"}]
+    return [spell(max(deep, key=lambda p: paths[p][2]))] if deep else []
+
+
+def _plain(wrapper: dict) -> dict[int, int]:
+    """Length of text outside links and outside parts beside the article, by item."""
+    order = [wrapper]
+    for item in order:
+        order.extend(item["c"])
+    out: dict[int, int] = {}
+    for item in reversed(order):
+        if item["l"] == "#":
+            out[id(item)] = item["n"]
+        elif not item["l"].startswith("(") and beside(*_parts(item["l"])):
+            out[id(item)] = 0
+        else:
+            out[id(item)] = max(0, sum(out[id(k)] for k in item["c"]) - item["a"])
+    return out
 
 
 def main_text(root: Element, paths: list[list[str]]) -> str:
     """Blocks of the marked elements in page order, joined by newlines."""
-    wanted, blocks, now = {tuple(p) for p in paths}, [], []
+    wanted: dict = {}  # the paths as nested tables of labels; the key None ends one
+    for path in paths:
+        at = wanted
+        for label in path:
+            at = at.setdefault(label, {})
+        at[None] = True
+    blocks, now = [], []
 
     def flush():
         if t := " ".join("".join(now).split()):
             blocks.append(t)
         now.clear()
 
-    def read(e: Element, in_header: bool):
-        for k in e.kids:
-            if isinstance(k, str):
-                if not in_header:
-                    now.append(k)
-            elif k.tag in ("br", "img"):
-                now.append(" ")
-            elif not k.hidden and not beside(k.tag, k.names):
-                head = in_header or k.tag == "header" or "header" in k.names
-                if k.tag not in INLINE:
-                    flush()
-                read(k, head and k.tag not in HEADINGS)
-                if k.tag not in INLINE:
+    def read(top: Element):
+        # open elements: (element, its kids still to come, whether inside a header)
+        stack = [(top, iter(top.kids), False)]
+        while stack:
+            e, kids, in_header = stack[-1]
+            for k in kids:
+                if isinstance(k, str):
+                    if not in_header:
+                        now.append(k)
+                elif k.tag in ("br", "img"):
+                    now.append(" ")
+                elif not k.hidden and not beside(k.tag, k.names):
+                    if k.tag not in INLINE:
+                        flush()
+                    stack.append((k, iter(k.kids), (in_header or k.tag == "header" or "header" in k.names) and k.tag not in HEADINGS))
+                    break
+            else:
+                stack.pop()
+                if stack and e.tag not in INLINE:
                     flush()
 
-    def seek(e: Element, path: tuple) -> bool:
-        hit = False
-        for k in e.kids:
-            if isinstance(k, str) or k.hidden:
-                continue
-            here = (*path, k.label)
-            if here in wanted:
-                flush()
-                read(k, False)
-                flush()
-                hit = True
-            elif any(w[:len(here)] == here for w in wanted):
-                hit = seek(k, here) or hit
-        return hit
-
-    if not seek(root, ()):
+    hit = False
+    stack = [(root, wanted)]
+    while stack:
+        e, at = stack.pop()
+        if None in at:
+            flush()
+            read(e)
+            flush()
+            hit = True
+        else:
+            stack.extend((k, at[k.label]) for k in reversed(e.kids) if not isinstance(k, str) and not k.hidden and k.label in at)
+    if not hit:
         own = main_paths(expression(root))
-        if own and {tuple(p) for p in own} != wanted:
+        if own and own != paths:
             return main_text(root, own)
         if not own:
-            read(root, False)
+            read(root)
             flush()
     return "\n".join(blocks)
 
@@ -317,14 +404,14 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 e = expression(parse(page))
                 hosts[host] = merge(hosts[host], e) if host in hosts else e
-            yield pa.record_batch([pa.array(list(hosts), pa.string()), pa.array([json.dumps(w) for w in hosts.values()], pa.string())], ["host", "wrapper"])
+            yield pa.record_batch([pa.array(list(hosts), pa.string()), pa.array([_dump(w) for w in hosts.values()], pa.string())], ["host", "wrapper"])
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(pdf["wrapper"])  # a fixed order: a task that is run again gives the same wrapper
-        whole = json.loads(parts[0])
+        whole = _load(parts[0])
         for p in parts[1:]:
-            whole = merge(whole, json.loads(p))
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(whole)]})
+            whole = merge(whole, _load(p))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [_dump(whole)]})
 
     parts = scratch.table(pages.select("host", "html").mapInArrow(partial, "host string, wrapper string"))
     while True:
@@ -339,9 +426,13 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     @F.pandas_udf("string")
     def marks(ws: pd.Series) -> pd.Series:
-        return ws.map(lambda w: json.dumps(main_paths(json.loads(w))))
+        return ws.map(lambda w: json.dumps(main_paths(_load(w))))
+
+    @F.pandas_udf("string")
+    def nested(ws: pd.Series) -> pd.Series:
+        return ws.map(lambda w: _nested(_load(w)))
 
-    return scratch.table(parts.withColumn("paths", marks("wrapper")))
+    return scratch.table(parts.select("host", nested("wrapper").alias("wrapper"), marks("wrapper").alias("paths")))
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

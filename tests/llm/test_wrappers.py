@@ -54,3 +54,13 @@ def test_odd_rows(spark):
     assert len(out) == len(rows) and texts[1] == texts[2] == "" and texts[3] == "plain text" and texts[4] == "cut of"
     assert texts[5] == "a\n" + ("long " * 60_000).strip() and texts[6] == "deep" and texts[7] == "" and texts[None] == "T\nA&"
     assert wrappers.extract_pages(df.limit(0)).count() == 0
+
+
+def test_deep_elements_close_themselves_only(spark):
+    """Nested elements and unquoted values with a slash at the end: nothing outside them is closed, nothing inside forgotten."""
+    page = "<div id=page><article><p>head</p>" + "<div>" * 250 + "<nav>no</nav>in" + "</div>" * 250 + "<div data-base=/x/>mid</div><p>tail</p></article></div>"
+    far = "<div>" * 20_000 + "<article><p>far</p></article>" + "</div>" * 20_000
+    rows = [(1, "http://h/", page), (2, "http://h/", page), (3, "http://far/", far), (4, "http://far/", far)]
+    out = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in out} == {1: "head\nin\nmid\ntail", 2: "head\nin\nmid\ntail", 3: "far", 4: "far"}
+    assert not wrappers._UNQUOTED_END.search(' name="a"/') and not wrappers._UNQUOTED_END.search(" /")
