@@ -39,12 +39,15 @@ from ringlens.llm.common import Scratch, prepare
 FAN_IN, DEEP = 64, 100_000_000
 # Element names of HTML by their role in a page.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
-          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "menclose",
+          "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "annotation", "annotation-xml"}
+TEXT_BLOCKS = {"p", "pre", "blockquote", "address", "figcaption", "caption", "summary", "dt", "dd", "td", "th"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 OUTSIDE = {"nav", "footer", "aside", "form", "button", "select", "option", "input", "dialog", "menu", "object", "canvas", "audio", "video", "head"} | RAW
-# Words in class, id and role that name parts beside the article.
+# Words in class and role of containers that name parts beside the article.
 BESIDE = {"nav", "navbar", "navigation", "menu", "footer", "sidebar", "side", "ad", "ads", "adv", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo",
           "banner", "cookie", "cookies", "consent", "gdpr", "notice", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup", "share", "sharing",
           "social", "related", "recommended", "comment", "comments", "respond", "reply", "replies", "disqus", "breadcrumb", "breadcrumbs", "pagination", "pager",
@@ -60,21 +63,25 @@ _UNQUOTED_END = re.compile(r"=\s*[^\s\"'>=][^\s\"'>]*/\Z")
 _NAME = re.compile(r"[^a-z]+")
 
 
+#: Mark of a label's words that come from the id alone.
+ID = "="
+
+
 class Element:
     __slots__ = ("tag", "names", "hidden", "kids", "label")
 
-    def __init__(self, tag: str, names: frozenset = frozenset(), hidden: bool = False):
+    def __init__(self, tag: str, names: frozenset = frozenset(), hidden: bool = False, ids: frozenset = frozenset()):
         self.tag, self.names, self.hidden, self.kids = tag, names, hidden, []
-        self.label = tag + "".join("." + n for n in sorted(names))
+        self.label = tag + "".join("." + n for n in sorted(names)) + "".join("." + ID + n for n in sorted(ids - names))
 
 
 def _element(tag: str, attrs: str) -> Element:
     if "=" not in attrs and "hidden" not in attrs:
         return Element(tag)
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
-    words = frozenset(w for a in ("class", "id", "role") for w in _NAME.split(found.get(a, "").lower()) if w)
+    words, ids = (frozenset(w for a in kind for w in _NAME.split(found.get(a, "").lower()) if w) for kind in (("class", "role"), ("id",)))
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    return Element(tag, words, hidden)
+    return Element(tag, words, hidden, ids)
 
 
 def parse(page: str | None) -> Element:
@@ -265,14 +272,22 @@ def regular_expression(item: dict) -> str:
 # --- main parts ---
 
 def _parts(label: str) -> tuple[str, set]:
+    """Tag and words of class and role."""
     tag, *names = label.split(".")
-    return tag, set(names)
+    return tag, {n for n in names if n[0] != ID}
+
+
+def _words(label: str) -> set:
+    """Words of class, role and id."""
+    return {n.removeprefix(ID) for n in label.split(".")[1:]}
 
 
 def beside(tag: str, names) -> bool:
-    """Whether an element is a part beside the article."""
+    """Whether an element is a part beside the article: by its tag, or a container of blocks by its class or role."""
     if tag in OUTSIDE:
         return True
+    if tag in INLINE or tag in HEADINGS or tag in TEXT_BLOCKS:
+        return False
     own = BESIDE & set(names)
     return bool(own) and (tag not in ("article", "main", "body", "html") or bool(own & {"comment", "comments", "reply"}))
 
@@ -281,6 +296,7 @@ def main_paths(wrapper: dict) -> list[list[str]]:
     """Paths of the elements that hold the main text, by the whole host's evidence."""
     # the elements that are not beside the article, by path; groups add no step to a path
     paths: list[tuple[int, str, int]] = [(-1, "", 0)]  # (path above, label, length)
+    outer: set[int] = set()  # paths in containers whose whole id names a part beside the article
     ids: dict[tuple[int, str], int] = {}
     found: list[tuple[int, dict]] = []
     stack = [(k, 0) for k in reversed(wrapper["c"])]
@@ -293,6 +309,9 @@ def main_paths(wrapper: dict) -> list[list[str]]:
             if here == len(paths):
                 paths.append((above, k["l"], paths[above][2] + 1))
             found.append((here, k))
+            ids_of = {n[1:] for n in k["l"].split(".")[1:] if n[0] == ID}
+            if above in outer or ids_of and ids_of <= BESIDE and k["l"].split(".")[0] in ("div", "section", "td", "ul"):
+                outer.add(here)
             above = here
         stack.extend((i, above) for i in reversed(k["c"]))
 
@@ -306,7 +325,9 @@ def main_paths(wrapper: dict) -> list[list[str]]:
     kinds = (lambda t, w: t == "article", lambda t, w: t == "main" or "main" in w and t in ("div", "section", "td"),
              lambda t, w: bool(w & MAIN_WORDS) and t in ("div", "section", "td"))
     for rule in kinds:
-        picked = dict.fromkeys(p for p, k in found if k["n"] > 0 and rule(*_parts(k["l"])))
+        picked = dict.fromkeys(p for p, k in found if k["n"] > 0 and rule(_parts(k["l"])[0], _words(k["l"])))
+        if rule is not kinds[0]:  # a name decides between containers; it drops nothing where there is no other
+            picked = {p: None for p in picked if p not in outer} or picked
         if picked:
             within = [False] * len(paths)  # a path's own number is above that of the path it continues
             for p in range(1, len(paths)):

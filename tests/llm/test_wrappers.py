@@ -64,3 +64,13 @@ def test_deep_elements_close_themselves_only(spark):
     out = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == {1: "head\nin\nmid\ntail", 2: "head\nin\nmid\ntail", 3: "far", 4: "far"}
     assert not wrappers._UNQUOTED_END.search(' name="a"/') and not wrappers._UNQUOTED_END.search(" /")
+
+
+def test_names_of_headings_and_ids_drop_nothing(spark):
+    page = """<body><div class="ad">Buy</div><article><h2 id="related-work">Related work</h2><p class="notice" id="reply-rates">Reply <span class="search">rates</span></p>
+<section id="ad-hoc-networks"><h3 class="social">Social</h3>Networks <math><mi>x</mi><mo>=</mo><mn>1</mn></math> end</section><div class="share">Share</div></article></body>"""
+    other = """<body><div id="content"><h2 id="search-methods">Search</h2><div id="menu-costs">Menu costs</div></div><div class="menu">No</div></body>"""
+    rows = [(1, "http://h/", page), (2, "http://h/", page), (3, "http://o/", other)]
+    out = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    text = "Related work\nReply rates\nSocial\nNetworks x=1 end"
+    assert {r.page_id: r.text for r in out} == {1: text, 2: text, 3: "Search\nMenu costs"}
