@@ -11,7 +11,10 @@ of a host are aligned one after the other with the wrapper so far:
 
 Aligning is done per batch first, then partial wrappers of a host are aligned in salted
 groups, so a host with very many pages is never one task's work. The finished wrapper marks
-the elements that hold the main text, and each page is read with its host's marks.
+the elements that hold the main text, and each page is read with its host's marks. Containers that have
+the same text on most pages of a host with enough pages are fixed groups of its wrapper and are not
+read, unless they are most of a page's main text (copies of one page). Names of tags and classes
+drop what is beside the article on hosts of any size.
 
 Defined cases: a null page has an empty text; a page without a main part in its host's
 wrapper is read by the same rules as a host of its own; a null or odd url is the host '';
@@ -21,6 +24,7 @@ give a row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as html_lib
 import json
 import re
@@ -56,6 +60,9 @@ MAIN_WORDS = {"content", "main", "article", "post", "entry", "story", "body", "t
 BLOCK_STOP = {"p": {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4",
                     "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"},
               "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: Containers that may be fixed groups; pages a host needs for them, and the share of its pages that have them.
+GROUPS = {"div", "section", "ul", "ol", "dl", "table", "center", "figure", "details", "fieldset"}
+ENOUGH_PAGES, MOST_PAGES = 10, 0.8
 STOPPED_BY = {tag: [t for t, stops in BLOCK_STOP.items() if tag in stops] for tag in set().union(*BLOCK_STOP.values())}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -132,14 +139,29 @@ def parse(page: str | None) -> Element:
     return root
 
 
-# --- expressions: dict(l=label, q="1"|"?"|"+"|"*", c=[items], n=text length, a=length inside links, x=fixed text or None) ---
+def digests(root: Element) -> dict[int, str]:
+    """Digest of label and whole text by element, for the containers of blocks that hold text."""
+    order, out, full = [root], {}, {}
+    for e in order:
+        order.extend(k for k in e.kids if not isinstance(k, str))
+    for e in reversed(order):
+        parts = [t for k in e.kids if (t := " ".join(k.split()) if isinstance(k, str) else full[id(k)])]
+        full[id(e)] = hashlib.blake2b("\0".join([e.label, *parts]).encode("utf-8", "replace"), digest_size=8).hexdigest() if parts else ""
+        if parts and e.tag in GROUPS:
+            out[id(e)] = full[id(e)]
+    return out
+
+
+# --- expressions: dict(l=label, q="1"|"?"|"+"|"*", c=[items], n=text length, a=length inside links, x=fixed text or None,
+#     d={digest: pages} of the texts that the element has wherever it is seen); the root has the number of pages as p ---
 
 def _slot(text: str) -> dict:
-    return {"l": "#", "q": "1", "c": [], "n": len(text), "a": 0, "x": text if len(text) <= 80 else None}
+    return {"l": "#", "q": "1", "c": [], "n": len(text), "a": 0, "x": text if len(text) <= 80 else None, "d": {}}
 
 
 def expression(e: Element) -> dict:
     top: list[dict] = []
+    digest = digests(e)
     # open elements: (element, its kids still to come, items so far, whether inside a link); pages nest without limit
     stack = [(e, iter(e.kids), [], e.tag == "a")]
     while stack:
@@ -153,7 +175,8 @@ def expression(e: Element) -> dict:
         else:
             stack.pop()
             n = sum(i["n"] for i in items)
-            item = {"l": own.label, "q": "1", "c": fold(items), "n": n, "a": n if inside_link else sum(i["a"] for i in items), "x": None}
+            item = {"l": own.label, "q": "1", "c": fold(items), "n": n, "a": n if inside_link else sum(i["a"] for i in items), "x": None,
+                    "d": {digest[id(own)]: 1} if id(own) in digest else {}}
             (stack[-1][2] if stack else top).append(item)
     return top[0]
 
@@ -163,9 +186,9 @@ def _dump(item: dict) -> str:
     flat, stack = [], [item]
     while stack:
         i = stack.pop()
-        flat.append([i["l"], i["q"], len(i["c"]), i["n"], i["a"], i["x"]])
+        flat.append([i["l"], i["q"], len(i["c"]), i["n"], i["a"], i["x"], i["d"]])
         stack.extend(reversed(i["c"]))
-    return json.dumps(flat)
+    return json.dumps([item.get("p", 1), flat])
 
 
 def _nested(item: dict) -> str:
@@ -186,13 +209,14 @@ def _nested(item: dict) -> str:
 def _load(text: str) -> dict:
     top: dict = {"c": []}
     stack = [(top, 1)]
-    for label, q, kids, n, a, x in json.loads(text):
+    pages, flat = json.loads(text)
+    for label, q, kids, n, a, x, d in flat:
         while len(stack[-1][0]["c"]) == stack[-1][1]:
             stack.pop()
-        item = {"l": label, "q": q, "c": [], "n": n, "a": a, "x": x}
+        item = {"l": label, "q": q, "c": [], "n": n, "a": a, "x": x, "d": d}
         stack[-1][0]["c"].append(item)
         stack.append((item, kids))
-    return top["c"][0]
+    return top["c"][0] | {"p": pages}
 
 
 def _wider(a: str, b: str) -> str:
@@ -201,10 +225,11 @@ def _wider(a: str, b: str) -> str:
     return "*" if many and none else "+" if many else "?" if none else "1"
 
 
-def merge(a: dict, b: dict) -> dict:
-    """Align two items of one label."""
+def merge(a: dict, b: dict, one_page: bool = False) -> dict:
+    """Align two items of one label, of different pages or side by side on the same."""
     sys.setrecursionlimit(DEEP)  # calls of Python functions take no C stack
-    return {"l": a["l"], "q": _wider(a["q"], b["q"]), "c": align(a["c"], b["c"]), "n": a["n"] + b["n"], "a": a["a"] + b["a"], "x": a["x"] if a["x"] == b["x"] else None}
+    return {"l": a["l"], "q": _wider(a["q"], b["q"]), "c": align(a["c"], b["c"], one_page), "n": a["n"] + b["n"], "a": a["a"] + b["a"], "x": a["x"] if a["x"] == b["x"] else None,
+            "d": {t: max(a["d"].get(t, 0), b["d"].get(t, 0)) for t in a["d"] | b["d"]} if one_page else {t: k + b["d"][t] for t, k in a["d"].items() if t in b["d"]}}
 
 
 def _shape(item: dict) -> str:
@@ -216,30 +241,30 @@ def fold(items: list[dict]) -> list[dict]:
     out: list[dict] = []
     for item in items:
         if out and _shape(out[-1]) == _shape(item):
-            out[-1] = merge(out[-1], item) | {"q": _wider("+", item["q"] if item["q"] in "?*" and out[-1]["q"] in "?*" else "1")}
+            out[-1] = merge(out[-1], item, True) | {"q": _wider("+", item["q"] if item["q"] in "?*" and out[-1]["q"] in "?*" else "1")}
             continue
         out.append(item)
         for width in (2, 3, 4):
             if len(out) >= 2 * width and [_shape(i) for i in out[-width:]] == [_shape(i) for i in out[-2 * width:-width]]:
-                group = [merge(p, q) for p, q in zip(out[-2 * width:-width], out[-width:])]
+                group = [merge(p, q, True) for p, q in zip(out[-2 * width:-width], out[-width:])]
                 out[-2 * width:] = [_group(group)]
                 break
             if len(out) > width and out[-width - 1]["l"].startswith("(") and out[-width - 1]["l"] == _group(out[-width:])["l"]:
                 old = out[-width - 1]
-                out[-width - 1:] = [merge(old, _group(out[-width:])) | {"q": "+"}]
+                out[-width - 1:] = [merge(old, _group(out[-width:]), True) | {"q": "+"}]
                 break
     return out
 
 
 def _group(items: list[dict]) -> dict:
-    return {"l": "(" + " ".join(_shape(i) for i in items) + ")", "q": "+", "c": items, "n": sum(i["n"] for i in items), "a": sum(i["a"] for i in items), "x": None}
+    return {"l": "(" + " ".join(_shape(i) for i in items) + ")", "q": "+", "c": items, "n": sum(i["n"] for i in items), "a": sum(i["a"] for i in items), "x": None, "d": {}}
 
 
-def align(a: list[dict], b: list[dict]) -> list[dict]:
+def align(a: list[dict], b: list[dict], one_page: bool = False) -> list[dict]:
     """Longest common subsequence of labels; what only one side has becomes optional."""
     n, m = len(a), len(b)
     if [i["l"] for i in a] == [i["l"] for i in b]:
-        return [merge(p, q) for p, q in zip(a, b)]
+        return [merge(p, q, one_page) for p, q in zip(a, b)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -248,7 +273,7 @@ def align(a: list[dict], b: list[dict]) -> list[dict]:
     maybe = lambda x: x | {"q": _wider(x["q"], "?")}
     while i < n or j < m:
         if i < n and j < m and a[i]["l"] == b[j]["l"]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], one_page))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append(maybe(a[i]))
@@ -271,6 +296,16 @@ def regular_expression(item: dict) -> str:
 
 # --- main parts ---
 
+def fixed_groups(wrapper: dict) -> set[str]:
+    """Digests of the containers that have the same text on most pages of a host with enough pages."""
+    pages, out, stack = wrapper.get("p", 1), set(), [wrapper]
+    while stack and pages >= ENOUGH_PAGES:
+        item = stack.pop()
+        out.update(t for t, k in item["d"].items() if k >= MOST_PAGES * pages)
+        stack.extend(item["c"])
+    return out
+
+
 def _parts(label: str) -> tuple[str, set]:
     """Tag and words of class and role."""
     tag, *names = label.split(".")
@@ -334,15 +369,15 @@ def main_paths(wrapper: dict) -> list[list[str]]:
                 within[p] = within[paths[p][0]] or paths[p][0] in picked
             return [spell(p) for p in picked if not within[p]]
     # the innermost element with most of the text that is not in links
-    plain = _plain(wrapper)
+    plain = _plain(wrapper, fixed_groups(wrapper))
     own = {p: plain[id(k)] for p, k in found}
     total = max(own.values(), default=0)
     deep = [p for p, v in own.items() if total and v >= 0.6 * total and paths[p][1].split(".")[0] not in INLINE | HEADINGS | {"p", "ul", "ol", "li"}]
     return [spell(max(deep, key=lambda p: paths[p][2]))] if deep else []
 
 
-def _plain(wrapper: dict) -> dict[int, int]:
-    """Length of text outside links and outside parts beside the article, by item."""
+def _plain(wrapper: dict, fixed: set[str]) -> dict[int, int]:
+    """Length of text outside links, outside parts beside the article and outside fixed groups, by item."""
     order = [wrapper]
     for item in order:
         order.extend(item["c"])
@@ -350,15 +385,27 @@ def _plain(wrapper: dict) -> dict[int, int]:
     for item in reversed(order):
         if item["l"] == "#":
             out[id(item)] = item["n"]
-        elif not item["l"].startswith("(") and beside(*_parts(item["l"])):
+        elif not item["l"].startswith("(") and beside(*_parts(item["l"])) or item["q"] in "1?" and fixed & item["d"].keys():
             out[id(item)] = 0
         else:
             out[id(item)] = max(0, sum(out[id(k)] for k in item["c"]) - item["a"])
     return out
 
 
-def main_text(root: Element, paths: list[list[str]]) -> str:
-    """Blocks of the marked elements in page order, joined by newlines."""
+def main_text(root: Element, paths: list[list[str]], fixed: set[str] = frozenset()) -> str:
+    """Blocks of the marked elements in page order, without the host's fixed groups, joined by newlines."""
+    if fixed:
+        whole, digest = main_text(root, paths), digests(root)
+        page = {k for k, t in digest.items() if t in fixed}
+        if not page:
+            return whole
+        # a page that is mostly fixed is a copy of others, not their frame
+        text = _blocks(root, paths, page)
+        return text if 2 * len(text) >= len(whole) else whole
+    return _blocks(root, paths, set())
+
+
+def _blocks(root: Element, paths: list[list[str]], drop: set[int]) -> str:
     wanted: dict = {}  # the paths as nested tables of labels; the key None ends one
     for path in paths:
         at = wanted
@@ -383,7 +430,7 @@ def main_text(root: Element, paths: list[list[str]]) -> str:
                         now.append(k)
                 elif k.tag in ("br", "img"):
                     now.append(" ")
-                elif not k.hidden and not beside(k.tag, k.names):
+                elif not k.hidden and id(k) not in drop and not beside(k.tag, k.names):
                     if k.tag not in INLINE:
                         flush()
                     stack.append((k, iter(k.kids), (in_header or k.tag == "header" or "header" in k.names) and k.tag not in HEADINGS))
@@ -407,7 +454,7 @@ def main_text(root: Element, paths: list[list[str]]) -> str:
     if not hit:
         own = main_paths(expression(root))
         if own and own != paths:
-            return main_text(root, own)
+            return _blocks(root, own, drop)
         if not own:
             read(root)
             flush()
@@ -416,22 +463,26 @@ def main_text(root: Element, paths: list[list[str]]) -> str:
 
 # --- Spark ---
 
+def joined(a: dict | None, b: dict) -> dict:
+    """Wrapper of the pages of both."""
+    return merge(a, b) | {"p": a.get("p", 1) + b.get("p", 1)} if a else b
+
+
 def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, wrapper, paths) from (host, html)."""
+    """(host, wrapper, marks) from (host, html); marks holds the main paths and the fixed groups."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in enumerate(batches):
             hosts: dict[str, dict] = {}
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                e = expression(parse(page))
-                hosts[host] = merge(hosts[host], e) if host in hosts else e
+                hosts[host] = joined(hosts.get(host), expression(parse(page)))
             yield pa.record_batch([pa.array(list(hosts), pa.string()), pa.array([_dump(w) for w in hosts.values()], pa.string())], ["host", "wrapper"])
 
     def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = sorted(pdf["wrapper"])  # a fixed order: a task that is run again gives the same wrapper
         whole = _load(parts[0])
         for p in parts[1:]:
-            whole = merge(whole, _load(p))
+            whole = joined(whole, _load(p))
         return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [_dump(whole)]})
 
     parts = scratch.table(pages.select("host", "html").mapInArrow(partial, "host string, wrapper string"))
@@ -447,13 +498,13 @@ def infer_wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     @F.pandas_udf("string")
     def marks(ws: pd.Series) -> pd.Series:
-        return ws.map(lambda w: json.dumps(main_paths(_load(w))))
+        return pd.Series([json.dumps([main_paths(w), sorted(fixed_groups(w))]) for w in map(_load, ws)], dtype=object)
 
     @F.pandas_udf("string")
     def nested(ws: pd.Series) -> pd.Series:
         return ws.map(lambda w: _nested(_load(w)))
 
-    return scratch.table(parts.select("host", nested("wrapper").alias("wrapper"), marks("wrapper").alias("paths")))
+    return scratch.table(parts.select("host", nested("wrapper").alias("wrapper"), marks("wrapper").alias("marks")))
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -462,14 +513,15 @@ def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: s
     scratch = Scratch(spark, "wrappers")
     pages = df.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).withColumn(
         "host", F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))))
-    wrappers = infer_wrappers(pages.where("html is not null"), scratch).select("host", "paths")
+    wrappers = infer_wrappers(pages.where("html is not null"), scratch).select("host", "marks")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parse(h), json.loads(p) if p else []) if h else "" for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            known = {p: (paths, set(fixed)) for p in set(batch.column(3).to_pylist()) for paths, fixed in [json.loads(p) if p else ([], [])]}
+            texts = [main_text(parse(h), *known[p]) if h else "" for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                                   ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(
+    return pages.join(wrappers, "host", "left").select("page_id", "url", "html", "marks").mapInArrow(
         run, f"page_id {kind}, url string, text string, n_chars long")

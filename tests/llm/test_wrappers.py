@@ -74,3 +74,17 @@ def test_names_of_headings_and_ids_drop_nothing(spark):
     out = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     text = "Related work\nReply rates\nSocial\nNetworks x=1 end"
     assert {r.page_id: r.text for r in out} == {1: text, 2: text, 3: "Search\nMenu costs"}
+
+
+def test_fixed_groups_of_a_host_are_not_read(spark):
+    """The same box and link list on every page, without a telling class; a fixed heading and copies of a page stay."""
+    box = '<div class="box-17"><p>Read our letter.</p></div>'
+    page = "<body><div id=content><h2>Abstract</h2><p>Text {i} of the host, long enough to be most of the page.</p>" + box + '<ul class=x><li><a href=/a>A</a><li><a href=/b>B</a></ul></div></body>'
+    copy = "<body><article><h1>One</h1><div><p>The same text on each.</p></div></article></body>"
+    rows = [(i, "http://many/", page.format(i=i)) for i in range(30)] + [(100 + i, "http://few/", page.format(i=i)) for i in range(3)]
+    rows += [(200 + i, "http://copies/", copy) for i in range(20)]
+    texts = {r.page_id: r.text for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    main = "Abstract\nText {i} of the host, long enough to be most of the page."
+    assert all(texts[i] == main.format(i=i) for i in range(30))
+    assert all(texts[100 + i] == main.format(i=i) + "\nRead our letter.\nA\nB" for i in range(3))
+    assert all(texts[200 + i] == "One\nThe same text on each." for i in range(20))
