@@ -147,12 +147,15 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
                 rep, lab, n, v = part["rep"].to_numpy(), part["label"].to_numpy(), part["n"].to_numpy(), part["v"].to_numpy()
                 times = np.array([len(w) for w in walks])
                 at = np.repeat(np.arange(len(part)), times)
+                # a member has its walk with it, a query its own cell: a pair that only one side walks to is counted for both
+                walked = pd.Series([np.array(w, "int32") for w in walks] + [None] * len(at), dtype=object)
                 yield pd.DataFrame({"label": np.concatenate([lab, lab[at]]), "dim": dim, "cell": np.concatenate([own, np.concatenate(walks)]).astype("int32"),
                                     "query": np.concatenate([np.zeros(len(part), bool), np.ones(len(at), bool)]),
-                                    "rep": np.concatenate([rep, rep[at]]), "n": np.concatenate([n, n[at]]), "v": np.concatenate([v, v[at]])})
+                                    "rep": np.concatenate([rep, rep[at]]), "n": np.concatenate([n, n[at]]), "v": np.concatenate([v, v[at]]),
+                                    "home": np.concatenate([own, own[at]]).astype("int32"), "walk": walked})
 
     filed = scratch.table(classes.select("label", "rep", "n", "v").mapInPandas(
-        place, f"label {label_type.simpleString()}, dim int, cell int, query boolean, rep {kind}, n long, v {classes.schema['v'].dataType.simpleString()}"))
+        place, f"label {label_type.simpleString()}, dim int, cell int, query boolean, rep {kind}, n long, v {classes.schema['v'].dataType.simpleString()}, home int, walk array<int>"))
     # blocks of a cell: both sides are cut into parts of about BLOCK rows, and every part meets every part
     counts = filed.groupBy("label", "dim", "cell").agg(
         F.ceil(F.count_if("query") / BLOCK).cast("int").alias("q_parts"), F.ceil(F.count_if(~F.col("query")) / BLOCK).cast("int").alias("m_parts")
@@ -163,7 +166,7 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
               .withColumn("qs", F.when(F.col("query"), F.array(part(F.col("q_parts")))).otherwise(series(F.col("q_parts"))))
               .withColumn("ms", F.when(F.col("query"), series(F.col("m_parts"))).otherwise(F.array(part(F.col("m_parts")))))
               .withColumn("qp", F.explode("qs")).withColumn("mp", F.explode("ms"))
-              .select("label", "dim", "cell", "qp", "mp", "query", "rep", "n", "v"))
+              .select("label", "dim", "cell", "qp", "mp", "query", "rep", "n", "v", "home", "walk"))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         is_query = pdf["query"].to_numpy()
@@ -175,11 +178,14 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
         hit &= q_rep[:, None] != m_rep[None, :]
         links = hit @ weight
         comp_q, comp_m = _forest(hit)
+        homes, home = np.unique(q["home"].to_numpy(), return_inverse=True)
+        visited = np.array([np.isin(homes, w) for w in m["walk"]]).reshape(len(m), len(homes))
+        back = (hit & ~visited[:, home].T).T @ q["n"].to_numpy()
         some_q, some_m = hit.any(axis=1), hit.any(axis=0)
         # a query's label is the index of a query of its component: that one is the root of the edges
         reps = np.concatenate([q_rep[some_q], m_rep[some_m]])
         roots = q_rep[np.concatenate([comp_q[some_q], comp_m[some_m]])] if len(reps) else reps
-        return pd.DataFrame({"rep": reps, "links": np.concatenate([links[some_q], np.zeros(some_m.sum(), links.dtype)]), "root": roots})
+        return pd.DataFrame({"rep": reps, "links": np.concatenate([links[some_q], back[some_m]]), "root": roots})
 
     found = scratch.table(blocks.groupBy("label", "dim", "cell", "qp", "mp").applyInPandas(verify, f"rep {kind}, links long, root {kind}"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

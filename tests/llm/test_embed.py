@@ -91,3 +91,19 @@ def test_a_large_group_does_not_set_the_visits_of_small_ones(spark):
     assert len(near) > 300
     together = np.mean([got[a] == got[b] for a, b in near])
     assert together >= 0.995
+
+
+def test_a_pair_found_from_one_side_counts_for_both(spark, monkeypatch):
+    """With few cells a walk many pairs are lost, but those that are joined have links at both ends."""
+    monkeypatch.setattr(embed, "LEAST_VISITS", 2)
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=(1_500, 8))
+    x = np.concatenate([one, one + rng.normal(scale=0.2, size=one.shape)]).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows = embed.near_duplicates(df, target_recall=0.5).collect()
+    size: dict = {}
+    for r in rows:
+        size[r.component_id] = size.get(r.component_id, 0) + 1
+    pairs = [r for r in rows if size[r.component_id] == 2]
+    assert len(pairs) > 200 and all(r.n_links == 1 for r in pairs)
+    assert all((r.n_links == 0) == (size[r.component_id] == 1) for r in rows)
