@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, chat, embed, mixing, omh, shards, simhash, substring, toxicity, wrappers
+from ringlens.llm import bpe, chat, embed, mixing, omh, shards, simhash, substring, toxicity, whiten, wrappers
 from ringlens.llm.common import read
 
 
@@ -56,6 +56,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(read(spark, sf_dir, "embeddings"))
+
+
 _OP8_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -86,5 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_shards": op10_shards,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL}
