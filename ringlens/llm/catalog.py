@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, chat, embed, mixing, omh, shards, simhash, substring, toxicity, whiten, wrappers
+from ringlens.llm import bpe, chat, decontaminate, embed, mixing, omh, shards, simhash, substring, toxicity, whiten, wrappers
 from ringlens.llm.common import read
 
 
@@ -56,6 +56,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.whiten(read(spark, sf_dir, "embeddings"))
 
@@ -79,6 +83,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM said GROUP BY conv_id
 """
 
+_OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+i AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS w, array_to_string(ws[s + 1 : s + least(len(ws), 10)], ' ') AS win
+  FROM i, unnest(range(CASE WHEN len(ws) > 0 THEN greatest(len(ws) - 9, 1) ELSE 0 END)) t(s)),
+dw AS (
+  SELECT rid, s, w, array_to_string(ws[s + 1 : s + w], ' ') AS win
+  FROM d, (SELECT DISTINCT w FROM iw), unnest(range(len(ws) - w + 1)) t(s)),
+m AS (SELECT rid, s, w, item_id FROM dw JOIN iw USING (w, win)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM m, unnest(range(s, s + w)) t(p) GROUP BY rid),
+ids AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_simhash": op2_simhash,
@@ -90,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_shards": op10_shards,
+    "op12_decontamination": op12_decontamination,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_decontamination": _OP12_SQL}

@@ -40,6 +40,10 @@ class Scratch:
         self.kept = [*getattr(self, "kept", []), out]  # keeps id(out) from being reused
         return out
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Remove every table but ``kept``."""
+        self.drop(*[t for t in getattr(self, "kept", []) if all(t is not k for k in kept)])
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = self.paths.get(id(t))
