@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringlens.llm import bpe, chat, decontaminate, embed, mixing, omh, shards, simhash, substring, toxicity, whiten, wrappers
+from ringlens.llm import bpe, chat, decontaminate, embed, mixing, omh, shards, simhash, substring, toxicity, trie, whiten, wrappers
 from ringlens.llm.common import read
 
 
@@ -56,6 +56,10 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(read(spark, sf_dir, "conversations"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -83,6 +87,37 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM said GROUP BY conv_id
 """
 
+#: CRC-32 of the decimal id is written out bit by bit: DuckDB has no function for it.
+_OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+counts AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+ids AS (
+  SELECT counts.c, least(h, coalesce(base.n, 0)) AS kept, h, counts.c - counts.c % 5 AS opens FROM (
+    SELECT c, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda acc, byte: list_reduce(list_concat([xor(acc, byte)], range(8)),
+        lambda v, step: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 9 AS h
+    FROM counts) counts LEFT JOIN counts base ON base.c = counts.c - counts.c % 5),
+r AS (
+  SELECT ids.c, pos, role, txt FROM ids JOIN t ON t.c = ids.opens AND t.pos <= h
+  UNION ALL SELECT ids.c, pos - h + kept, role, txt FROM ids JOIN t ON t.c = ids.c AND t.pos > h),
+p AS (
+  SELECT c, 0 AS depth, '' AS key, 0 AS size FROM ids
+  UNION ALL SELECT c, pos, string_agg(md5(length(role) || ':' || role || txt), '') OVER (PARTITION BY c ORDER BY pos), strlen(txt) FROM r),
+chained AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY depth) AS up, max(depth) OVER (PARTITION BY c) AS last FROM p),
+node AS (SELECT key, depth, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+  sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (depth = last), '')) AS ends_sha256 FROM chained GROUP BY key, depth),
+kids AS (SELECT up AS key, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+sums AS (
+  SELECT p.key, count(*) FILTER (kids.key IS NULL) AS n_leaves, sum((node.n_convs - 1) * node.size) AS saved_tokens
+  FROM node LEFT JOIN kids USING (key) JOIN p ON p.c = node.conv_id AND p.depth <= node.depth GROUP BY p.key)
+SELECT node.conv_id, node.depth::BIGINT AS depth, above.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+  n_leaves, saved_tokens::BIGINT AS saved_tokens, node.ends_sha256
+FROM node JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN node above ON above.key = node.up
+"""
+
 _OP12_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
@@ -117,7 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_shards": op10_shards,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_decontamination": op12_decontamination,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op12_decontamination": _OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": _OP8_SQL, "op11_prefix_trie": _OP11_SQL, "op12_decontamination": _OP12_SQL}
