@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
@@ -17,7 +19,10 @@ from ringlens.functions.text import truncate, user_text
 from ringlens.operators.features import SAMPLE_BASE, SAMPLE_PRIME, hash_sample_per_group
 from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
 from ringlens.operators.clean import prepare_calls
+from ringlens.session import ensure_checkpoint_dir
 from ringlens.sources.calls import raw_text_from_events, read_table, typed_calls
+from ringlens.sources.csv_records import read_csv
+from ringlens.sources.sinks import write_table
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.registry import register
 from ringlens.plans.stages import flagged, limits, prepared, r9, scored, table, with_outliers
@@ -450,6 +455,25 @@ def raw_text_rows(spark, sf):
                                         "duration_sec", "executed_at", "hour", "inconsistency_flag")
 
 
+_EXPORTED = """,
+exported AS (SELECT event_id, CASE WHEN transcript IS NOT NULL THEN replace(transcript, '","', '",' || chr(10) || '"') END AS transcript
+FROM (SELECT call_id AS event_id, transcript FROM calls))"""
+
+
+@register("raw_csv_rows", O.with_stage("calls", [_RAW + _EXPORTED], """
+SELECT typed.event_id, campaign_id, target_id, connected, call_completed, disconnected_reason, duration_sec, executed_at, transcript,
+  1 + len(transcript) - len(replace(transcript, chr(10), '')) AS transcript_lines FROM typed JOIN exported USING (event_id)"""), "S1 S2 S3 S4 S6")
+def raw_csv_rows(spark, sf):
+    """The raw text table written as CSV with line breaks inside fields, and read back split by split."""
+    raw = raw_text_from_events(read_table(spark, sf, "events"))
+    raw = raw.withColumn("Transcript", F.replace("Transcript", F.lit('","'), F.lit('",\n"')))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ringlens-tables/{spark.sparkContext.applicationId}/calls-csv-{uuid.uuid4().hex}"
+    write_table(raw, path, fmt="csv")
+    calls = prepare_calls(typed_calls(read_csv(spark, path, raw.columns)))
+    return calls.select(F.col("event_id").cast("long"), "campaign_id", "target_id", "connected", "call_completed", "disconnected_reason", "duration_sec",
+                        "executed_at", "transcript", (1 + F.length("transcript") - F.length(F.replace("transcript", F.lit("\n"), F.lit("")))).alias("transcript_lines"))
+
+
 @register("raw_missing_values", O.with_stage("calls", [_RAW], """
 SELECT count(*) AS n, count(*) FILTER (WHERE target_id IS NULL) AS no_target, count(*) FILTER (WHERE connected IS NULL) AS no_flag,
   count(*) FILTER (WHERE duration_sec IS NULL) AS no_duration, count(*) FILTER (WHERE executed_at IS NULL) AS no_time,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringlens.constants import COLUMN_RENAME, NULL_TOKENS
+from ringlens.sources.csv_records import read_csv
 
 REQUIRED_HEADERS = list(COLUMN_RENAME)
 
@@ -95,22 +96,28 @@ def typed_calls(raw: DataFrame) -> DataFrame:
     return add_call_completed(type_raw(null_tokens(raw).withColumnsRenamed(COLUMN_RENAME)))
 
 
-def load_raw(spark: SparkSession, path: str, with_row_key: bool = True, multi_line: bool = True) -> DataFrame:
+def load_raw(spark: SparkSession, path: str, with_row_key: bool = True, multi_line: bool = True, whole_files: bool = False) -> DataFrame:
     """Read the raw calls CSV.
 
     All columns are read as strings with an explicit schema taken from the
     header (no inference pass over the data), then null tokens, renames and
     typed columns are applied. ``call_id`` is a key of the row's content
-    (``content_key``). ``multi_line=False`` lets large files split, for inputs
-    whose fields hold no line breaks.
+    (``content_key``). Fields may hold line breaks: files split all the same
+    (``csv_records``). ``multi_line=False`` saves that scan for inputs whose
+    fields hold none. ``whole_files`` reads each file in one task, for files with
+    quotes inside unquoted fields.
     """
     def reader():
         return spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
 
     header = reader().csv(path).columns
     validate_columns(header)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = typed_calls(reader().schema(schema).option("mode", "PERMISSIVE").csv(path))
+    if multi_line and not whole_files:
+        raw = read_csv(spark, path, header)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        raw = reader().schema(schema).option("mode", "PERMISSIVE").csv(path)
+    df = typed_calls(raw)
     return spread(content_key(df) if with_row_key else df)
 
 

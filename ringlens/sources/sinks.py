@@ -19,19 +19,19 @@ from ringlens.session import ensure_checkpoint_dir
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    """Write a stage table (Parquet by default; ``fmt='csv'`` writes a header)."""
+    """Write a stage table (Parquet by default; ``fmt='csv'`` writes a header and doubles quotes inside fields)."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("escape", '"').csv(path)
     else:
         w.format(fmt).save(path)
 
 
 def write_samples_csv(df: DataFrame, path: str) -> None:
     """Small audit samples as CSV (one file per task; the samples are bounded by construction)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    write_table(df, path, fmt="csv")
 
 
 def stage_key(*parts) -> str:
