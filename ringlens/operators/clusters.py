@@ -1,25 +1,27 @@
 """K-Means clustering of connected calls and cluster quality/profiles.
 
-Training uses MLlib's distributed K-Means (k-means|| init, Lloyd updates);
-restarts are separate seeded fits and the lowest training cost wins. All
+Training is ``operators.lloyd``: k-means|| starts and Lloyd updates of all
+starts and all K in the same passes; the lowest training cost wins. All
 quality metrics are linear in the number of rows: centroids (k rows) are
 broadcast and each point contributes to one aggregation - no point x point
-pairs are formed. The silhouette is MLlib's closed form over *squared*
-Euclidean distances.
+pairs are formed. The silhouette is the closed form over *squared* Euclidean
+distances; ``lloyd.sampled_silhouette`` is the Euclidean one on a bounded sample.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
-from ringlens.operators.features import assemble, fit_scaler
+from ringlens.operators import lloyd
+from ringlens.operators.features import fit_scaler
 from ringlens.functions.quantiles import MEDIAN, attach_quantiles, median_scalar
 from ringlens.sources.sinks import materialise
 
@@ -28,26 +30,30 @@ from ringlens.sources.sinks import materialise
 # fitting
 # ---------------------------------------------------------------------------
 
-def fit_kmeans(df: DataFrame, k: int, features: str = "features", n_init: int = 10, max_iter: int = 150,
-               seed: int = 42, tol: float = 1e-4, concurrent: int = 4):
-    """M5: best of ``n_init`` seeded fits (seeds seed..seed+n_init-1) by training cost.
+def _vector_columns(df: DataFrame, features: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with one column for each entry of a vector column, and their names."""
+    first = df.select(features).first()
+    names = [f"{features}_{i}" for i in range(len(first[0]) if first else 0)]
+    entries = vector_to_array(features)
+    return df.withColumns({c: entries[i] for i, c in enumerate(names)}), names
 
-    The restarts are independent Spark jobs; up to ``concurrent`` of them are
-    submitted at once from driver threads so small fits (samples) keep the
-    executors busy. Ties in cost go to the lowest seed.
-    """
-    from concurrent.futures import ThreadPoolExecutor
 
-    def fit(s):
-        return s, KMeans(k=k, featuresCol=features, maxIter=max_iter, seed=s, tol=tol, initMode="k-means||").fit(df)
+class VectorKMeans(NamedTuple):
+    """A fit over a vector column."""
+    fit: lloyd.KMeansFit
+    features: str
 
-    seeds = list(range(seed, seed + n_init))
-    if concurrent > 1 and n_init > 1:
-        with ThreadPoolExecutor(max_workers=min(concurrent, n_init)) as pool:
-            fits = list(pool.map(fit, seeds))
-    else:
-        fits = [fit(s) for s in seeds]
-    return min(fits, key=lambda sm: (sm[1].summary.trainingCost, sm[0]))[1]
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``prediction``."""
+        spread, names = _vector_columns(df, self.features)
+        return assign_to_centroids(spread, list(self.fit.columns), self.fit.centres.tolist()).drop(*names)
+
+
+def fit_kmeans(df: DataFrame, k: int, features: str = "features", n_init: int = 10, max_iter: int = 150,
+               seed: int = 42, tol: float = 1e-4, key: str = "call_id") -> VectorKMeans:
+    """M5: best of ``n_init`` seeded starts by training cost; all starts share their passes."""
+    spread, names = _vector_columns(df, features)
+    return VectorKMeans(lloyd.fit_all(spread, names, [k], n_init, max_iter, seed, tol, key)[k], features)
 
 
 def silhouette_sq(pred: DataFrame, features: str = "features", prediction: str = "prediction") -> float:
@@ -56,20 +62,12 @@ def silhouette_sq(pred: DataFrame, features: str = "features", prediction: str =
     return ev.evaluate(pred)
 
 
-def select_k(sample: DataFrame, ks=range(2, 7), features: str = "features", n_init: int = 10,
-             max_iter: int = 150, seed: int = 42) -> DataFrame:
-    """M6: inertia and silhouette for each K on a sample (one row per K).
-
-    The loop over K is on the driver; each fit is a distributed job.
-    """
-    rows = []
-    for k in ks:
-        m = fit_kmeans(sample, k, features, n_init, max_iter, seed)
-        pred = m.transform(sample)
-        n_labels = pred.select("prediction").distinct().count()
-        sil = silhouette_sq(pred, features) if n_labels > 1 else -1.0
-        rows.append((int(k), float(m.summary.trainingCost), float(sil)))
-    return sample.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+def select_k(sample: DataFrame, cols: list[str], ks=range(2, 7), n_init: int = 10, max_iter: int = 150, seed: int = 42) -> DataFrame:
+    """M6: inertia and silhouette for each K (one row per K); every pass over the rows serves all K and all starts."""
+    fits = lloyd.fit_all(sample, cols, list(ks), n_init, max_iter, seed)
+    silhouettes = lloyd.squared_silhouettes(sample, cols, fits)
+    rows = [(int(k), f.cost, silhouettes[k], f.iterations, f.converged) for k, f in fits.items()]
+    return sample.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, iterations int, converged boolean")
 
 
 # ---------------------------------------------------------------------------
@@ -152,19 +150,21 @@ def cluster_ids_for_all(df: DataFrame, clustered_rows, prediction, strict: bool
 # end to end
 # ---------------------------------------------------------------------------
 
-def _scaled_vectors(clean_df: DataFrame, feature_cols=None) -> DataFrame:
+def _scaled(clean_df: DataFrame, feature_cols=None) -> tuple[DataFrame, list[str]]:
+    """Connected calls with their scaled features, and the names of those."""
     from ringlens.operators.features import FEATURES_7, encode_features
 
     cols = list(feature_cols or FEATURES_7)
     conn = encode_features(clean_df.filter(F.col("connected")))
     scaler = fit_scaler(conn, cols)
-    # the scaled vectors are read by every restart and every K: written once, no cache to release
-    return materialise(assemble(scaler.transform(conn), [c + "_z" for c in cols]), "scaled-calls")
+    # read by every pass: written once, no cache to release
+    return materialise(scaler.transform(conn), "scaled-calls"), [c + "_z" for c in cols]
 
 
 def k_selection(clean_df: DataFrame, ks=range(2, 7), n_init: int = 10, max_iter: int = 150, seed: int = 42, feature_cols=None) -> DataFrame:
     """M6 on its own: inertia and silhouette of every K over all connected calls."""
-    return select_k(_scaled_vectors(clean_df, feature_cols), ks, n_init=n_init, max_iter=max_iter, seed=seed)
+    rows, cols = _scaled(clean_df, feature_cols)
+    return select_k(rows, cols, ks, n_init=n_init, max_iter=max_iter, seed=seed)
 
 
 def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample_n: int | None = None, n_init: int = 10,
@@ -173,19 +173,18 @@ def cluster_calls(clean_df: DataFrame, k: int | None = 4, ks=range(2, 7), sample
 
     K is selected on all rows; ``sample_n`` asks for a seeded sample instead.
 
-    Returns (connected rows with ``cluster_id``, K-selection table or None, model).
+    Returns (connected rows with ``cluster_id``, K-selection table or None, fit).
     """
     from ringlens.operators.features import hash_sample
 
-    vec = _scaled_vectors(clean_df, feature_cols)
+    rows, cols = _scaled(clean_df, feature_cols)
     ksel = None
     if k is None or ks:
-        ksel = select_k(vec if sample_n is None else hash_sample(vec, sample_n, seed=seed), ks, n_init=n_init, max_iter=max_iter, seed=seed)
+        ksel = select_k(rows if sample_n is None else hash_sample(rows, sample_n, seed=seed), cols, ks, n_init=n_init, max_iter=max_iter, seed=seed)
         if k is None:
             k = ksel.orderBy(F.desc("silhouette"), "k").first()["k"]
-    model = fit_kmeans(vec, k, n_init=n_init, max_iter=max_iter, seed=seed)
-    pred = canonical_ids(model.transform(vec))
-    return pred, ksel, model
+    fit = lloyd.fit_all(rows, cols, [k], n_init, max_iter, seed)[k]
+    return canonical_ids(assign_to_centroids(rows, cols, fit.centres.tolist())), ksel, fit
 
 
 def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int = 10, max_iter: int = 150,
@@ -205,14 +204,14 @@ def kmeans_all_calls(calls: DataFrame, clustered_rows, k: int = 4, n_init: int =
     enc = encode_features(calls, duration_fill=fill)
     scaler = fit_scaler(enc.filter(cond), cols)
     zc = [c + "_z" for c in cols]
-    vec = assemble(scaler.transform(enc), zc)
-    train = materialise(vec.filter(cond), "scaled-training-calls")
-    model = fit_kmeans(train, k, n_init=n_init, max_iter=max_iter, seed=seed)
+    scaled = scaler.transform(enc)
+    train = materialise(scaled.filter(cond), "scaled-training-calls")
+    centres = lloyd.fit_all(train, zc, [k], n_init, max_iter, seed)[k].centres.tolist()
     # k rows: raw id -> canonical id
-    pairs = canonical_mapping(model.transform(train)).collect()
+    pairs = canonical_mapping(assign_to_centroids(train, zc, centres)).collect()
     mapping = calls.sparkSession.createDataFrame([(int(r["prediction"]), int(r["cluster_id"])) for r in pairs],
                                                  "prediction int, _canon int")
-    pred = model.transform(vec).join(F.broadcast(mapping), "prediction", "left")
+    pred = assign_to_centroids(scaled, zc, centres).join(F.broadcast(mapping), "prediction", "left")
     return cluster_ids_for_all(pred, cond, F.col("_canon")).drop("_canon")
 
 
@@ -235,9 +234,9 @@ def ordinal_features(df: DataFrame, numeric=("duration_sec", "hour"), binary=("d
 def ordinal_kmeans(df: DataFrame, k: int, n_init: int = 10, seed: int = 42, **columns):
     """K-Means on numerics + binaries + alphabetically indexed categories, all scaled."""
     scaled, cols = ordinal_features(df, **columns)
-    vec = materialise(assemble(scaled, cols), "ordinal-calls")
-    model = fit_kmeans(vec, k, n_init=n_init, seed=seed)
-    return model.transform(vec).withColumnRenamed("prediction", "cluster_id")
+    rows = materialise(scaled, "ordinal-calls")
+    fit = lloyd.fit_all(rows, cols, [k], n_init, seed=seed)[k]
+    return assign_to_centroids(rows, cols, fit.centres.tolist(), out="cluster_id")
 
 
 # ---------------------------------------------------------------------------

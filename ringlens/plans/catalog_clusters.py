@@ -15,8 +15,9 @@ from ringlens.operators import clusters as CL
 from ringlens.operators.clean import fence_condition, pre_fence_condition
 from ringlens.operators.failures import failure_rates_by
 from ringlens.functions.quantiles import median_scalar
-from ringlens.operators.features import FEATURES_6, FEATURES_7, assemble, encode_features, fit_scaler, prepare_variables
-from ringlens.operators.kprototypes import fit_kprototypes
+from ringlens.operators.features import FEATURES_6, FEATURES_7, encode_features, fit_scaler, prepare_variables, share_sample
+from ringlens.operators.kprototypes import fit_kprototypes, select_k_mixed
+from ringlens.operators.lloyd import fit_all, sampled_silhouette, squared_silhouettes
 from ringlens.operators.reports import share_within, top_n_per_group, value_counts
 from ringlens.operators.sentiment import sentiment_agreement
 from ringlens.plans import oracle_sql as O
@@ -33,6 +34,8 @@ FIXED_CENTROIDS = [
     [0.0, 0.0, 0.8, 0.0, 0.0, -1.5, 3.0],
 ]
 Z7 = [c + "_z" for c in FEATURES_7]
+# parameter: rows of the sample for the Euclidean silhouette
+SILHOUETTE_ROWS = 2000
 
 # ---------------------------------------------------------------------------
 # Spark side
@@ -298,11 +301,11 @@ def kmeans_k_selection(spark, sf):
 @register("kmeans_quality", None, "M9 M10 M14")
 def kmeans_quality(spark, sf):
     clean = clean_calls(spark, sf)
-    pred, _, model = CL.cluster_calls(clean, k=4, ks=None)
-    sil = CL.silhouette_sq(pred.withColumn("prediction", F.col("cluster_id")))
-    q = CL.quality_metrics(pred, [c + "_z" for c in FEATURES_7])
-    steps = model.summary.numIter  # a fit that used all of them may not have converged
-    return q.withColumns({"silhouette_sq": F.lit(sil), "iterations": F.lit(steps), "converged": F.lit(steps < 150)})
+    pred, _, fit = CL.cluster_calls(clean, k=4, ks=None)
+    q = CL.quality_metrics(pred, Z7)
+    sil = squared_silhouettes(pred, Z7, {4: fit})[4]
+    euclidean = sampled_silhouette(share_sample(pred, 0.0, SILHOUETTE_ROWS), Z7)
+    return q.withColumns({"silhouette_sq": F.lit(sil), "silhouette_sample": F.lit(euclidean), "iterations": F.lit(fit.iterations), "converged": F.lit(fit.converged)})
 
 
 def complete_features(spark, sf):
@@ -319,8 +322,8 @@ def complete_features(spark, sf):
 def kmeans_trained_on_complete(spark, sf):
     train, allc = complete_features(spark, sf)
     zc = [c + "_z" for c in FEATURES_6]
-    model = CL.fit_kmeans(materialise(assemble(train, zc), "complete-calls"), 4)
-    return model.transform(assemble(allc, zc)).select("call_id", F.col("prediction").alias("cluster_id"))
+    fit = fit_all(materialise(train.select("call_id", *zc), "complete-calls"), zc, [4])[4]
+    return CL.assign_to_centroids(allc, zc, fit.centres.tolist(), out="cluster_id").select("call_id", "cluster_id")
 
 
 @register("kmeans_ordinal_baseline", None, "M13")
@@ -346,3 +349,8 @@ def kprototypes_input(spark, sf):
 def kprototypes_clusters(spark, sf):
     fit = fit_kprototypes(kprototypes_input(spark, sf), [c + "_z" for c in KP_NUMBERS], KP_CATEGORIES, 4)
     return fit.rows.select("call_id", "cluster_id")
+
+
+@register("kprototypes_k_selection", None, "M6 M12")
+def kprototypes_k_selection(spark, sf):
+    return select_k_mixed(kprototypes_input(spark, sf), [c + "_z" for c in KP_NUMBERS], KP_CATEGORIES, range(2, 8))

@@ -8,12 +8,14 @@ the initial modes.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ringlens import constants as K
 from ringlens.operators import clusters as CL
 from ringlens.operators.features import FEATURES_6, SAMPLE_BASE, SAMPLE_PRIME, assemble, prepare_variables, share_sample
-from ringlens.operators.kprototypes import assign_to_prototypes, cao_init
+from ringlens.operators.kprototypes import assign_to_prototypes, cao_init, mixed_silhouette
+from ringlens.operators.lloyd import drawn_starts, lloyd_pass, sampled_silhouette
 from ringlens.plans import oracle_sql as O
 from ringlens.plans.catalog_clusters import (_CLEAN, _ENG, _SENT, _dist_sql, FIXED_CENTROIDS, KP_CATEGORIES, KP_NUMBERS, Z7, clean_calls, cluster_sql, complete_features,
                                              fixed_clusters, kprototypes_input)
@@ -109,6 +111,56 @@ def silhouette_fixed(spark, sf):
     return spark.createDataFrame([(k, round(CL.silhouette_sq(rows, prediction="cluster_id"), 9))], "k int, silhouette_sq double")
 
 
+# parameters: K and starts of the two rounds from drawn centres
+ROUND_KS, ROUND_STARTS = (2, 3, 4), 2
+_ZS = ", ".join(Z7)
+_APART = " + ".join(f"(a.{c} - m.{c}) * (a.{c} - m.{c})" for c in Z7)
+_STARTS = " UNION ALL ".join(f"""SELECT {s} AS s, {_ZS}, row_number() OVER (ORDER BY (call_id % {SAMPLE_PRIME}) * {pow(SAMPLE_BASE, 1042 + s, SAMPLE_PRIME)} % {SAMPLE_PRIME}, call_id) - 1 AS c
+FROM assigned""" for s in range(ROUND_STARTS))
+
+
+def _round_sql(name: str, centres: str) -> list[str]:
+    """Rows at their nearest centre, and the centres that follow."""
+    return [f"""{name} AS (SELECT * FROM (SELECT m.k, m.s, m.c, a.*, round({_APART}, 9) AS d FROM assigned a, {centres} m)
+QUALIFY row_number() OVER (PARTITION BY k, s, call_id ORDER BY d, c) = 1)""",
+            f"""{name}_next AS (SELECT m.k, m.s, m.c, {', '.join(f'coalesce(avg(n.{c}), any_value(m.{c})) AS {c}' for c in Z7)}
+FROM {centres} m LEFT JOIN {name} n USING (k, s, c) GROUP BY m.k, m.s, m.c)"""]
+
+
+@register("kmeans_two_rounds", cluster_sql(f"""
+SELECT k, s AS start, CAST(c AS INTEGER) AS cluster_id, count(*) AS n, round(sum(d), 6) AS cost, {', '.join(f'{O.r9(f"avg({c})")} AS c_{c}' for c in Z7)}
+FROM near1 GROUP BY k, s, c""", extra=[f"starts AS ({_STARTS})", f"m0 AS (SELECT k, s, c, {_ZS} FROM starts, (VALUES {', '.join(f'({k})' for k in ROUND_KS)}) t(k) WHERE c < k)",
+                                      *_round_sql("near0", "m0"), *_round_sql("near1", "near0_next")]), "M5 M6")
+def kmeans_two_rounds(spark, sf):
+    """Two Lloyd rounds of every (K, start) in the same passes, from centres drawn by the portable key."""
+    rows = fixed_clusters(spark, sf).select("call_id", *Z7)
+    centres = drawn_starts(rows, Z7, list(ROUND_KS), ROUND_STARTS, 42, "call_id")
+    out = []
+    for last in (False, True):
+        for (k, s), (n, cost, total, _) in lloyd_pass(rows, Z7, dict(centres)).items():
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres[k, s])
+            if last:
+                out += [(k, s, c, int(n[c]), round(float(cost[c]), 6), *map(float, new[c])) for c in range(k) if n[c]]
+            centres[k, s] = new
+    table = spark.createDataFrame(out, "k int, start int, cluster_id int, n long, cost double, " + ", ".join(f"c_{c} double" for c in Z7))
+    return table.withColumns({f"c_{c}": r9(f"c_{c}") for c in Z7})
+
+
+# parameter: rows of the Euclidean silhouette's sample
+SAMPLED = 500
+
+
+@register("silhouette_sampled_fixed", cluster_sql(f"""
+SELECT count(*) AS n, round(avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 9) AS silhouette FROM (
+  SELECT call_id, max(CASE WHEN mine AND size > 1 THEN far / (size - 1) END) AS own, min(CASE WHEN NOT mine THEN far / size END) AS other FROM (
+    SELECT a.call_id, a.cluster_id = m.cluster_id AS mine, sum(sqrt({_APART})) AS far, count(*) AS size
+    FROM sampled a, sampled m GROUP BY a.call_id, a.cluster_id, m.cluster_id) GROUP BY call_id)""",
+    extra=[f"sampled AS (SELECT * FROM assigned QUALIFY row_number() OVER (ORDER BY {_KEY}) <= {SAMPLED})"]), "M9")
+def silhouette_sampled_fixed(spark, sf):
+    sample = share_sample(fixed_clusters(spark, sf), 0.0, SAMPLED)
+    return spark.createDataFrame([(sample.count(), round(sampled_silhouette(sample, Z7), 9))], "n long, silhouette double")
+
+
 # --- K-Prototypes ---
 
 # parameters: three fixed prototypes (scaled numbers, categories) and the weight of a mismatch
@@ -134,6 +186,24 @@ def kprototypes_assign_fixed(spark, sf):
     return out.select("call_id", "cluster_id", r9("_cost").alias("cost"))
 
 
+_FAR = " + ".join(f"(a.{c} - m.{c}) * (a.{c} - m.{c})" for c in _KPZ) + "".join(
+    f" + CASE WHEN a.{c} IS NOT DISTINCT FROM m.{c} THEN 0.0::DOUBLE ELSE {GAMMA}::DOUBLE END" for c in KP_CATEGORIES)
+
+
+@register("mixed_silhouette_fixed", O.with_stage("scored", [*_KP, f"""kc AS (SELECT call_id, {', '.join(f'{_proto_cost(*p)} AS d{i}' for i, p in enumerate(FIXED_PROTOTYPES))} FROM kz)""",
+    "kl AS (SELECT kz.*, CASE WHEN d2 < least(d0, d1) THEN 2 WHEN d1 < d0 THEN 1 ELSE 0 END AS cluster_id FROM kz JOIN kc USING (call_id))"], f"""
+SELECT CAST(count(DISTINCT cluster_id) AS INTEGER) AS k, count(*) AS n,
+  round(avg(CASE WHEN own IS NULL OR greatest(own, other) = 0 THEN 0 ELSE (other - own) / greatest(own, other) END), 9) AS silhouette FROM (
+  SELECT call_id, cluster_id, max(CASE WHEN mine AND size > 1 THEN far / (size - 1) END) AS own, min(CASE WHEN NOT mine THEN far / size END) AS other FROM (
+    SELECT a.call_id, a.cluster_id, a.cluster_id = m.cluster_id AS mine, sum({_FAR}) AS far, count(*) AS size
+    FROM kl a, kl m GROUP BY a.call_id, a.cluster_id, m.cluster_id) GROUP BY call_id, cluster_id)"""), "M6 M12")
+def mixed_silhouette_fixed(spark, sf):
+    rows = kprototypes_input(spark, sf).withColumns({c: r9(c) for c in _KPZ})
+    out = assign_to_prototypes(rows, _KPZ, KP_CATEGORIES, FIXED_PROTOTYPES, GAMMA)
+    return spark.createDataFrame([(out.select("cluster_id").distinct().count(), out.count(), round(mixed_silhouette(out, _KPZ, KP_CATEGORIES, GAMMA), 9))],
+                                 "k int, n long, silhouette double")
+
+
 def _mode_sql(i: int) -> str:
     """CTE of the i-th initial mode: the densest tuple that is furthest from those before it."""
     far = [" + ".join(f"CASE WHEN d.{c} IS NOT DISTINCT FROM m{j}.{c} THEN 0 ELSE 1 END" for c in KP_CATEGORIES) for j in range(i)]

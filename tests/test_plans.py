@@ -36,7 +36,7 @@ def test_registry_names_and_sql():
 
 
 _MODEL_FITS = {"kmeans_clusters", "kmeans_k_selection", "kmeans_quality", "kmeans_trained_on_complete",
-               "kmeans_ordinal_baseline", "kprototypes_clusters", "feature_recommendation", "exclusion_verdict",
+               "kmeans_ordinal_baseline", "kprototypes_clusters", "kprototypes_k_selection", "feature_recommendation", "exclusion_verdict",
                "segment_mannwhitney"}
 
 
