@@ -52,17 +52,19 @@ def fingerprint(text: str | None, n: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(total * 2 > len(starts), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long; with ``hashed`` also th, the text's XXH64."""
     prepare(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
+    more = [F.xxhash64(F.col(text).cast("string")).alias("th")] if hashed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *(["th"] if hashed else [])])
 
-    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), *more).mapInArrow(
+        run, f"doc_id {kind}, fp long" + (", th long" if hashed else ""))
 
 
 def _signed(mask: int) -> int:
@@ -116,16 +118,47 @@ def near_pairs(fps: DataFrame, scratch: Scratch, max_bits: int = MAX_BITS, hot_k
         level = nxt
 
 
-def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                       max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links."""
-    scratch = Scratch(df.sparkSession, "simhash")
-    docs = scratch.table(fingerprints(df, key, text, shingle))
+def _components_of(docs: DataFrame, scratch: Scratch, max_bits: int) -> DataFrame:
+    """(fp, component, component_id) for the stored fingerprints ``docs (doc_id, fp)``."""
     groups = scratch.table(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     comps = connected_components(near_pairs(groups, scratch, max_bits), scratch)
     # one row a fingerprint: its component, then the smallest document of the component
     named = groups.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    by_fp = scratch.table(named.join(smallest, "component").select("fp", "component_id"))
-    return docs.join(by_fp, "fp").select(
+    return scratch.table(named.join(smallest, "component").select("fp", "component", "component_id"))
+
+
+def simhash_components(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                       max_bits: int = MAX_BITS) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the smallest doc_id reachable over links.
+
+    A null id takes part like any other row and is never the smallest: its component_id is the
+    smallest id of its group, or null where the group has no id.
+    """
+    scratch = Scratch(df.sparkSession, "simhash")
+    docs = scratch.table(fingerprints(df, key, text, shingle))
+    return docs.join(_components_of(docs, scratch, max_bits).drop("component"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``df``, one for each SimHash group: the smallest id (null last), then the smallest hash of its text.
+
+    Groups are of rows, not of ids: of two texts under one id only the one that has a copy elsewhere
+    goes. Rows that agree in id and text are one row in the result.
+    """
+    scratch = Scratch(df.sparkSession, "simhash")
+    docs = scratch.table(fingerprints(df, key, text, shingle, hashed=True))
+    placed = docs.join(_components_of(docs, scratch, max_bits).select("fp", "component"), "fp")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    first = placed.groupBy("component").agg(F.min(rank).alias("first"))
+    counted = placed.groupBy("component", "doc_id", "th").agg(F.count("*").alias("rows")).join(first, "component")
+    stays = F.col("first") == rank
+    named = scratch.table(counted.where(~stays | (F.col("rows") > 1)).groupBy("doc_id", "th").agg(F.max(stays).alias("stays")))
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    met = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))
+    alone = whole.join(named, met, "left_anti").select("row.*")
+    repeated = named.where("stays")
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(whole.join(repeated, met, "left_semi").dropDuplicates(["id", "hash"]).select("row.*"))

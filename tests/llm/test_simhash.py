@@ -70,3 +70,13 @@ def test_fingerprint_rules_and_odd_rows(spark):
     out = sorted((r.doc_id, r.component_id) for r in simhash.simhash_components(df).collect())
     assert out == [(3, 3), (3, 3), (5, 3), (8, 8), (9, 8)]
     assert simhash.simhash_components(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "one two three four five six", "alpha beta gamma delta epsilon", "x y z"
+    rows = [(2, a), (5, b), (5, a), (7, c), (7, c), (None, c), (None, "only here"), (None, None), (9, ""), (None, "only here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fp", "2 AS th", "3 AS row", "4 AS _id", "5 AS component")
+    got = simhash.one_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(2, a), (5, b), (7, c), (None, "only here"), (9, "")], key=str)
+    assert simhash.one_of_each_group(df.limit(0)).count() == 0
