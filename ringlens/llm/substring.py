@@ -267,12 +267,15 @@ def dedup_substrings(df: DataFrame, k: int = WINDOW, key: str = "doc_id", text:
 
 def remove_repeats(df: DataFrame, k: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with their columns; repeated words are cut out of ``text``, other texts stay as they are."""
-    ranges = _with_ranges(df, k, key, text, "substring").select(F.col("doc_id").alias("_k"), F.col("th").alias("_th"), F.col("ranges").alias("_ranges"))
+    ranges = _with_ranges(df, k, key, text, "substring")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
 
     @F.pandas_udf("string")
     def cut(texts, found):
         return texts.combine(found, lambda t, r: t if t is None or r is None or len(r) == 0 else cut_text(t, _covered(len(words_of(t)), list(r), k)))
 
-    joined = df.join(ranges, (F.col(key) == F.col("_k")) & (F.xxhash64(body) == F.col("_th")), "left")
-    return joined.withColumn(text, F.when(F.col("_ranges").isNull(), F.col(text)).otherwise(cut(F.col(text), F.col("_ranges")))).select(*df.columns)
+    # the columns of ``df`` travel inside one struct, so that none can clash with those of the ranges
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(body).alias("hash"), F.col(text).alias("said"))
+    joined = rows.join(ranges, (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("th")), "left")
+    left = F.when(F.col("ranges").isNull(), F.col("said")).otherwise(cut(F.col("said"), F.col("ranges")))
+    return joined.select("row", left.alias("left")).select(*[F.col("left").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in df.columns])

@@ -63,3 +63,11 @@ def test_planted_passages_rings_and_odd_rows(spark):
     assert substring.dedup_substrings(df.limit(0)).count() == 0
     null_ids = spark.createDataFrame([(None, texts[5]), (1, texts[5]), (None, None)], "doc_id long, text string")
     assert sorted(r.n_removed for r in substring.dedup_substrings(null_ids).collect()) == [0, 0, 0]
+
+
+def test_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long), (2, "a " + long + " b"), (None, None)], "doc_id long, text string").selectExpr(
+        "*", "1 AS _k", "2 AS _th", "3 AS _ranges", "4 AS id", "5 AS th", "6 AS row", "7 AS ranges")
+    got = substring.remove_repeats(df)
+    assert got.columns == df.columns and {(r.doc_id, r.text, r.th) for r in got.collect()} == {(1, long, 5), (2, "a b", 5), (None, None, 5)}
