@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringlens.session import ensure_checkpoint_dir
@@ -52,6 +52,12 @@ class Scratch:
                 p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drawn(draw: Column, wanted: int, n: int) -> Column:
+    """Whether a row is among about ``wanted`` of ``n``, by the hash ``draw``; the share keeps 40 bits, so it never rounds to none."""
+    share = min(1.0, wanted / max(n, 1))
+    return F.pmod(draw, F.lit(1 << 40)) < F.lit(max(1, round(share * (1 << 40))))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 

@@ -18,7 +18,9 @@ returns a count per query and the edges of a spanning forest, never the pairs.
 
 Defined cases: null labels and vectors that are null, zero, empty or hold null or non-finite
 components link with nothing; vectors of different lengths never link; repeated rows are
-vectors of their own and link with each other; an empty table gives an empty result.
+vectors of their own and link with each other; an empty table gives an empty result. A null id
+links like any other row; it is never the smallest of its component, whose id is null, and its
+rows kept, only where no row of it has an id.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringlens.llm.common import Scratch, connected_components, prepare
+from ringlens.llm.common import Scratch, connected_components, drawn, prepare
 
 MIN_COSINE, TARGET_RECALL = 0.93, 0.999
 #: Bounds of the samples for the codebooks and for the measured recall.
@@ -44,6 +46,7 @@ _SEED = 11
 
 def _unit(rows: list) -> np.ndarray:
     x = np.array(rows, dtype=np.float64)
+    x = x / np.abs(x).max(axis=1, initial=0)[:, None]  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
@@ -110,12 +113,12 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
     """(vec_id, n_links, component_id, kept) for every row."""
     spark = prepare(df.sparkSession)
     scratch = Scratch(spark, "embed")
-    kind = df.schema[key].dataType.simpleString()
     src = df.select(F.col(key).alias("vec_id"), F.col(vector).alias("v"), F.col(label).alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = src.where(F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~bad).where(F.exists("v", lambda x: x != 0))
-    classes = scratch.table(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-                            .withColumn("dim", F.size("v")))
+    # classes of equal vectors go by a number of their own: ids may be null or of any type, and never enter Python
+    classes = scratch.table(valid.groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"))
+                            .withColumn("dim", F.size("v")).withColumn("rep", F.monotonically_increasing_id()))
     sizes = {r["dim"]: (r["n"], r["labels"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).collect()}
     alone = src.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not sizes:
@@ -125,15 +128,13 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
     plans: dict[int, tuple[Grid, dict, int]] = {}
     for dim, (n, labels) in sizes.items():
         rows = classes.where(F.col("dim") == dim)
-        draw = F.pmod(F.xxhash64("rep", F.lit("codebook")), F.lit(1_000_000))
-        sample = rows.where(draw < int(min(1.0, TRAIN_ROWS / n) * 1_000_000)).select("v").toArrow()["v"].to_pylist()
+        sample = rows.where(drawn(F.xxhash64("label", "v", F.lit("codebook")), TRAIN_ROWS, n)).select("v").toArrow()["v"].to_pylist()
         if not sample:
             sample = rows.select("v").limit(1).toArrow()["v"].to_pylist()
         k = int(np.clip(round((n / max(labels, 1) / CELL_ROWS) ** 0.5), 1, MOST_CENTRES))
         grid = Grid(_unit(sample), min(k, len(sample)))
         plans[dim] = (grid, *_visits(rows, grid, n, min_cosine, target_recall))
     shared = spark.sparkContext.broadcast(plans)
-    key_type = classes.schema["rep"].dataType
     label_type = classes.schema["label"].dataType
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,7 +156,7 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
                                     "home": np.concatenate([own, own[at]]).astype("int32"), "walk": walked})
 
     filed = scratch.table(classes.select("label", "rep", "n", "v").mapInPandas(
-        place, f"label {label_type.simpleString()}, dim int, cell int, query boolean, rep {kind}, n long, v {classes.schema['v'].dataType.simpleString()}, home int, walk array<int>"))
+        place, f"label {label_type.simpleString()}, dim int, cell int, query boolean, rep long, n long, v {classes.schema['v'].dataType.simpleString()}, home int, walk array<int>"))
     # blocks of a cell: both sides are cut into parts of about BLOCK rows, and every part meets every part
     counts = filed.groupBy("label", "dim", "cell").agg(
         F.ceil(F.count_if("query") / BLOCK).cast("int").alias("q_parts"), F.ceil(F.count_if(~F.col("query")) / BLOCK).cast("int").alias("m_parts")
@@ -187,13 +188,14 @@ def near_duplicates(df: DataFrame, min_cosine: float = MIN_COSINE, target_recall
         roots = q_rep[np.concatenate([comp_q[some_q], comp_m[some_m]])] if len(reps) else reps
         return pd.DataFrame({"rep": reps, "links": np.concatenate([links[some_q], back[some_m]]), "root": roots})
 
-    found = scratch.table(blocks.groupBy("label", "dim", "cell", "qp", "mp").applyInPandas(verify, f"rep {kind}, links long, root {kind}"))
+    found = scratch.table(blocks.groupBy("label", "dim", "cell", "qp", "mp").applyInPandas(verify, f"rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnRenamed("node", "rep")
-    named = scratch.table(classes.join(links, "rep", "left").join(comps, "rep", "left").select(
-        "label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    placed = classes.join(links, "rep", "left").join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = scratch.table(placed.join(smallest, "component").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"))
     scratch.drop(filed)
-    linked = valid.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    linked = valid.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     ok = F.coalesce(F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0), F.lit(False))
     return linked.unionByName(alone_rows(src.where(~ok)))
 
@@ -205,8 +207,7 @@ def alone_rows(src: DataFrame) -> DataFrame:
 def _visits(rows: DataFrame, grid: Grid, n: int, min_cosine: float, target: float) -> tuple[dict, int]:
     """Cells to visit, for labels of their own number and for all others: a bounded sample of queries
     against all rows, in blocks; only sums by label and cell rank come back."""
-    draw = F.pmod(F.xxhash64("rep", F.lit("recall")), F.lit(1_000_000))
-    queries = rows.where(draw < int(min(1.0, RECALL_QUERIES / n) * 1_000_000)).select("rep", "label", "v").toArrow().to_pydict()
+    queries = rows.where(drawn(F.xxhash64("label", "v", F.lit("recall")), RECALL_QUERIES, n)).select("rep", "label", "v").toArrow().to_pydict()
     most = len(grid.books[0]) * len(grid.books[1])
     least = min(LEAST_VISITS, most)
     if not queries["rep"] or most == 1:

@@ -5,8 +5,9 @@ each domain. A document then contributes ``rate * tokens * posterior`` to every
 nonnegative rates that bring the domains' expected token totals to their targets are found by
 projected-gradient least squares, starting from 1 for every document, with momentum. Distances
 are taken in the metric of the inverse Gram matrix of the posteriors, so that a rare domain moves as
-fast as a common one, and the steps go on until the targets are met or the projected gradient is
-zero; a fit that does neither warns with the totals it reached.
+fast as a common one, and the steps go on until the targets are met, the projected gradient is
+zero, or ten steps bring the totals no nearer to targets that no rates can meet; a fit that does
+none of these warns with the totals it reached.
 
 The gradient of a document needs only its own posteriors and the domains' residuals, a
 handful of numbers. So each step is one distributed sum over a narrow table, and a
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringlens.llm.common import Scratch, prepare
+from ringlens.llm.common import Scratch, drawn, prepare
 
 #: Domains in the order of the posterior: the condition on the labelled table and the target share of tokens.
 DOMAINS = {"good": "quality = 1 AND toxic = 0", "low": "quality = 0 AND toxic = 0", "toxic": "toxic = 1"}
@@ -42,6 +43,8 @@ TARGETS = {"good": 0.85, "low": 0.1, "toxic": 0.05}
 TRAIN_ROWS, WORD_SLOTS = 6_000, 512
 #: A fit that is not done after STEPS warns; TOLERANCE and STILL are relative to each domain's own target and total.
 STEPS, TOLERANCE, STILL = 300, 1e-4, 1e-6
+#: A fit has settled, too, when PROGRESS_STEPS steps bring the squared distance to the targets down by less than PROGRESS of it.
+PROGRESS_STEPS, PROGRESS = 10, 0.02
 
 
 def features(text: str | None) -> np.ndarray:
@@ -67,7 +70,8 @@ class Softmax:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 150, ridge: float = 1e-3):
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        self.has = np.bincount(y, minlength=classes) > 0
+        self.shares = np.bincount(y, minlength=classes) / len(y)
+        self.has = self.shares > 0
         a = np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))]).astype(np.float32)
         target = np.eye(classes, dtype=np.float32)[y]
         w = v = np.zeros((a.shape[1], classes), np.float32)
@@ -97,8 +101,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] =
              .groupBy("id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
              .select("id", domain.alias("domain")).where("domain is not null"))
     n = known.count()
-    draw = F.pmod(F.xxhash64("id", F.lit("mixing")), F.lit(1_000_000))
-    picked = known.where(draw < int(min(1.0, train_rows / max(n, 1)) * 1_000_000))  # about train_rows rows at any size
+    picked = known.where(drawn(F.xxhash64("id", F.lit("mixing")), train_rows, n))  # about train_rows rows at any size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +117,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] =
 
 
 def posteriors(docs: DataFrame, model: Softmax, domains: dict[str, str] = DOMAINS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p): tokens are words; ``p`` is the posterior in the order of ``domains``."""
+    """(doc_id, n_tokens, p, th): tokens are words, th is a hash of the text; ``p`` is the posterior in the order of ``domains``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[key].dataType.simpleString()
 
@@ -122,11 +125,13 @@ def posteriors(docs: DataFrame, model: Softmax, domains: dict[str, str] = DOMAIN
         for batch in batches:
             texts = batch.column(1).to_pylist()
             p = shared.value.posterior(np.array([features(t) for t in texts]).reshape(len(texts), -1)) if texts else np.zeros((0, len(domains)))
-            yield pa.record_batch([batch.column(0), pa.array([len((t or "").encode().split()) for t in texts], pa.int64()),
-                                   pa.array(p.astype(np.float64).tolist(), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "p"])
+            tokens = np.array([len((t or "").encode().split()) for t in texts], np.int64)
+            p[tokens == 0] = shared.value.shares  # nothing to go by: the prior
+            yield pa.record_batch([batch.column(0), pa.array(tokens), pa.array(p.astype(np.float64).tolist(), pa.list_(pa.float64())), batch.column(2)],
+                                  ["doc_id", "n_tokens", "p", "th"])
 
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, p array<double>")
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th")).mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, p array<double>, th long")
 
 
 def _points(p: np.ndarray, residuals: list[np.ndarray], step: float, most: float | None, momentum: list[float] | None = None):
@@ -186,6 +191,7 @@ def solve(table: DataFrame, weights: np.ndarray, keep: int | None = 0, most: flo
     inverse = np.linalg.pinv(gram * unit[:, None] * unit[None, :], rcond=1e-10, hermitian=True) * unit[:, None] * unit[None, :]
     residuals: list[np.ndarray] = []
     momentum: list[float] = []
+    apart: list[float] = []  # squared distance to the targets, step by step
     run = 0
     while True:
         now, moved = list(residuals), list(momentum)
@@ -201,6 +207,9 @@ def solve(table: DataFrame, weights: np.ndarray, keep: int | None = 0, most: flo
         met = (np.abs(totals - targets) <= tolerance * targets).all()
         if met or residuals and (gradient <= STILL * np.maximum(totals, np.minimum(have, targets))).all():
             return residuals, momentum, targets, totals, True  # at the targets, or as near as nonnegative rates come
+        apart.append(float((totals - targets) @ inverse @ (totals - targets)))
+        if len(apart) > PROGRESS_STEPS and min(apart[-PROGRESS_STEPS:]) > (1 - PROGRESS) * min(apart[:-PROGRESS_STEPS]):
+            return residuals, momentum, targets, totals, True  # targets that no rates meet: no nearer any more
         if len(residuals) == steps:
             return residuals, momentum, targets, totals, False
         if turn > 0:  # the momentum leads uphill: start it anew
@@ -209,18 +218,24 @@ def solve(table: DataFrame, weights: np.ndarray, keep: int | None = 0, most: flo
         momentum.append((run - 1) / (run + 2))
 
 
-def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS,
+def mix_documents(docs: DataFrame, *args, **kw) -> DataFrame:
+    """(doc_id, n_tokens, p_<domain>..., rate, copies) for every row; arguments as in ``rated_rows``."""
+    return rated_rows(docs, *args, **kw).drop("th")
+
+
+def rated_rows(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domains: dict[str, str] = DOMAINS,
                   keep: str | None = "good", most: float | None = None, train_rows: int = TRAIN_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate, copies) for every row.
+    """``mix_documents`` with th, a hash of the row's text.
 
-    ``copies`` realises the rate: its whole part, and one more where the id's own draw is below the rest.
+    Rates depend on the text alone. ``copies`` realises the rate: its whole part, and one more where the id's own draw is below the rest.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     names = list(domains)
     model = fit_classifier(docs, labels, domains, train_rows, key, text)
     if model is None:
-        plain = docs.select(F.col(key).alias("doc_id"), F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_tokens"))
-        return plain.select("doc_id", "n_tokens", *[F.lit(0.0).alias(f"p_{n}") for n in names], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+        plain = docs.select(F.col(key).alias("doc_id"), F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long").alias("n_tokens"),
+                            F.xxhash64(F.col(text).cast("string")).alias("th"))
+        return plain.select("doc_id", "n_tokens", "th", *[F.lit(0.0).alias(f"p_{n}") for n in names], F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     table = scratch.table(posteriors(docs, model, domains, key, text))
     weights = np.array([targets[n] for n in names], float)
     residuals, momentum, wanted, totals, converged = solve(table, weights, names.index(keep) if keep else None, most)
@@ -231,10 +246,10 @@ def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = np.array(batch.column(2).to_pylist()).reshape(batch.num_rows, len(names))
-            yield pa.record_batch([batch.column(0), batch.column(1), *[pa.array(p[:, i]) for i in range(len(names))],
-                                   pa.array(rates_of(p, residuals, 1.0, most, momentum))], ["doc_id", "n_tokens", *[f"p_{n}" for n in names], "rate"])
+            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(3), *[pa.array(p[:, i]) for i in range(len(names))],
+                                   pa.array(rates_of(p, residuals, 1.0, most, momentum))], ["doc_id", "n_tokens", "th", *[f"p_{n}" for n in names], "rate"])
 
-    rated = table.mapInArrow(run, f"doc_id {kind}, n_tokens long, " + ", ".join(f"p_{n} double" for n in names) + ", rate double")
+    rated = table.mapInArrow(run, f"doc_id {kind}, n_tokens long, th long, " + ", ".join(f"p_{n} double" for n in names) + ", rate double")
     return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
 
 
@@ -245,8 +260,9 @@ def copies(key: Column, rate: Column) -> Column:
 
 def apply_mix(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` with their columns, each as many times as its copies say."""
-    mixed = mix_documents(docs, labels, key=key, text=text, **kw)
-    # rows of one id may hold different texts and so different rates: the id's smallest number of copies holds
-    picked = mixed.groupBy("doc_id").agg(F.min("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    return (docs.join(picked, F.col(key).eqNullSafe(F.col("_id"))).where("_copies > 0")
-            .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    mixed = rated_rows(docs, labels, key=key, text=text, **kw)
+    # rows of one id and text have one rate; texts that share an id keep their own
+    picked = mixed.groupBy("doc_id", "th").agg(F.min("copies").alias("copies"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("id"), F.xxhash64(F.col(text).cast("string")).alias("hash"))
+    met = rows.join(picked, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("th"))).where("copies > 0")
+    return met.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringlens.llm.common import prepare
+from ringlens.llm.common import drawn, prepare
 
 ORDER, DISCOUNT, TRAIN_ROWS, TOP_WORDS = 5, 0.75, 20_000, 3
 FOLDS, CROSS_PARTS = 5, 3
@@ -151,10 +151,8 @@ def _training(docs: DataFrame, labels: DataFrame, train_rows: int, key: str, tex
     known = (labels.select(F.col(key).alias("id"), F.col("toxic").alias("toxic")).where("id is not null and toxic is not null")
              .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic")))
     n = known.count()
-    share = min(1.0, train_rows / max(n, 1))
-    draw = F.pmod(F.xxhash64("id", F.lit("train")), F.lit(1_000_000))
     # about train_rows rows at any size, so the broadcast has a bound
-    picked = known.where(draw < int(share * 1_000_000)).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(CROSS_PARTS)).cast("int"))
+    picked = known.where(drawn(F.xxhash64("id", F.lit("train")), train_rows, n)).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.lit(CROSS_PARTS)).cast("int"))
     return (docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
             .join(F.broadcast(picked), "id").select("text", "toxic", "part"))
 

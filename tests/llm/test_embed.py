@@ -107,3 +107,18 @@ def test_a_pair_found_from_one_side_counts_for_both(spark, monkeypatch):
     pairs = [r for r in rows if size[r.component_id] == 2]
     assert len(pairs) > 200 and all(r.n_links == 1 for r in pairs)
     assert all((r.n_links == 0) == (size[r.component_id] == 1) for r in rows)
+
+
+def test_null_large_and_text_ids(spark):
+    """A null id in the table changes nothing for the others, whatever their size; norms neither overflow nor vanish."""
+    big = 2 ** 60
+    near = [[1.0, 0.01 * k, 0.0, 0.0] for k in range(4)]
+    rows = [(big + 1 + 2 * k, v, 1) for k, v in enumerate(near)] + [(None, [1.0, 0.005, 0.0, 0.0], 1), (None, [0.0, 0.0, 1.0, 0.0], 2), (None, None, 1)]
+    rows += [(50, [1e200, 0.0, 0.0, 1e200], 3), (51, [1e200, 1e190, 0.0, 1e200], 3), (52, [1e-200, 0.0, 0.0, 0.0], 4), (53, [0.0, 1e-200, 0.0, 0.0], 4)]
+    got = embed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    by = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got if r.vec_id is not None}
+    assert all(by[big + 1 + 2 * k] == (4, big + 1, k == 0) for k in range(4))
+    assert by[50] == (1, 50, True) and by[51] == (1, 50, False) and by[52] == (0, 52, True) and by[53] == (0, 53, True)
+    assert sorted((r.n_links, r.component_id or 0, r.kept) for r in got if r.vec_id is None) == [(0, 0, True), (0, 0, True), (4, big + 1, False)]
+    text = spark.createDataFrame([("b", [1.0, 0.0], 1), ("a", [1.0, 0.1], 1)], "vec_id string, embedding array<double>, label int")
+    assert {(r.vec_id, r.component_id, r.kept) for r in embed.near_duplicates(text).collect()} == {("a", "a", True), ("b", "a", False)}

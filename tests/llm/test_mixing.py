@@ -1,6 +1,7 @@
 """Mixing: rates against a direct solver, totals, held-out accuracy of the posteriors, odd rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from ringlens.llm import catalog, mixing
@@ -73,3 +74,24 @@ def test_odd_rows(spark):
     assert len(odd) >= 100  # the kept domain
     assert {r.rate for r in mixing.mix_documents(docs, labels.limit(0)).collect()} == {1.0}
     assert mixing.mix_documents(docs.limit(0), labels).count() == 0
+
+
+def test_prior_of_empty_texts_and_rows_of_one_id(spark):
+    docs = [(i, ("good words here " if i % 4 else "BUY now !! ") * 20) for i in range(100)] + [(200, ""), (201, None), (0, "good words here " * 20)]
+    labels = [(i, int(bool(i % 4)), 0) for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS _id", "2 AS _copies", "3 AS th", "4 AS row", "5 AS times", "6 AS copies")
+    two = {n: mixing.DOMAINS[n] for n in ("good", "low")}
+    out = mixing.mix_documents(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), {"good": 0.9, "low": 0.1}, two).collect()
+    assert all(abs(r.p_good - 75 / 101) < 1e-9 for r in out if r.doc_id in (200, 201))  # shares of the training rows
+    kept = mixing.apply_mix(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), targets={"good": 0.95, "low": 0.05}, domains=two, most=1.0)
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == d.columns and (0, "good words here " * 20) in rows and len(rows) == len(set(rows))
+
+
+def test_draws_hold_their_share_at_any_size(spark):
+    from ringlens.llm.common import drawn
+    rows = spark.range(200_000)
+    share = rows.where(drawn(F.xxhash64("id"), 2_000, 200_000)).count()
+    assert 1_700 < share < 2_300
+    for n in (10 ** 11, 10 ** 15):  # the bound is a whole number of 40-bit steps, never none
+        assert rows.select(drawn(F.lit(0).cast("long"), 2_000, n).alias("in")).first()["in"]
