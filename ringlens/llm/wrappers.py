@@ -13,7 +13,8 @@ Aligning is done per batch first, then partial wrappers of a host are aligned in
 groups, so a host with very many pages is never one task's work. The finished wrapper marks
 the elements that hold the main text, and each page is read with its host's marks. Containers that have
 the same text on most pages of a host with enough pages are fixed groups of its wrapper and are not
-read, unless they are most of a page's main text (copies of one page). Names of tags and classes
+read, unless they are most of a page's main text (copies of one page), hold a heading, or stand in
+an article and are not lists of links. Names of tags and classes
 drop what is beside the article on hosts of any size.
 
 Defined cases: a null page has an empty text; a page without a main part in its host's
@@ -392,11 +393,28 @@ def _plain(wrapper: dict, fixed: set[str]) -> dict[int, int]:
     return out
 
 
+def _prose(root: Element) -> set[int]:
+    """Elements that are read even if their text is fixed on a host: those with a heading, and all in an article but lists of links."""
+    order, inside = [(root, False)], {}
+    for e, article in order:
+        inside[id(e)] = article
+        order.extend((k, article or e.tag == "article") for k in e.kids if not isinstance(k, str))
+    text, links, headed, out = {}, {}, {}, set()
+    for e, _ in reversed(order):
+        kids = [k for k in e.kids if not isinstance(k, str)]
+        text[id(e)] = sum(len(k.strip()) for k in e.kids if isinstance(k, str)) + sum(text[id(k)] for k in kids)
+        links[id(e)] = text[id(e)] if e.tag == "a" else sum(links[id(k)] for k in kids)
+        headed[id(e)] = e.tag in HEADINGS or any(headed[id(k)] for k in kids)
+        if headed[id(e)] or inside[id(e)] and 2 * links[id(e)] <= text[id(e)]:
+            out.add(id(e))
+    return out
+
+
 def main_text(root: Element, paths: list[list[str]], fixed: set[str] = frozenset()) -> str:
     """Blocks of the marked elements in page order, without the host's fixed groups, joined by newlines."""
     if fixed:
         whole, digest = main_text(root, paths), digests(root)
-        page = {k for k, t in digest.items() if t in fixed}
+        page = {k for k, t in digest.items() if t in fixed} - _prose(root)
         if not page:
             return whole
         # a page that is mostly fixed is a copy of others, not their frame

@@ -88,3 +88,13 @@ def test_fixed_groups_of_a_host_are_not_read(spark):
     assert all(texts[i] == main.format(i=i) for i in range(30))
     assert all(texts[100 + i] == main.format(i=i) + "\nRead our letter.\nA\nB" for i in range(3))
     assert all(texts[200 + i] == "One\nThe same text on each." for i in range(20))
+
+
+def test_prose_of_an_article_stays_on_every_host(spark):
+    """The last section of an article is the same on all pages of a host: prose and headings stay, link lists go."""
+    page = ("<body><article><p>Own text {i} of this page.</p><section><h2>Method</h2><p>The same on every page.</p></section>"
+            "<div><p>Read our letter, it is the same everywhere.</p></div><ul><li><a href=/a>More of A</a><li><a href=/b>More of B</a></ul></article></body>")
+    rows = [(i, "https://same.org/p", page.format(i=i)) for i in range(12)]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {
+        i: f"Own text {i} of this page.\nMethod\nThe same on every page.\nRead our letter, it is the same everywhere." for i in range(12)}
