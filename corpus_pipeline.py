@@ -7,7 +7,6 @@ last return the columns of ``documents``; the last returns one row of token dige
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ringlens.llm import bpe, mixing, simhash, substring, toxicity
 from ringlens.llm.common import Scratch, read
@@ -22,10 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id. Rows without id stay."""
-    groups = simhash.simhash_components(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_first"))
-    others = groups.where("_id <> _first").select("_id").distinct()
-    return docs.join(others, F.col("doc_id") == F.col("_id"), "left_anti")
+    """One row of each SimHash group stays: the one with the smallest id, rows without id last."""
+    return simhash.one_of_each_group(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
