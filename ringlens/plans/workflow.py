@@ -16,9 +16,21 @@ from ringlens.operators import clusters as CL
 from ringlens.operators import contact
 from ringlens.operators.clean import clean_limits, fence_condition, flag_duration_outliers, pre_fence_condition, prepare_calls
 from ringlens.operators.failures import detect_failures, failure_summary
+from ringlens.operators.features import hash_sample_per_group
 from ringlens.operators.sentiment import DEFAULT_LEXICON, Lexicon, analyze_sentiment
 from ringlens.sources.calls import load_raw
-from ringlens.sources.sinks import write_table
+from ringlens.sources.sinks import write_samples_csv, write_table
+
+
+#: Calls of each campaign type in the audit sample.
+AUDIT_ROWS = 20
+
+
+def audit_sample(calls: DataFrame, group: str, n: int = AUDIT_ROWS) -> DataFrame:
+    """Up to ``n`` calls of every group, the same in any partitioning, without nested columns (they have no CSV form)."""
+    flat = [c for c, t in calls.dtypes if not t.startswith(("array", "struct", "map"))]
+    keyed = calls.select(*flat).withColumn("audit_key", F.xxhash64("call_id"))
+    return hash_sample_per_group(keyed, group, n, key="audit_key").drop("audit_key")
 
 
 def run_calls_workflow(spark: SparkSession, raw_csv: str, out_dir: str, k: int = 4, n_init: int = 10,
@@ -28,7 +40,8 @@ def run_calls_workflow(spark: SparkSession, raw_csv: str, out_dir: str, k: int =
     Tables written: ``calls_scored`` (every call with cleaning columns, own
     sentiment, failure flags, outlier flag, kept flag and cluster id; raw text
     dropped), ``calls_clean`` (rows kept by the filters) and
-    ``clusters_contacts`` (clean connected calls with their cluster).
+    ``clusters_contacts`` (clean connected calls with their cluster); as CSV for reading by
+    eye, ``samples_by_campaign`` (some clean calls of every campaign type).
     """
     out = out_dir.rstrip("/")
     raw = load_raw(spark, raw_csv)
@@ -48,6 +61,7 @@ def run_calls_workflow(spark: SparkSession, raw_csv: str, out_dir: str, k: int =
     write_table(calls.filter("kept").drop("kept"), f"{out}/calls_clean")
     write_table(calls.filter(F.col("kept") & F.col("connected")), f"{out}/clusters_contacts")
     clean = spark.read.parquet(f"{out}/calls_clean")
+    write_samples_csv(audit_sample(clean, "campaign_type"), f"{out}/samples_by_campaign")
     return {
         "calls": calls,
         "clean": clean,

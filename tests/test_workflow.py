@@ -27,3 +27,8 @@ def test_workflow_on_raw_csv(spark):
     assert ids <= {-1, 0, 1, 2, 3}
     assert out["top_windows"].count() <= 10
     assert spark.read.parquet(f"{d}/out/clusters_contacts").count() == out["clean"].filter("connected").count()
+    # the audit sample: CSV, up to 20 clean calls of every campaign type
+    sample = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{d}/out/samples_by_campaign")
+    sizes = {r["campaign_type"]: r["count"] for r in out["clean"].groupBy("campaign_type").count().collect()}
+    assert {r["campaign_type"]: r["count"] for r in sample.groupBy("campaign_type").count().collect()} == {c: min(20, n) for c, n in sizes.items()}
+    assert sample.join(out["clean"], "call_id", "left_semi").count() == sample.count()
