@@ -69,3 +69,20 @@ def test_nulls_repeats_empty_and_extra_columns(spark):
     assert out == sorted([(1, 0), (1, 0), (2, 0), (None, 1)], key=str)
     assert bpe.encode_documents(df.limit(0)).count() == 0
     assert bpe.encode_documents(df.where("doc_id is null"), outputs="ids").first().decoded == "hi"
+
+
+def test_words_merged_together_agree_with_single_words():
+    model, rng = bpe.RankArrayBPE(bpe.default_vocabulary()), random.Random(7)
+    words = ["".join(rng.choice("theinaer sé漢😀") for _ in range(rng.randrange(1, 60))) for _ in range(2000)] + ["x", "the" * 85, "the" * 86, "ab" * 400]
+    assert model._merged(words) == [struct.pack(f"<{len(i)}I", *i) for w in words for i in [model.merge_long([model.first[b] for b in w.encode()])]]
+    assert model._merged([]) == []
+
+
+def test_cache_generations_and_groups_change_nothing(monkeypatch):
+    model, fresh = bpe.RankArrayBPE(bpe.default_vocabulary()), bpe.load(bpe.default_vocabulary())
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 300)
+    rng = random.Random(8)
+    texts = ["", "<|endoftext|>"] + [" ".join(str(rng.randrange(60)) + rng.choice("abc") for _ in range(rng.randrange(40))) for _ in range(200)]
+    assert list(model.encode_in_groups(texts)) == [fresh.encode(t) for t in texts]
+    assert list(model.encode_in_groups([])) == []
