@@ -7,7 +7,8 @@ Two fingerprints are as alike as the share of equal tuple hashes: unlike a plain
 MinHash it falls when common pieces change their order.
 
 Every text is also compared with an edited text, whose last quarter is replaced by
-the start of the next document. Documents are dealt into ranges of ascending id,
+the start of the next document. What the two share, the k-mers of the first three quarters with
+their numbers and smallest ranks, is worked out once (``Sketched``). Documents are dealt into ranges of ascending id,
 and the first document of the following range is added to each range, so
 neighbours meet in one pass over one shuffle of the texts.
 
@@ -33,8 +34,8 @@ from ringlens.llm.common import prepare
 K, SKETCHES, TUPLE_LEN = 9, 64, 2
 #: Ranges of documents: some for each shuffle partition, so that they fill partitions evenly.
 RANGES_PER_PARTITION, MOST_RANGES = 8, 65_536
-_MATRIX = 1 << 21  # cells of a chunk of (sketches x k-mers)
-_EXPECTED = 10  # candidates for the smallest ranks of a sketch
+_MATRIX = 1 << 18  # cells of a block of (sketches x k-mers): stays in a core's cache
+_SORTED = 64  # k-mers of a block that is sorted
 
 _rng = np.random.default_rng(20_240_501)  # fixed: fingerprints of different runs are comparable
 _XOR = _rng.integers(0, 1 << 32, 4096, dtype=np.uint64).astype(np.uint32)
@@ -47,20 +48,29 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _numbered_kmers(text: str, k: int) -> np.ndarray:
-    """One 64-bit hash per position: the k-mer together with the number of its earlier occurrences."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) + np.uint64(1)
-    k = min(k, len(cp))
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _kmer_hashes(points: np.ndarray, k: int) -> np.ndarray:
+    """One 64-bit hash per position of a k-mer."""
+    cp = points.astype(np.uint64) + np.uint64(1)
     n = len(cp) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + cp[j:j + n]
-    h = _mix(h)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += cp[j:j + n]
+    return _mix(h)
+
+
+def _occurrences(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of earlier equal hashes per position, sorted hashes)."""
     order = np.argsort(h)
     by = h[order]
+    count = np.zeros(len(h), np.uint64)
     same = np.flatnonzero(by[1:] == by[:-1]) + 1
     if len(same):
-        new = np.ones(n, bool)
+        new = np.ones(len(h), bool)
         new[same] = False
         run = np.cumsum(new) - 1
         again = ~new
@@ -69,42 +79,119 @@ def _numbered_kmers(text: str, k: int) -> np.ndarray:
         at = np.lexsort((order[members], run[members]))
         run, place = run[members][at], order[members][at]
         start = np.concatenate(([True], run[1:] != run[:-1]))
-        count = np.arange(len(run)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-        h[place] = _mix(h[place] + count.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        count[place] = np.arange(len(run)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+    return count, by
+
+
+def _numbered(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The hashes of k-mers together with their occurrence numbers; a first occurrence keeps its hash."""
+    again = np.flatnonzero(count)
+    if len(again):
+        h = h.copy()
+        h[again] = _mix(h[again] + count[again] * np.uint64(0xD1B54A32D192ED03))
     return h
 
 
+def _numbered_kmers(text: str, k: int) -> np.ndarray:
+    """One 64-bit hash per position: the k-mer together with the number of its earlier occurrences."""
+    points = _code_points(text)
+    h = _kmer_hashes(points, min(k, len(points)))
+    return _numbered(h, _occurrences(h)[0])
+
+
+#: The smallest ranks of each sketch and where their k-mers stand, both (sketches x tuple length).
+Smallest = tuple[np.ndarray, np.ndarray]
+
+
+def _smallest(items: np.ndarray, sketches: int, take: int, start: int = 0, before: Smallest | None = None) -> Smallest:
+    """The ``take`` smallest ranks of each sketch among ``items`` and those found ``before``.
+
+    Of equal ranks the earlier place is smaller. ``items`` stand at ``start`` and after, ``before`` at places below.
+    """
+    low = (items >> np.uint64(32)).astype(np.uint32)
+    xor, mul, row = _XOR[:sketches, None], _MUL[:sketches, None], np.arange(sketches)
+    step = max(1, _MATRIX // sketches)
+    for at in range(0, len(low), step):
+        ranks = np.bitwise_xor(low[None, at:at + step], xor)
+        ranks *= mul
+        if ranks.shape[1] <= _SORTED:
+            place = np.argsort(ranks, axis=1, kind="stable")[:, :take]
+            value = np.take_along_axis(ranks, place, 1)
+        else:
+            # take the smallest out, one after the other
+            value, place = np.empty((sketches, take), np.uint32), np.empty((sketches, take), np.int64)
+            for j in range(take):
+                place[:, j] = ranks.argmin(axis=1)
+                value[:, j] = ranks[row, place[:, j]]
+                ranks[row, place[:, j]] = 0xFFFFFFFF
+        place += start + at
+        if before is not None:
+            value, place = np.concatenate((before[0], value), axis=1), np.concatenate((before[1], place), axis=1)
+            order = np.argsort(value, axis=1, kind="stable")[:, :take]
+            value, place = np.take_along_axis(value, order, 1), np.take_along_axis(place, order, 1)
+        before = value, place
+    return before
+
+
+def _tuples(items: np.ndarray, found: Smallest) -> np.ndarray:
+    """Hashes (uint32) of the selected k-mers in the order of the text."""
+    places = np.sort(found[1], axis=1)
+    h = np.zeros(len(places), np.uint64)
+    for j in range(places.shape[1]):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + items[places[:, j]] + np.uint64(j + 1))
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def fingerprint(text: str | None, k: int = K, sketches: int = SKETCHES, tuple_len: int = TUPLE_LEN) -> np.ndarray:
     """``sketches`` tuple hashes (uint32) of a text."""
     if not text:
         return _mix(np.arange(sketches, dtype=np.uint64) + np.uint64(77)).astype(np.uint32)
     items = _numbered_kmers(text, k)
-    n = len(items)
-    low = (items >> np.uint64(32)).astype(np.uint32)
-    take = min(tuple_len, n)
-    bound = np.uint32(min((1 << 32) - 1, (_EXPECTED * tuple_len // 2) * (1 << 32) // n))
-    everything = n <= 2 * _EXPECTED
-    out = np.empty((sketches, take), np.int64)
-    step = max(1, _MATRIX // n)
-    for at in range(0, sketches, step):
-        rows_here = min(step, sketches - at)
-        ranks = (low[None, :] ^ _XOR[at:at + rows_here, None]) * _MUL[at:at + rows_here, None]
-        flat = ranks.ravel()
-        cells = np.arange(len(flat)) if everything else np.flatnonzero(flat < bound)
-        rows = cells // n
-        # by sketch, then rank; equal ranks keep the order of the text
-        order = np.argsort((rows.astype(np.uint64) << np.uint64(32)) | flat[cells], kind="stable")
-        rows, cols = rows[order], cells[order] - rows[order] * n
-        first = np.searchsorted(rows, np.arange(rows_here))
-        enough = np.diff(np.append(first, len(rows))) >= take
-        picked = cols[np.minimum(first[:, None] + np.arange(take), len(cols) - 1)] if len(cols) else np.zeros((rows_here, take), np.int64)
-        for i in np.flatnonzero(~enough):  # too few fell under the bound: look at all
-            picked[i] = np.lexsort((np.arange(n), ranks[i]))[:take]
-        out[at:at + rows_here] = np.sort(picked, axis=1)  # the order of the text
-    h = np.zeros(sketches, np.uint64)
-    for j in range(take):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + items[out[:, j]] + np.uint64(j + 1))
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return _tuples(items, _smallest(items, sketches, min(tuple_len, len(items))))
+
+
+class Sketched:
+    """A text's fingerprint, and what a text with the same first three quarters takes over from it.
+
+    The number of a k-mer depends on the text before it alone, so the k-mers that lie wholly in the
+    kept part, their numbers and their smallest ranks are the same in both.
+    """
+
+    def __init__(self, text: str, k: int = K, sketches: int = SKETCHES, tuple_len: int = TUPLE_LEN):
+        self.text, self.k, self.sketches, self.tuple_len = text, k, sketches, tuple_len
+        self.points = _code_points(text)
+        self.kept = len(text) - len(text) // 4
+        head = self.kept - k + 1
+        self.shares = head >= max(tuple_len, 1)
+        if not self.shares:
+            self.fp = fingerprint(text, k, sketches, tuple_len)
+            return
+        h = _kmer_hashes(self.points, k)
+        count, self.sorted = _occurrences(h[:head])
+        self.items = _numbered(h[:head], count)
+        self.found = _smallest(self.items, sketches, tuple_len)
+        self.fp = self._with_end(h[head:])
+
+    def _with_end(self, h: np.ndarray) -> np.ndarray:
+        """The fingerprint of the shared k-mers followed by those of hashes ``h``."""
+        if not len(h):
+            return _tuples(self.items, self.found)
+        at = np.searchsorted(self.sorted, h)
+        count = _occurrences(h)[0]
+        seen = np.flatnonzero(self.sorted[np.minimum(at, len(self.sorted) - 1)] == h)
+        count[seen] += (np.searchsorted(self.sorted, h[seen], side="right") - at[seen]).astype(np.uint64)
+        end = _numbered(h, count)
+        return _tuples(np.concatenate((self.items, end)), _smallest(end, self.sketches, self.tuple_len, len(self.items), self.found))
+
+    def edited(self, following: str) -> tuple[str, np.ndarray]:
+        """The text whose last quarter is replaced by the start of ``following``, and its fingerprint."""
+        new = edited(self.text, following)
+        if new == self.text:
+            return new, self.fp
+        if not self.shares:
+            return new, fingerprint(new, self.k, self.sketches, self.tuple_len)
+        border = np.concatenate((self.points[self.kept - self.k + 1:self.kept], _code_points(new[self.kept:])))
+        return new, self._with_end(_kmer_hashes(border, self.k))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -161,13 +248,13 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", k: int
                     held = None
                 if extra and held is None:
                     continue  # further rows with the id of the next range's first
-                fp = fingerprint(txt, k, sketches, tuple_len)
+                now = Sketched(txt, k, sketches, tuple_len)
                 if held is not None:
-                    _, doc0, txt0, fp0 = held
-                    new = edited(txt0, txt)
-                    fp1 = fp0 if new == txt0 else fingerprint(new, k, sketches, tuple_len)
-                    rows.append((doc0, len(txt0), hashlib.sha256(new.encode()).hexdigest(), _hex(fp0), _hex(fp1), likeness(fp0, fp1), likeness(fp0, fp)))
-                held = None if extra else (rng, doc, txt, fp)
+                    _, doc0, was = held
+                    new, fp1 = was.edited(txt)
+                    rows.append((doc0, len(was.text), hashlib.sha256(new.encode()).hexdigest(), _hex(was.fp), _hex(fp1),
+                                 likeness(was.fp, fp1), likeness(was.fp, now.fp)))
+                held = None if extra else (rng, doc, now)
             if rows:
                 types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)],

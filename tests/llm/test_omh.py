@@ -70,3 +70,31 @@ def test_odd_tables(spark):
     assert len(out) == len(repeated)
     same = [r for r in out if r.doc_id == 1]
     assert len({r.fingerprint for r in same}) == 1 and sum(r.near_next == 1.0 for r in same) == 39
+
+
+def test_occurrence_numbers_equal_a_plain_count():
+    text = "the end of the end of the tale, abab abab " * 5 + "x" * 30
+    for k in (1, 2, 9):
+        items, seen, same = omh._numbered_kmers(text, k), {}, {}
+        for i in range(len(text) - k + 1):
+            kmer = text[i:i + k]
+            seen[kmer] = seen.get(kmer, 0) + 1
+            same.setdefault((kmer, seen[kmer]), items[i])
+            assert same[kmer, seen[kmer]] == items[i]
+        assert len(set(items.tolist())) == len(items)
+        # the number of a k-mer does not depend on the text behind it
+        assert (omh._numbered_kmers(text[:100], k) == items[:100 - k + 1]).all()
+
+
+def test_shared_sketches_equal_separate_ones():
+    import random
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é😀") for _ in range(n)) for n in (0, 1, 7, 8, 9, 11, 12, 13, 14, 15, 16, 40, 41, 400, 3000, 12_001)]
+    texts += ["x" * 5000, "".join(chr(97 + rng.randrange(26)) for _ in range(9000))]
+    for k, sketches, size in ((9, 64, 2), (3, 7, 3), (1, 64, 1)):
+        for a in texts:
+            one = omh.Sketched(a, k, sketches, size)
+            assert (one.fp == omh.fingerprint(a, k, sketches, size)).all()
+            for b in texts:
+                new, fp = one.edited(b)
+                assert new == omh.edited(a, b) and (fp == omh.fingerprint(new, k, sketches, size)).all(), (k, len(a), len(b))
