@@ -97,11 +97,42 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
          == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))).alias("identical"))
 
 
-def conversation_digests(formatted: DataFrame, trained_role: str = "assistant") -> DataFrame:
-    """Digest columns read back from the formatted conversations."""
+def _starts(lengths: Column) -> Column:
+    """Where each of consecutive runs starts, from 1; one element more than ``lengths``."""
+    return F.aggregate(lengths, F.array(F.lit(1)), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n)))
+
+
+def _cut(text: Column, lengths: Column) -> Column:
+    """The runs of ``text``, one after the other; used on short lists, as each run is searched from the start."""
+    return F.transform(F.arrays_zip(F.slice(_starts(lengths), 1, F.size(lengths)).alias("at"), lengths.alias("n")),
+                       lambda run: F.substr(text, run["at"], run["n"]))
+
+
+def masked_texts(formatted: Column, loss_mask: Column) -> Column:
+    """The runs under the mask, cut out of ``formatted`` and unescaped.
+
+    The text is first cut into as many blocks of runs as a block has runs, then each block into its
+    runs, so that the work grows with the text times the root of its runs, not with their number.
+    """
+    n = F.size(loss_mask)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda i: F.slice(loss_mask, i * width + 1, width))
+    lengths = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda sum_, run: sum_ + run["n_chars"]))
+
+    def of_block(runs: Column, text: Column) -> Column:
+        pieces = F.zip_with(runs, _cut(text, F.transform(runs, lambda r: r["n_chars"])),
+                            lambda run, piece: F.struct(run["loss"].alias("loss"), piece.alias("piece")))
+        return F.transform(F.filter(pieces, lambda p: p["loss"]), lambda p: unescape(p["piece"]))
+
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.flatten(F.zip_with(blocks, _cut(formatted, lengths), of_block)))
+
+
+def conversation_digests(formatted: DataFrame) -> DataFrame:
+    """Digest columns read back from the formatted conversations; the loss columns through the mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == trained_role), lambda t: t["text"]), "")
-    return formatted.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+    loss = F.array_join(masked_texts(F.col("formatted"), F.col("loss_mask")), "")
+    read = formatted.select("conv_id", "formatted", "turns", "identical", said.alias("said"), loss.alias("loss"))
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"), "identical")

@@ -57,3 +57,19 @@ def test_odd_rows(spark):
 def test_main_path_has_no_python(spark):
     plan = catalog.op8_chat(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_loss_columns_follow_the_mask(spark):
+    from pyspark.sql import functions as F
+    rows = [(c, t, "assistant" if t % 2 else "user", f"é😀 ### {t} " * (t % 5)) for c, n in ((1, 1), (2, 2), (3, 7), (4, 2000)) for t in range(n)]
+    made = chat.format_conversations(spark.createDataFrame(rows, SCHEMA)).checkpoint()
+    right = {r.conv_id: r for r in chat.conversation_digests(made).collect()}
+    for c, r in right.items():
+        said = "".join(t for i, _, role, t in rows if i == c and role == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    turned = made.withColumn("loss_mask", F.transform("loss_mask", lambda m: F.struct(m["n_chars"].alias("n_chars"), (~m["loss"]).alias("loss"))))
+    shifted = made.withColumn("loss_mask", F.transform("loss_mask", lambda m, i: F.struct(
+        (m["n_chars"] + F.when(i == 0, 1).otherwise(0)).alias("n_chars"), m["loss"].alias("loss"))))
+    for wrong in (turned, shifted):
+        got = {r.conv_id: r for r in chat.conversation_digests(wrong).collect()}
+        assert all(got[c].loss_sha256 != right[c].loss_sha256 for c in (2, 3, 4))
