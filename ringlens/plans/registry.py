@@ -35,5 +35,5 @@ def register(name: str, sql: str | None, ids: str):
 
 def all_queries() -> dict[str, Query]:
     # importing the catalogs fills the registry
-    from ringlens.plans import catalog_calls, catalog_audit, catalog_clusters, catalog_steps, catalog_text  # noqa: F401
+    from ringlens.plans import catalog_calls, catalog_audit, catalog_clusters, catalog_sketches, catalog_steps, catalog_text  # noqa: F401
     return dict(_REGISTRY)
