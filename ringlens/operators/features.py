@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringlens.functions.quantiles import median_scalar, quantile_scalars
@@ -134,3 +134,24 @@ def hash_sample_per_group(df: DataFrame, group: str, n: int, key: str = "call_id
     cand = x.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n).drop("_r")
     w2 = Window.partitionBy(group).orderBy("_h", key)
     return cand.withColumn("_r", F.row_number().over(w2)).filter(F.col("_r") <= n).drop("_r", "_h", "_b")
+
+
+def labelled_samples(df: DataFrame, labels: list[tuple[Column, int]], out: str = "sample", key: str = "call_id", seed: int = 42,
+                     buckets: int = 64) -> DataFrame:
+    """O4 for labels that overlap: up to n rows of each label, all from one scan, the label in column ``out``.
+
+    ``labels``: pairs (string column: the row's label, null where it has none; n). A row may carry
+    several labels and stands once under each whose first n (by ``portable_key``, ties by key) it
+    is among. The first rows of each (label, key bucket) are taken inside the tasks before the
+    shuffle, so a label on a third of all rows sends at most n rows per task and bucket.
+    """
+    from pyspark.sql import Window
+
+    most = max(n for _, n in labels)
+    marks = F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(c.alias("label"), F.lit(n).alias("n"))) for c, n in labels]))
+    x = (df.withColumn("_m", F.explode(marks)).withColumns({out: F.col("_m.label"), "_n": F.col("_m.n")}).drop("_m")
+         .withColumn("_h", portable_key(key, seed)).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets))))
+    for parts in ([out, "_n", "_b"], [out, "_n"]):
+        w = Window.partitionBy(*parts).orderBy("_h", key)
+        x = x.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") <= most) & (F.col("_r") <= F.col("_n"))).drop("_r")
+    return x.drop("_n", "_h", "_b")

@@ -16,7 +16,7 @@ from ringlens.operators.reports import (
     value_counts,
 )
 from ringlens.functions.text import truncate, user_text
-from ringlens.operators.features import SAMPLE_BASE, SAMPLE_PRIME, hash_sample_per_group
+from ringlens.operators.features import SAMPLE_BASE, SAMPLE_PRIME, hash_sample_per_group, labelled_samples
 from ringlens.operators.sentiment import analyze_sentiment, sentiment_agreement
 from ringlens.operators.clean import prepare_calls
 from ringlens.session import ensure_checkpoint_dir
@@ -384,11 +384,7 @@ def failure_examples(spark, sf):
     """Two connected calls per failure type with a transcript over 50 chars, transcript cut at 400 chars."""
     df = flagged(spark, sf).filter(F.col("connected") & F.col("transcript_text").isNotNull()
                                    & (F.col("transcript_length") > 50))
-    parts = [hash_sample_per_group(df.filter(F.col(c)).withColumn("failure", F.lit(c)), "failure", 2)
-             for c in K.FAIL_COLUMNS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = labelled_samples(df, [(F.when(F.col(c), F.lit(c)), 2) for c in K.FAIL_COLUMNS], out="failure")
     return out.select("failure", "call_id", "duration_sec", "disconnected_reason", "sentiment_own",
                       truncate("transcript_text", 400).alias("transcript"))
 
@@ -410,13 +406,10 @@ def audit_samples(spark, sf):
     """Up to five rows of each (connected, call_completed) combination, plus ten rows where they differ."""
     cols = ["campaign_id", "name", "target_id", "call_url", "connected", "disconnected_reason", "post_call_analysis",
             "call_completed"]
-    df = prepared(spark, sf).withColumn("combo", F.concat_ws("/", F.col("connected").cast("string"),
-                                                            F.col("call_completed").cast("string")))
-    combos = hash_sample_per_group(df, "combo", 5).select(F.col("combo").alias("sample"), "call_id", *cols)
-    diff = df.filter(~F.col("connected").eqNullSafe(F.col("call_completed"))).withColumn("sample", F.lit("differs"))
-    not_conn = df.filter(F.col("connected") == F.lit(False)).withColumn("sample", F.lit("not_connected"))
-    return combos.unionByName(hash_sample_per_group(diff, "sample", 10).select("sample", "call_id", *cols)) \
-                 .unionByName(hash_sample_per_group(not_conn, "sample", 10).select("sample", "call_id", *cols))
+    combo = F.concat_ws("/", F.col("connected").cast("string"), F.col("call_completed").cast("string"))
+    differs = F.when(~F.col("connected").eqNullSafe(F.col("call_completed")), F.lit("differs"))
+    not_connected = F.when(F.col("connected") == F.lit(False), F.lit("not_connected"))
+    return labelled_samples(prepared(spark, sf), [(combo, 5), (differs, 10), (not_connected, 10)]).select("sample", "call_id", *cols)
 
 
 # ---------------------------------------------------------------------------
