@@ -11,7 +11,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ringlens.session import ensure_checkpoint_dir
@@ -29,6 +29,16 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
         w.format(fmt).save(path)
 
 
+def write_observed(df: DataFrame, path: str, checks: dict[str, Column], **how) -> dict:
+    """``write_table`` that also returns the aggregate ``checks`` over the rows it writes, without a second scan.
+
+    ``how`` as for ``write_table``. The values come with the end of the write; a failed write raises.
+    """
+    seen = Observation()
+    write_table(df.observe(seen, *[c.alias(name) for name, c in checks.items()]), path, **how)
+    return seen.get
+
+
 def write_samples_csv(df: DataFrame, path: str) -> None:
     """Small audit samples as CSV (one file per task; the samples are bounded by construction)."""
     write_table(df, path, fmt="csv")
