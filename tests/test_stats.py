@@ -111,6 +111,29 @@ def test_cramers_v_golden_and_constant(spark):
     assert math.isnan(ST.cramers_v(const, ["a", "b"]).first()["cramers_v"])
 
 
+def test_pair_counts_are_those_of_the_rows(spark):
+    rows = [(None if i % 5 == 0 else f"a{i % 3}", i % 4 == 0, None if i % 7 == 0 else i % 11, None) for i in range(400)]
+    df = spark.createDataFrame(rows, "a string, b boolean, c int, d string").repartition(3)
+    names, text = "abcd", lambda v: str(v).lower()
+    want = {}
+    for r in rows:
+        for i, j in combinations(range(4), 2):
+            if r[i] is not None and r[j] is not None:
+                cell = names[i], names[j], text(r[i]), text(r[j])
+                want[cell] = want.get(cell, 0) + 1
+    for most in (1, 1000):
+        cells = ST.pair_counts(df, list(names), most)
+        assert "explode" not in cells._jdf.queryExecution().toString()
+        assert {tuple(r)[:4]: r["o"] for r in cells.collect()} == want
+
+
+def test_cramers_v_counts_its_rows_once(spark, tmp_path):
+    spark.createDataFrame([(str(i % 2), str(i % 3), str(i % 5)) for i in range(60)], "a string, b string, c string").write.parquet(f"{tmp_path}/rows")
+    out = ST.cramers_v(spark.read.parquet(f"{tmp_path}/rows"), ["a", "b", "c"])
+    assert out.count() == 3
+    assert all("contingency-cells" in f for f in out.inputFiles())  # the rows themselves are read by no later step
+
+
 def test_cramers_v_general_grid(spark):
     rows = [("r1", "c1")] * 10 + [("r1", "c2")] * 5 + [("r2", "c2")] * 7 + [("r3", "c3")] * 4 + [("r2", "c1")] * 2
     df = spark.createDataFrame(rows, "a string, b string")
