@@ -9,9 +9,8 @@ Label: text shorter than 5 characters -> neutral; score >= 1 positivo;
 score <= -1 negativo; otherwise neutral.
 
 The lexicon is a parameter (``Lexicon``); the default is the Spanish
-customer-care lexicon in ``constants``. Token matching uses
-``array_intersect`` against a literal array, phrase matching ``contains``;
-both stay in codegen, no Python per row.
+customer-care lexicon in ``constants``. Token matching filters the distinct tokens by
+``isin``, phrase matching is ``contains``; no Python per row.
 """
 
 from __future__ import annotations
@@ -51,8 +50,8 @@ def _phrase_points(norm: Column, phrases, weight: int) -> Column:
 def _word_points(tokens: Column, words, weight: int) -> Column:
     if not words:
         return F.lit(0)
-    lex = F.array(*[F.lit(w) for w in dict.fromkeys(words)])
-    return F.size(F.array_intersect(tokens, lex)) * F.lit(weight)
+    # the list is hashed once for the plan, not once for every row
+    return F.size(F.filter(tokens, lambda t: t.isin(list(dict.fromkeys(words))))) * F.lit(weight)
 
 
 def _score_from(text: Column, norm: Column, tokens: Column, lexicon: Lexicon) -> Column:

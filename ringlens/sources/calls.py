@@ -10,6 +10,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,18 +20,27 @@ from ringlens.constants import COLUMN_RENAME, NULL_TOKENS
 from ringlens.sources.csv_records import read_csv
 
 REQUIRED_HEADERS = list(COLUMN_RENAME)
+# parameter: rows of a table that one task takes at most
+ROWS_PER_TASK = 100_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """A table in as many partitions as its rows ask for.
+
+    A compact file holds many rows in few splits, and the work of a row (transcript, JSON) does not
+    depend on the bytes it takes there: so the tasks grow in number with the rows, not in length.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    rows = df.count()  # from the files' footers
+    return spread(df, max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_TASK)))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer splits than the cluster's parallelism.
 
     A small input (one Parquet row group, one multi-line CSV file) would
-    otherwise run every row-level stage in a single task. Large inputs have
-    far more splits than cores and are left as they are (no extra shuffle).
+    otherwise run every row-level stage in a single task. Inputs with at least
+    ``min_partitions`` splits are left as they are (no extra shuffle).
     """
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ringlens.functions.quantiles import nearest_quantiles
 from ringlens.operators.clean import Fence, filter_outliers, flag_duration_outliers, prepare_calls
-from ringlens.sources.calls import load_raw
+from ringlens.sources import calls as call_sources
+from ringlens.sources.calls import load_raw, read_table
 from ringlens.sources.sinks import attach_checkpoint, reuse_or_build
 
 
@@ -128,3 +129,12 @@ def test_profile_counts_maps(spark):
     for method in ("hash", "exact", "approx"):
         r = column_profile(df, method=method).first()
         assert (r["nulls"], r["n_distinct"]) == (1, 3)
+
+
+def test_a_table_has_partitions_for_its_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    assert read_table(spark, str(tmp_path), "t").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(call_sources, "ROWS_PER_TASK", 20)
+    many = read_table(spark, str(tmp_path), "t")
+    assert many.rdd.getNumPartitions() == 50 and many.count() == 1000
+    assert max(r[0] for r in many.groupBy(F.spark_partition_id()).count().select("count").collect()) <= 30

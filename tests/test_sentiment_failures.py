@@ -25,6 +25,14 @@ def test_lexicon_cases(spark):
     assert got == [(s, lab) for _, s, lab in CASES]
 
 
+def test_word_lists_are_hashed_once_for_the_plan(spark):
+    df = spark.createDataFrame([(1, "User: gracias gracias, mal ok")], "id int, transcript_text string")
+    out = analyze_sentiment(df, keep_score=True)
+    assert out.first()["sentiment_score"] == 1.0  # gracias (once) + ok - mal
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert " INSET " in plan and "array_intersect" not in plan
+
+
 def test_null_transcript_neutral_or_null(spark):
     df = spark.createDataFrame([(1, None)], "id int, transcript_text string")
     assert analyze_sentiment(df).first()["sentiment_own"] == "neutral"
