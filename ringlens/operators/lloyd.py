@@ -32,6 +32,8 @@ Model = tuple[int, int]
 DRAWS = 2
 #: Decimals to which distances are compared.
 DECIMALS = 9
+#: Rows whose distances to all centres a task holds at once.
+BLOCK = 2500
 
 
 @dataclass(frozen=True)
@@ -78,6 +80,29 @@ def _by_model(rows: DataFrame, cols: list[str], sums: Callable[[np.ndarray, np.n
     return {(r["model"], r["cluster"]): np.array(r[2:], float) for r in out}
 
 
+def _shares(x: np.ndarray, stacked: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """(n, sums of the columns, sum of squared norms, cost) of some rows for every centre of every model.
+
+    Centre ``i`` of the stack is of the model whose ``edges`` enclose it. Distances stand centre by centre,
+    as whole numbers of the last decimal, so that the nearest is found by comparing whole rows of them.
+    """
+    square, unit = (x * x).sum(axis=1), 10.0 ** DECIMALS
+    d = -2 * stacked @ x.T
+    d += square
+    d += (stacked * stacked).sum(axis=1)[:, None]
+    d *= unit
+    np.maximum(np.rint(d, out=d), 0.0, out=d)
+    member, cost = np.zeros(d.shape), np.zeros(len(stacked))
+    for a, b in zip(edges[:-1], edges[1:]):
+        near, least = np.zeros(len(x), np.intp), d[a].copy()
+        for c in range(1, b - a):
+            np.putmask(near, d[a + c] < least, c)
+            np.minimum(d[a + c], least, out=least)
+        np.equal(near, np.arange(b - a)[:, None], out=member[a:b])
+        cost[a:b] = np.bincount(near, least / unit, minlength=b - a)
+    return np.column_stack([member @ np.column_stack([np.ones(len(x)), x, square]), cost])
+
+
 def lloyd_pass(rows: DataFrame, cols: list[str], models: dict[Model, np.ndarray]) -> dict[Model, tuple[np.ndarray, ...]]:
     """One update of all models: (n, cost, sums of the columns, sum of squared norms) by cluster, for the given centres."""
     names, dims = list(models), len(cols)
@@ -85,14 +110,9 @@ def lloyd_pass(rows: DataFrame, cols: list[str], models: dict[Model, np.ndarray]
     edges = np.cumsum([0, *(len(models[m]) for m in names)])
 
     def sums(x, _):
-        d = _distances(x, stacked)
-        parts = np.column_stack([np.ones(len(x)), x, (x * x).sum(axis=1)])
+        every = sum(_shares(x[at:at + BLOCK], stacked, edges) for at in range(0, len(x), BLOCK))
         for i in range(len(names)):
-            own = d[:, edges[i]:edges[i + 1]]
-            near = own.argmin(axis=1)
-            share = np.zeros((own.shape[1], dims + 3))
-            for j, column in enumerate([*parts.T, own[np.arange(len(x)), near]]):
-                share[:, j] = np.bincount(near, column, minlength=own.shape[1])
+            share = every[edges[i]:edges[i + 1]]
             for c in np.flatnonzero(share[:, 0]):
                 yield i, int(c), share[c]
 

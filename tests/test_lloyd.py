@@ -50,6 +50,30 @@ def test_steps_of_all_models_in_one_pass(spark):
         assert abs(fits[m].cost - near.sum()) < 1e-6
 
 
+def test_shares_of_stacked_models():
+    rng = np.random.RandomState(3)
+    x = np.round(rng.randn(700, 3), 1)  # many rows as far from one centre as from another
+    models = [np.round(rng.randn(k, 3), 1) for k in (1, 2, 5)]
+    models[2][4] = models[2][1]  # a centre that is twice there: the lower number has the rows
+    edges = np.cumsum([0, 1, 2, 5])
+    got = L._shares(x, np.vstack(models), edges)
+    for centres, a in zip(models, edges):
+        d = np.maximum(np.round(((x[:, None] - centres[None]) ** 2).sum(axis=2), L.DECIMALS), 0)
+        near = d.argmin(axis=1)
+        for c in range(len(centres)):
+            own = x[near == c]
+            want = [len(own), *own.sum(axis=0), (own * own).sum(), d[near == c, c].sum()]
+            assert np.allclose(got[a + c], want, atol=1e-6), (a, c)
+
+
+def test_a_pass_over_several_blocks(spark):
+    x, rows = _blobs(3 * L.BLOCK + 1)
+    models = {(3, 0): np.array([[0.0, 0.0], [6.0, 0.0], [0.0, 7.0]])}
+    n, _, total, _ = L.lloyd_pass(_frame(spark, rows, 1), ["x", "y"], models)[3, 0]
+    want, near = plain_lloyd(x, models[3, 0], 1)
+    assert n.tolist() == np.bincount(near).tolist() and np.allclose(total / n[:, None], want, atol=1e-9)
+
+
 def test_fit_finds_the_groups_and_does_not_depend_on_partitions(spark):
     x, rows = _blobs()
     fits = [L.fit_all(_frame(spark, rows, p), ["x", "y"], [2, 3, 4], starts=4, seed=7) for p in (1, 9)]
